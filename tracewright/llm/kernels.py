@@ -15,8 +15,8 @@ import pyarrow as pa
 U64 = np.uint64
 #: A long identifier standing for NULL inside the operators; it sorts last.
 NULL_ID = 2**63 - 1
-#: Bytes hashed at once; bounds the temporary arrays of every kernel.
-BLOCK = 1 << 20
+#: Bytes hashed at once: the temporary arrays of a block stay in a core's cache.
+BLOCK = 1 << 15
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -93,7 +93,7 @@ def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, cased: bool
         a, b = np.searchsorted(start, [at, top])
         for j in carried:  # begun in an earlier block
             e = min(int(end[j]), top)
-            out[j] += sums[e - at] * U64(pow(_BASE, at - int(start[j]), 1 << 64))
+            out[j : j + 1] += sums[e - at] * np.full(1, pow(_BASE, at - int(start[j]), 1 << 64), U64)
         carried = [j for j in carried if end[j] > top]
         s, e = start[a:b], end[a:b]
         inside = np.minimum(e, top)

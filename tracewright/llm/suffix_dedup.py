@@ -7,10 +7,11 @@ a document with a smaller doc_id. How:
    among its `ANCHOR`-byte substrings (a minimizer), so equal windows have
    equal anchors wherever they stand. Consecutive windows with one anchor
    position form a segment. Hash chunks of documents send their distinct
-   anchors, sorted and packed, to anchor buckets; the reply is one bit an
-   anchor: does it occur in two documents or more? Only segments on shared
-   anchors travel further, each distinct one once a chunk, with its smallest
-   doc_id, so thousands of copies cost one row a chunk.
+   anchors, sorted and packed, to anchor buckets; the reply says of each one
+   whether two documents or more have it, and whether its segments differ.
+   Only segments on shared anchors travel further, each distinct one once a
+   chunk, with its smallest doc_id, so thousands of copies cost one row a
+   chunk; their bytes travel only where an anchor's segments differ.
 2. *Index.* Every bucket sorts the windows of its distinct segments (suffix
    array to depth `length`, by rank doubling), takes the Burrows-Wheeler
    transform, and keeps its runs only: symbol, the run's head sample, the group
@@ -43,81 +44,86 @@ _POS = np.uint64((1 << 24) - 1)
 U64 = np.uint64
 
 
-def _anchors(raw: np.ndarray, length: int) -> np.ndarray:
-    """For each window start, the position of its anchor, by blocks with overlaps."""
-    n = len(raw) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    out, width = np.empty(n, np.int64), length - ANCHOR + 1
-    for at in range(0, n, K.BLOCK):
-        part = np.ascontiguousarray(raw[at : at + K.BLOCK + length - 1])
-        eight = np.ndarray((len(part) - 7,), "<u8", part, strides=(1,))
-        m = len(part) - ANCHOR + 1
-        h = eight[:m] * U64(0x9FB21C651E98DF25)
-        h ^= h >> U64(35)
-        h += eight[8 : m + 8]
-        h *= U64(0xD6E8FEB86659FD93)
-        h ^= h >> U64(31)
-        h += eight[16 : m + 16]
-        h = K.mix(h)
-        key = (h & ~_POS) | np.arange(m, dtype=U64)
-        span = 1
-        while span * 2 <= width:
-            key = np.minimum(key[: len(key) - span], key[span:])
-            span *= 2
-        if width > span:
-            rest = width - span
-            key = np.minimum(key[: len(key) - rest], key[rest:])
-        out[at : at + len(key)] = (key & _POS).astype(np.int64) + at
-    return out
+def _anchors(part: np.ndarray, length: int) -> np.ndarray:
+    """For each window start of a short buffer, the position of its anchor: the smallest hash, the leftmost of equals."""
+    width = length - ANCHOR + 1
+    eight = np.ndarray((len(part) - 7,), "<u8", part, strides=(1,))
+    m = len(part) - ANCHOR + 1
+    h = eight[:m] * U64(0x9FB21C651E98DF25)
+    h ^= h >> U64(35)
+    h += eight[8 : m + 8]
+    h *= U64(0xD6E8FEB86659FD93)
+    h ^= h >> U64(31)
+    h += eight[16 : m + 16]
+    key = (K.mix(h) & ~_POS) | np.arange(m, dtype=U64)
+    span = 1
+    while span * 2 <= width:
+        key = np.minimum(key[: len(key) - span], key[span:])
+        span *= 2
+    if width > span:
+        rest = width - span
+        key = np.minimum(key[: len(key) - rest], key[rest:])
+    return (key & _POS).astype(np.int64)
 
 
 def _segments(raw: np.ndarray, offsets: np.ndarray, length: int):
-    """Segments of a batch of documents: document index, first byte, end byte, 64-bit anchor hash."""
-    pos = _anchors(raw, length)
-    if not len(pos):
+    """Segments of a chunk's documents: document index, first byte, end byte, 64-bit anchor hash. Block edges end segments too."""
+    firsts, ends, anchors = [], [], []
+    for at in range(0, len(raw) - length + 1, K.BLOCK):
+        part = np.ascontiguousarray(raw[at : at + K.BLOCK + length - 1])
+        pos = _anchors(part, length)
+        valid = np.ones(len(pos), bool)
+        for o in offsets[np.searchsorted(offsets, at + 1) : np.searchsorted(offsets, at + len(part))].tolist():
+            valid[max(0, o - at - length + 1) : o - at] = False  # windows that would cross into the next document
+        change = np.ones(len(pos) + 1, bool)
+        change[1:-1] = (pos[1:] != pos[:-1]) | (valid[1:] != valid[:-1])
+        first, last = np.flatnonzero(change[:-1] & valid), np.flatnonzero(change[1:] & valid)
+        eight = np.ndarray((len(part) - 7,), "<u8", part, strides=(1,))
+        p = pos[first]
+        anchors.append(K.mix(K.mix(K.mix(eight[p]) + eight[p + 8]) * U64(5) + eight[p + 16]))
+        firsts.append(first + at)
+        ends.append(last + (at + length))
+    if not firsts:
         z = np.zeros(0, np.int64)
         return z, z, z, np.zeros(0, U64)
-    valid = np.zeros(len(pos), bool)
-    sizes = np.diff(offsets)
-    for a, n in zip(offsets[:-1][sizes >= length].tolist(), sizes[sizes >= length].tolist(), strict=True):
-        valid[a : a + n - length + 1] = True
-    starts_doc = np.zeros(len(pos) + 1, bool)
-    starts_doc[offsets[offsets <= len(pos)]] = True
-    first = valid.copy()
-    first[1:] &= (pos[1:] != pos[:-1]) | ~valid[:-1] | starts_doc[1:-1]
-    last = valid.copy()
-    last[:-1] &= (pos[1:] != pos[:-1]) | ~valid[1:] | starts_doc[1:-1]
-    a, b = np.flatnonzero(first), np.flatnonzero(last) + length
-    doc = np.searchsorted(offsets, a, side="right") - 1
-    p = pos[a]
-    part = np.ascontiguousarray(raw)
-    eight = np.ndarray((len(part) - 7,), "<u8", part, strides=(1,))
-    h = K.mix(K.mix(K.mix(eight[p]) + eight[p + 8]) * U64(5) + eight[p + 16])
-    return doc, a, b, h
+    a = np.concatenate(firsts)
+    return np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(a, offsets))), a, np.concatenate(ends), np.concatenate(anchors)
 
 
 def _read_chunk(table: pa.Table, length: int):
-    """All segments of a chunk: doc_ids, raw bytes, offsets; per segment document, start, end, anchor."""
+    """All segments of a chunk: doc_ids, raw bytes, offsets; per segment document, start, end, anchor, content hash."""
     raw, offsets = K.texts(table.column("text"))
     raw = np.ascontiguousarray(raw)
-    return K.ids(table.column("doc_id")), raw, offsets, *_segments(raw, offsets, length)
+    doc, a, b, h = _segments(raw, offsets, length)
+    return K.ids(table.column("doc_id")), raw, offsets, doc, a, b, h, K.span_hashes(raw, a, b)
 
 
-def _anchor_sets(table: pa.Table, length: int):
-    """The chunk's distinct anchors in order, and whether two of its documents have each."""
-    docs, raw, offsets, doc, a, b, h = _read_chunk(table, length)
-    order = np.argsort(h, kind="stable")
-    hs, ds = h[order], docs[doc[order]]
-    head = np.ones(len(hs), bool)
-    head[1:] = hs[1:] != hs[:-1]
-    at = np.flatnonzero(head)
-    twice = (np.minimum.reduceat(ds, at) != np.maximum.reduceat(ds, at)) if len(at) else np.zeros(0, bool)
-    return (docs, raw, offsets, doc, a, b, h), hs[at], twice
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where, in sorted columns, a new value begins."""
+    head = np.zeros(len(columns[0]), bool)
+    head[:1] = True
+    for c in columns:
+        head[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(head)
 
 
-def _by_bucket(values: np.ndarray, buckets: int) -> np.ndarray:
-    return ((values >> U64(20)) % U64(buckets)).astype(np.int64)
+def _anchor_sets(docs, doc, h, key, buckets: int):
+    """A chunk's distinct anchors by bucket and value, with the edges of buckets: anchor, 48 bits of a content hash, and flags: 1 two documents have it, 2 its segments differ."""
+    order = np.argsort(h)
+    at = _heads(h[order])
+    hs = h[order[at]]
+    if not len(hs):
+        return hs, hs, np.zeros(0, np.uint8), np.zeros(buckets + 1, np.int64)
+    ds, ks = docs[doc[order]], key[order] >> U64(16)
+    low = np.minimum.reduceat(ks, at)
+    flags = (np.minimum.reduceat(ds, at) != np.maximum.reduceat(ds, at)) | 2 * (low != np.maximum.reduceat(ks, at))
+    bucket = _bucket(hs, buckets)
+    by = np.argsort(bucket, kind="stable")
+    return hs[by], low[by], flags[by].astype(np.uint8), np.searchsorted(bucket[by], np.arange(buckets + 1))
+
+
+def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
+    return ((values >> U64(20)) % U64(buckets)).astype(np.int32)
 
 
 SENT = "bucket int, chunk int, data binary"
@@ -127,49 +133,40 @@ def _sent(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "chunk": pa.array([r[1] for r in rows], pa.int32()), "data": pa.array([r[2] for r in rows], pa.binary())})
 
 
+def _six(values: np.ndarray) -> list[np.ndarray]:
+    """48-bit numbers as 32 and 16 bits."""
+    return [(values & U64(0xFFFFFFFF)).astype(np.uint32), (values >> U64(32)).astype(np.uint16)]
+
+
 def _send_anchors(length: int, buckets: int):
     def send(table: pa.Table) -> pa.Table:
-        _, hs, twice = _anchor_sets(table, length)
-        b, chunk = _by_bucket(hs, buckets), table.column("chunk")[0].as_py()
-        order = np.argsort(b, kind="stable")
-        edges = np.searchsorted(b[order], np.arange(buckets + 1))
-        rows = []
-        for k in np.flatnonzero(np.diff(edges)).tolist():
-            own = order[edges[k] : edges[k + 1]]
-            rows.append((k, chunk, spread.pack(spread.pack_sorted(hs[own]), twice[own])))
-        return _sent(rows)
+        docs, _, _, doc, _, _, h, key = _read_chunk(table, length)
+        hs, ks, flags, edges = _anchor_sets(docs, doc, h, key, buckets)
+        chunk = table.column("chunk")[0].as_py()
+        return _sent([(k, chunk, spread.pack(spread.pack_sorted(hs[edges[k] : edges[k + 1]]), *_six(ks[edges[k] : edges[k + 1]]), flags[edges[k] : edges[k + 1]])) for k in np.flatnonzero(np.diff(edges)).tolist()])
 
     return send
 
 
+#: Answers about an anchor: one document has it; all its segments are equal; they differ.
+ALONE, EQUAL, DIFFER = 0, 1, 2
+
+
 def _answer_anchors(table: pa.Table) -> pa.Table:
-    """Bits for each chunk: is the anchor shared by two documents anywhere?"""
     lists = [spread.unpack(x.as_py()) for x in table.column("data")]
     values = np.concatenate([np.cumsum(x[0], dtype=U64) for x in lists])
-    twice = np.concatenate([x[1] for x in lists])
-    order = np.argsort(values, kind="stable")
-    v = values[order]
-    head = np.ones(len(v), bool)
-    head[1:] = v[1:] != v[:-1]
-    group = np.cumsum(head) - 1
-    at = np.flatnonzero(head)
-    shared = (np.diff(np.append(at, len(v))) > 1) | np.logical_or.reduceat(twice[order], at)
-    bits = np.empty(len(v), bool)
-    bits[order] = shared[group]
+    keys = np.concatenate([x[1].astype(U64) | (x[2].astype(U64) << U64(32)) for x in lists])
+    flags = np.concatenate([x[3] for x in lists])
+    order = np.argsort(values)
+    at = _heads(values[order])
+    many = np.diff(np.append(at, len(values)))
+    ks, fs = keys[order], np.bitwise_or.reduceat(flags[order], at)
+    shared = (many > 1) | (fs & 1 > 0)
+    differ = (fs & 2 > 0) | (np.minimum.reduceat(ks, at) != np.maximum.reduceat(ks, at))
+    answer = np.empty(len(values), np.uint8)
+    answer[order] = np.repeat(np.where(shared, np.where(differ, DIFFER, EQUAL), ALONE).astype(np.uint8), many)
     ends = np.cumsum([len(x[0]) for x in lists])
-    return _sent([(b.as_py(), c.as_py(), spread.pack(np.packbits(bits[e - len(x[0]) : e]), np.array([len(x[0])]))) for b, c, x, e in zip(table.column("bucket"), table.column("chunk"), lists, ends, strict=True)])
-
-
-def _distinct_segments(raw, doc, a, b, docs, chosen):
-    """Of the chosen segments, one for each content: hash, index of one of them, smallest doc_id; and the group of each chosen one."""
-    key = K.span_hashes(raw, a[chosen], b[chosen])
-    order = np.argsort(key, kind="stable")
-    ks = key[order]
-    head = np.ones(len(ks), bool)
-    head[1:] = ks[1:] != ks[:-1]
-    at = np.flatnonzero(head)
-    least = np.minimum.reduceat(docs[doc[chosen[order]]], at) if len(at) else np.zeros(0, np.int64)
-    return ks[at], chosen[order[at]], least
+    return _sent([(b.as_py(), c.as_py(), spread.pack(answer[e - len(x[0]) : e])) for b, c, x, e in zip(table.column("bucket"), table.column("chunk"), lists, ends, strict=True)])
 
 
 def _gather(raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -179,27 +176,30 @@ def _gather(raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _send_segments(length: int, buckets: int):
+    """Distinct segments on shared anchors, with the smallest document: by hash where all are equal, with their bytes where they differ."""
     def send(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(table):
             return _sent([])
-        (docs, raw, offsets, doc, a, b, h), hs, _ = _anchor_sets(table, length)
-        bucket = _by_bucket(hs, buckets)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        shared = np.zeros(len(hs), bool)
+        docs, raw, _, doc, a, b, h, key = _read_chunk(table, length)
+        hs, _, _, edges = _anchor_sets(docs, doc, h, key, buckets)
+        answer = np.zeros(len(hs), np.uint8)
         for k, data in zip(replies.column("bucket").to_pylist(), replies.column("data"), strict=True):
-            bits, n = spread.unpack(data.as_py())
-            shared[order[edges[k] : edges[k + 1]]] = np.unpackbits(bits, count=int(n[0])).astype(bool)
-        chosen = np.flatnonzero(shared[np.searchsorted(hs, h)]) if len(hs) else np.zeros(0, np.int64)
-        key, one, least = _distinct_segments(raw, doc, a, b, docs, chosen)
-        to = _by_bucket(h[one], buckets)
-        by = np.lexsort((h[one], to))
-        edges = np.searchsorted(to[by], np.arange(buckets + 1))
+            answer[edges[k] : edges[k + 1]] = spread.unpack(data.as_py())[0]
+        order = np.argsort(hs)
+        own = answer[order[np.searchsorted(hs, h, sorter=order)]] if len(hs) else np.zeros(0, np.uint8)
+        chosen = np.flatnonzero(own)
+        by = chosen[np.argsort(key[chosen])]
+        at = _heads(key[by])
+        least = np.minimum.reduceat(docs[doc[by]], at) if len(at) else np.zeros(0, np.int64)
+        one = by[at]
+        to = _bucket(h[one], buckets).astype(np.int64) * 2 + (own[one] == DIFFER)
+        by = np.argsort(to, kind="stable")
+        edges = np.searchsorted(to[by], np.arange(2 * buckets + 1))
         rows, chunk = [], table.column("chunk")[0].as_py()
-        for k in np.flatnonzero(np.diff(edges)).tolist():
-            own = by[edges[k] : edges[k + 1]]
-            s = one[own]
-            rows.append((k, chunk, spread.pack(key[own], least[own], (b[s] - a[s]).astype(np.int32), _gather(raw, a[s], b[s]))))
+        for k in np.flatnonzero(np.diff(edges[::2])).tolist():
+            even, odd = by[edges[2 * k] : edges[2 * k + 1]], by[edges[2 * k + 1] : edges[2 * k + 2]]
+            s = one[odd]
+            rows.append((k, chunk, spread.pack(spread.pack_sorted(key[one[even]]), least[even], key[s], least[odd], (b[s] - a[s]).astype(np.int32), _gather(raw, a[s], b[s]))))
         return _sent(rows)
 
     return send
@@ -283,28 +283,37 @@ class RunIndex:
         return out, offsets
 
 
+def _grouped(keys: np.ndarray, least: np.ndarray):
+    """Smallest document of each distinct key: the group of every row, one row of each group, its smallest document."""
+    order = np.argsort(keys)
+    at = _heads(keys[order])
+    group = np.empty(len(keys), np.int64)
+    group[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(keys))))
+    return group, order[at], np.minimum.reduceat(least[order], at) if len(at) else least[:0]
+
+
+def _ramp(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... size[i] numbers for each i."""
+    to = np.cumsum(size)
+    return np.arange(int(to[-1]) if len(to) else 0) + np.repeat(start - (to - size), size)
+
+
 def _answer_segments(length: int):
     def answer(table: pa.Table) -> pa.Table:
         lists = [spread.unpack(x.as_py()) for x in table.column("data")]
-        key, least, size = (np.concatenate([x[k] for x in lists]) for k in range(3))
-        raw = np.concatenate([x[3] for x in lists])
-        order = np.argsort(key, kind="stable")
-        ks = key[order]
-        head = np.ones(len(ks), bool)
-        head[1:] = ks[1:] != ks[:-1]
-        at = np.flatnonzero(head)
-        distinct = np.empty(len(key), np.int64)
-        distinct[order] = np.cumsum(head) - 1
-        one = order[at]
-        ends = np.cumsum(size.astype(np.int64))
-        index = RunIndex(_gather(raw, ends[one] - size[one], ends[one]), size[one].astype(np.int64), np.minimum.reduceat(least[order], at), length)
+        equal, least, key, own, size, raw = (np.concatenate([np.cumsum(x[k], dtype=U64) if k == 0 else x[k] for x in lists]) for k in range(6))
+        group, _, low = _grouped(equal, least)
+        group2, one, low2 = _grouped(key, own)
+        size = size.astype(np.int64)
+        starts = np.cumsum(size) - size
+        index = RunIndex(raw[_ramp(starts[one], size[one])], size[one], low2, length)
         first, offsets = index.stream()
-        rows, at = [], 0
+        rows, at, at2 = [], 0, 0
         for b, c, x in zip(table.column("bucket"), table.column("chunk"), lists, strict=True):
-            own = distinct[at : at + len(x[0])]
-            at += len(x[0])
-            values = first[np.arange(int((offsets[own + 1] - offsets[own]).sum())) + np.repeat(offsets[own] - np.cumsum(np.append(0, offsets[own + 1] - offsets[own]))[:-1], offsets[own + 1] - offsets[own])]
-            rows.append((b.as_py(), c.as_py(), spread.pack(x[0], (offsets[own + 1] - offsets[own]).astype(np.int32), values)))
+            e, g = group[at : at + len(x[0])], group2[at2 : at2 + len(x[2])]
+            at, at2 = at + len(x[0]), at2 + len(x[2])
+            windows = offsets[g + 1] - offsets[g]
+            rows.append((b.as_py(), c.as_py(), spread.pack(x[0], low[e], x[2], windows.astype(np.int32), first[_ramp(offsets[g], windows)])))
         return _sent(rows)
 
     return answer
@@ -313,32 +322,45 @@ def _answer_segments(length: int):
 SPANS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,stop:long>>"
 
 
+def _found(keys: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of own are among keys, and where."""
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(keys)
+    ks = keys[order]
+    at = np.minimum(np.searchsorted(ks, own), len(ks) - 1)
+    hit = np.flatnonzero(ks[at] == own)
+    return hit, order[at[hit]]
+
+
 def _mark(length: int, texts: bool):
     def mark(table: pa.Table, replies: pa.Table) -> pa.Table:
-        docs, raw, offsets, doc, a, b, h = _read_chunk(table, length)
-        gone = np.zeros(len(raw) + 1, np.int32)
+        docs, raw, offsets, doc, a, b, _, key = _read_chunk(table, length)
         parts = [spread.unpack(x.as_py()) for x in replies.column("data")] if len(replies) else []
+        step = np.zeros(len(raw) + 1, np.int8)  # where marked windows begin and end
+        if parts and len(a):
+            equal, low, differ, windows, first = (np.concatenate([np.cumsum(x[k], dtype=U64) if k == 0 else x[k] for x in parts]) for k in range(5))
+            hit, at = _found(equal, key)
+            old = hit[low[at] < docs[doc[hit]]]
+            step[a[old]] += 1
+            step[b[old] - length + 1] -= 1
+        marked = np.cumsum(step[:-1], dtype=np.int8).astype(bool)
         if parts and len(a):
-            key, windows, first = (np.concatenate([x[k] for x in parts]) for k in range(3))
-            starts = np.cumsum(windows.astype(np.int64)) - windows
-            order = np.argsort(key, kind="stable")
-            ks = key[order]
-            own = K.span_hashes(raw, a, b)
-            at = np.minimum(np.searchsorted(ks, own), len(ks) - 1)
-            hit = np.flatnonzero(ks[at] == own)
-            src, n = starts[order[at[hit]]], windows[order[at[hit]]].astype(np.int64)
-            ramp = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            where = ramp + np.repeat(a[hit], n)
-            old = first[ramp + np.repeat(src, n)] < np.repeat(docs[doc[hit]], n)
-            np.add.at(gone, where[old], 1)
-            np.add.at(gone, where[old] + length, -1)
-        cover = np.cumsum(gone)[: len(raw)] > 0
+            hit, at = _found(differ, key)
+            n = windows.astype(np.int64)
+            src = (np.cumsum(n) - n)[at]
+            old = first[_ramp(src, n[at])] < np.repeat(docs[doc[hit]], n[at])
+            marked[_ramp(a[hit], n[at])[old]] = True
+        sums = np.concatenate([np.zeros(length, np.int64), np.cumsum(marked)])
+        cover = sums[length:] > sums[:-length]
         edge = np.zeros(len(raw) + 1, bool)
         edge[offsets] = True
-        head = cover & np.concatenate([[True], ~cover[:-1]] if len(raw) else [[]]).astype(bool)
-        head |= cover & edge[: len(raw)]
-        tail = cover & (np.concatenate([~cover[1:], [True]] if len(raw) else [[]]).astype(bool) | edge[1:])
-        heads, tails = np.flatnonzero(head), np.flatnonzero(tail) + 1
+        other = edge.copy()
+        other[1:-1] |= ~cover[:-1]
+        heads = np.flatnonzero(cover & other[:-1])
+        other = edge.copy()
+        other[1:-1] |= ~cover[1:]
+        tails = np.flatnonzero(cover & other[1:]) + 1
         sums = np.concatenate([[0], np.cumsum(cover)])
         removed = sums[offsets[1:]] - sums[offsets[:-1]]
         cuts = np.searchsorted(heads, offsets)
