@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -146,8 +147,8 @@ def _send_sets(size: int, buckets: int, num: int, den: int):
     def send(table: pa.Table, replies: pa.Table) -> pa.Table:
         kind = pa.list_(pa.struct([("token", pa.int64()), ("at", pa.int32())]))
         out = {"doc_id": [], "n": [], "data": [], "prefix": []}
-        tables = replies.filter(pa.compute.is_valid(replies.column("class"))) if len(replies) else replies
-        marks = replies.filter(pa.compute.is_null(replies.column("class"))) if len(replies) else replies
+        tables = replies.filter(pc.is_valid(replies.column("class"))) if len(replies) else replies
+        marks = replies.filter(pc.is_null(replies.column("class"))) if len(replies) else replies
         if len(table) and len(tables):
             docs, h, o = _representatives(table, tables, size)
             values, _, order, edges = _bucketed(h, buckets)

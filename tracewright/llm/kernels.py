@@ -11,6 +11,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 #: A long identifier standing for NULL inside the operators; it sorts last.
@@ -147,7 +148,7 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.nd
 
 def batches(batch, most: int = 4 << 20):
     """Slices of an Arrow batch or table whose text column, named text, holds about most bytes (one row at least)."""
-    sizes = pa.compute.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, at = np.cumsum(sizes), 0
     while at < len(sizes):
         base = ends[at - 1] if at else 0

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,7 +74,7 @@ def page_view(source, lang, n_chars) -> np.ndarray:
         if len(full):
             slot[full] = 1 + (K.span_hashes(raw, offsets[full], offsets[full + 1]) % np.uint64(slots - 1)).astype(np.int64)
         out[np.arange(n), at + slot] = 1.0
-    chars = pa.compute.fill_null(n_chars.cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
+    chars = pc.fill_null(n_chars.cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
     out[np.arange(n), SLOTS + 16 + np.clip(np.log2(np.maximum(chars, 1)).astype(int) - 4, 0, 11)] = 1.0
     return out
 

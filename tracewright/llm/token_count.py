@@ -16,6 +16,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,7 +129,7 @@ def _count(path: str, limit: int, table):
         lengths = Lengths(path, table.value)
         for batch in batches:
             n = [lengths.count(t.as_py()) for t in batch.column("text")]
-            size = pa.compute.binary_length(batch.column("text")).cast(pa.int64())
+            size = pc.binary_length(batch.column("text")).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, pa.array(n, pa.int64()), pa.array(np.array(n, np.int64) > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return count

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ def integer_vectors(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
 def _matrix(batch, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and components as doubles, which are exact for sums below 2**53; vectors of another width take no part."""
     v = batch.column("v")
-    right = pa.compute.equal(pa.compute.list_value_length(v), width).fill_null(False)
+    right = pc.equal(pc.list_value_length(v), width).fill_null(False)
     batch = batch.filter(right)
     flat = batch.column("v").flatten().to_numpy(zero_copy_only=False)
     return batch.column("vec_id").to_numpy(zero_copy_only=False), flat.reshape(-1, width).astype(float)

@@ -85,7 +85,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int
     labels = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max(F.col("label").cast("int")).alias("label"))
     have = labels.count()
     order = F.abs(F.xxhash64("doc_id", F.lit("ftrl")))
-    chosen = labels.where(order < F.lit(int(min(1.0, sample / max(have, 1)) * (2**63 - 1))))
+    chosen = labels.where(order < F.lit(min(1.0, sample / max(have, 1)) * 2.0**63))
     examples = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
     packed = examples.select("doc_id", "label", "text").mapInArrow(_extract, "doc_id long, label int, data binary")
     rows = packed.select(F.lit(0).alias("one"), F.xxhash64("doc_id", "data").alias("order"), "label", "data")
