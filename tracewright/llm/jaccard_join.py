@@ -218,12 +218,12 @@ class Trie:
 
 def _probe(num: int, den: int):
     def probe(members: pa.Table, probes: pa.Table) -> pa.Table:
-        """members: a, salt, b, data of b; probes: a, data of a."""
+        """members: a probe, its salt, a member and the member's set; probes: a query and its set."""
         out_a, out_b = [], []
-        sets = dict(zip(probes.column("a").to_pylist(), probes.column("data"), strict=True)) if len(probes) else {}
+        sets = dict(zip(probes.column("query").to_pylist(), probes.column("asked"), strict=True)) if len(probes) else {}
         if len(members):
             groups: dict[tuple[int, int], list] = {}
-            for a, salt, b, data in zip(members.column("a").to_pylist(), members.column("salt").to_pylist(), members.column("b").to_pylist(), members.column("data"), strict=True):
+            for a, salt, b, data in zip(*(members.column(c).to_pylist() for c in ("probe", "salt", "member")), members.column("stored"), strict=True):
                 groups.setdefault((a, salt), []).append((b, data))
             for (a, _), own in groups.items():
                 query = np.cumsum(spread.unpack(sets[a].as_py())[0], dtype=U64)
@@ -245,8 +245,10 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int"))
     members = salted.join(sets.select(F.col("doc_id").alias("b"), "data"), "b")
     probes = salted.select("a", "salt").distinct().join(sets.select(F.col("doc_id").alias("a"), "data"), "a")
-    at = F.pmod(F.xxhash64("a", "salt"), F.lit(8 * n)).alias("at")
-    return members.select(at, "a", "salt", "b", "data").groupBy("at").cogroup(probes.select(at, "a", "data").dropDuplicates(["at", "a"]).groupBy("at")).applyInArrow(_probe(num, den), "a long, b long")
+    at = F.pmod(F.xxhash64("a", "salt"), F.lit(8 * n))
+    stored = members.select(at.alias("at"), F.col("a").alias("probe"), "salt", F.col("b").alias("member"), F.col("data").alias("stored"))
+    asked = probes.select(at.alias("task"), F.col("a").alias("query"), F.col("data").alias("asked")).dropDuplicates(["task", "query"])
+    return stored.groupBy("at").cogroup(asked.groupBy("task")).applyInArrow(_probe(num, den), "a long, b long")
 
 
 def jaccard_join(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100) -> DataFrame:

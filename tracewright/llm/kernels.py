@@ -142,7 +142,7 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.nd
         out[dst] = rolling[dst + src]
     for d in np.flatnonzero((counts > 0) & (counts < size)):
         w = words[first[d] : first[d + 1]]
-        out[out_offsets[d]] = (w * _MUL[: len(w)]).sum(dtype=U64) + _MUL[8 + len(w)]
+        out[out_offsets[d]] = np.append(w * _MUL[: len(w)], _MUL[8 + len(w)]).sum(dtype=U64)
     return mix(out), out_offsets
 
 

@@ -2,8 +2,8 @@
 
 A text is cut into sections (blank lines end them, and so does a paragraph
 whose digest falls into one of 16 slots, so that cuts depend on content
-alone), sections into paragraphs (lines), paragraphs into leaves (sentences,
-long ones by content again). A node's digest is that of its children's. The
+alone), sections into paragraphs (lines), paragraphs into leaves (20 to 120
+characters, cut by content again). A node's digest is that of its children's. The
 fingerprint writes the tree down: the root, then for each section its
 paragraphs' leaves with their lengths. Equal roots say equal texts; where roots
 differ, the comparison goes down only into branches that differ.
@@ -25,9 +25,7 @@ from tracewright.llm.kernels import NULL_ID
 
 #: Characters of a leaf's digest; roots and inner nodes have 32.
 LEAF = 12
-#: A leaf ends after a sentence's end, or after a word where it has grown this long.
-LONG = 240
-_ENDS = re.compile(r"[.!?]+\s+")
+_LEAF = re.compile(r".{20,120}?(?<=[.!?,;:dnst])\s+|.{120}|.+")
 
 
 def _digest(data: bytes, size: int = 16) -> str:
@@ -35,36 +33,8 @@ def _digest(data: bytes, size: int = 16) -> str:
 
 
 def leaves(paragraph: str) -> list[str]:
-    """Sentences with the white space after them; joined they give the paragraph."""
-    out, at = [], 0
-    for m in _ENDS.finditer(paragraph):
-        if m.end() - at >= 16:  # very short sentences go with the next one
-            out.append(paragraph[at : m.end()])
-            at = m.end()
-    out.append(paragraph[at:])
-    return [piece for s in out if s for piece in _split_long(s)]
-
-
-def _split_long(s: str) -> list[str]:
-    """A long sentence, cut after words whose digest falls into one of 16 slots (or at LONG * 4 characters), so that an edit moves few cuts."""
-    if len(s) <= LONG:
-        return [s]
-    out, at = [], 0
-    for m in re.finditer(r"\S+\s*", s):
-        n = m.end() - at
-        if n >= LONG // 4 and (n >= LONG * 4 or hash_slot(m.group().rstrip())):
-            while m.end() - at > LONG * 4:  # a word without end
-                out.append(s[at : at + LONG * 4])
-                at += LONG * 4
-            out.append(s[at : m.end()])
-            at = m.end()
-    if at < len(s):
-        out.append(s[at:])
-    return [x for x in out if x]
-
-
-def hash_slot(word: str) -> bool:
-    return hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=1).digest()[0] % 16 == 0
+    """Pieces of a line that end after a sentence, or after a word as its last letter says; joined they give the line."""
+    return _LEAF.findall(paragraph)
 
 
 def fingerprint(text: str) -> str:
@@ -76,7 +46,7 @@ def fingerprint(text: str) -> str:
             data = leaf.encode("utf-8", "surrogatepass")
             own.append(f"{_digest(data, LEAF // 2)}{len(leaf):x}")
         sections[-1].append(own)
-        if not line.strip() or int(own[-1][:LEAF][-1], 16) == 0:
+        if not line.strip() or int(own[-1][LEAF - 1], 16) == 0:
             sections.append([])
     body = "|".join(";".join(",".join(p) for p in s) for s in sections)
     nodes = [_digest(";".join(_digest(",".join(p).encode()) for p in s).encode()) for s in sections]

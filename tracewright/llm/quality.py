@@ -203,3 +203,21 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample:
     model = spark.sparkContext.broadcast(train(docs, labels, sample))
     out = _inputs(docs).mapInArrow(_scored(model), "doc_id long, score double")
     return out.withColumn("keep", F.col("score") >= F.lit(threshold))
+
+
+def _kept(model, threshold: float):
+    def keep(batches):
+        for batch in batches:
+            got = [model.value.score(*_both_views(part)) for part in K.batches(batch)]
+            yield batch.filter(pa.array(np.concatenate(got) >= threshold)) if got else batch
+
+    return keep
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs (doc_id, text, lang, source, n_chars) that quality() keeps; only these columns."""
+    spark = docs.sparkSession
+    spread.ready(spark)
+    model = spark.sparkContext.broadcast(train(docs, labels, sample))
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    return rows.mapInArrow(_kept(model, threshold), rows.schema)

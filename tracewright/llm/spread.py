@@ -45,10 +45,15 @@ def chunk_count(df: DataFrame, each: int = 10 << 20) -> int:
     return max(partitions(df.sparkSession), math.ceil(text_bytes(df) / each))
 
 
-def keyed(df: DataFrame, chunks: int) -> DataFrame:
-    """doc_id, text and the chunk of each document; other columns go, NULL ids become NULL_ID."""
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    return df.select(F.pmod(F.xxhash64(doc), F.lit(chunks)).cast("int").alias("chunk"), doc.alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+def keyed(df: DataFrame, chunks: int, *carry: str) -> DataFrame:
+    """doc_id, text and the chunk of each document, and the columns to carry; other columns go, NULL ids become NULL_ID."""
+    doc = doc_key(F.col("doc_id"))
+    return df.select(F.pmod(F.xxhash64(doc), F.lit(chunks)).cast("int").alias("chunk"), doc.alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *carry)
+
+
+def doc_key(doc: Column) -> Column:
+    """A doc_id as a long that is never NULL."""
+    return F.coalesce(doc.cast("long"), F.lit(NULL_ID))
 
 
 def given(doc: Column) -> Column:
@@ -117,10 +122,6 @@ def running(df: DataFrame, order: list, value: str, name: str = "upto") -> DataF
     return local.join(F.broadcast(offsets), "__pid").withColumn(name, F.col(name) + F.col("__before")).drop("__pid", "__before")
 
 
-def running_safe(value: Column) -> Column:
-    return F.coalesce(value, F.lit(0)).cast("long")
-
-
 def components(links: DataFrame) -> DataFrame:
     """Connected components of an undirected edge list (a, b): node, component = smallest node reachable.
 

@@ -1,3 +1,52 @@
-"""Stages of the corpus pipeline: each takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""Stages of the corpus pipeline: each takes (spark, docs, sf_dir) and returns a DataFrame.
 
-STAGES = []
+All but the last return doc_id, text, lang, source, n_chars.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracewright.llm.jaccard_join import jaccard_join
+from tracewright.llm.mixing import mix_sources
+from tracewright.llm.packing import best_fit_packing
+from tracewright.llm.quality import keep_quality
+from tracewright.llm.spread import doc_key, read
+from tracewright.llm.suffix_dedup import suffix_dedup
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return keep_quality(docs, read(spark, sf_dir, "labels"))
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the smallest doc_id stays, once."""
+    stays = jaccard_join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(doc_key(F.col("doc_id")).alias("stays")).distinct()
+    rows = docs.select(*COLUMNS).withColumn("key", doc_key(F.col("doc_id")))
+    return rows.join(stays, rows["key"] == stays["stays"], "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
+
+
+def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Long repeats go from texts; a document that loses all its text goes too."""
+    out = suffix_dedup(docs, carry=("lang", "source"))
+    return out.where("n_removed < n_bytes or n_bytes = 0").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    copies = mix_sources(docs).where("copies > 0").groupBy(doc_key(F.col("doc_id")).alias("taken")).agg(F.max("copies").alias("copies"))
+    rows = docs.select(*COLUMNS).withColumn("key", doc_key(F.col("doc_id")))
+    return rows.join(copies, rows["key"] == copies["taken"]).select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces in packed sequences."""
+    return best_fit_packing(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality_classifier", quality_stage), ("ngram_jaccard_join", near_duplicates_stage), ("suffix_array_dedup", repeats_stage), ("source_mixing", mixing_stage), ("best_fit_packing", packing_stage)]

@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewright.llm import kernels as K
 from tracewright.llm import spread
@@ -319,7 +320,8 @@ def _answer_segments(length: int):
     return answer
 
 
-SPANS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,stop:long>>"
+DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+REMAINS = "kept binary, text string, spans array<struct<start:long,stop:long>>"
 
 
 def _found(keys: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -333,7 +335,7 @@ def _found(keys: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hit, order[at[hit]]
 
 
-def _mark(length: int, texts: bool):
+def _mark(length: int, texts: bool, carry: tuple[str, ...]):
     def mark(table: pa.Table, replies: pa.Table) -> pa.Table:
         docs, raw, offsets, doc, a, b, _, key = _read_chunk(table, length)
         parts = [spread.unpack(x.as_py()) for x in replies.column("data")] if len(replies) else []
@@ -364,31 +366,34 @@ def _mark(length: int, texts: bool):
         sums = np.concatenate([[0], np.cumsum(cover)])
         removed = sums[offsets[1:]] - sums[offsets[:-1]]
         cuts = np.searchsorted(heads, offsets)
-        sha, kept, spans = [], [], []
+        sha, kept, text, spans = [], [], [], []
+        whole = cover.copy()  # a character goes if all its bytes go
+        if texts and cover.any():
+            lead = np.flatnonzero((raw & 0xC0) != 0x80)
+            whole = np.repeat(np.logical_and.reduceat(cover, lead), np.diff(np.append(lead, len(raw))))
         for i in range(len(docs)):
             s, e = offsets[i], offsets[i + 1]
-            text = raw[s:e] if not removed[i] else raw[s:e][~cover[s:e]]
-            data = text.tobytes()
+            data = (raw[s:e] if not removed[i] else raw[s:e][~cover[s:e]]).tobytes()
             sha.append(hashlib.sha256(data).hexdigest())
             if texts:
                 kept.append(data)
+                text.append(data if not removed[i] else raw[s:e][~whole[s:e]].tobytes())
                 spans.append([{"start": int(x - s), "stop": int(y - s)} for x, y in zip(heads[cuts[i] : cuts[i + 1]], tails[cuts[i] : cuts[i + 1]], strict=True)])
-        none = pa.nulls(len(docs), pa.binary())
-        kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        return pa.table({
-            "doc_id": docs, "n_bytes": np.diff(offsets), "n_removed": removed.astype(np.int64), "n_spans": np.diff(cuts).astype(np.int64), "kept_sha256": pa.array(sha, pa.string()),
-            "kept": pa.array(kept, pa.binary()) if texts else none, "spans": pa.array(spans, kind) if texts else pa.nulls(len(docs), kind),
-        })
+        out = {"doc_id": docs, "n_bytes": np.diff(offsets), "n_removed": removed.astype(np.int64), "n_spans": np.diff(cuts).astype(np.int64), "kept_sha256": pa.array(sha, pa.string())}
+        if texts:
+            out |= {"kept": pa.array(kept, pa.binary()), "text": pa.array(text, pa.binary()).cast(pa.string()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))}
+        return pa.table(out | {c: table.column(c) for c in carry})
 
     return mark
 
 
-def suffix_dedup(docs: DataFrame, length: int = 50, texts: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 50, texts: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
     """Long repeats of documents (doc_id, text): one row a row of docs.
 
     doc_id, n_bytes, n_removed, n_spans, kept_sha256; with texts also kept (the
-    remaining bytes, which can end inside a character) and spans (byte ranges
-    removed). Texts are judged as given, whole, and matches never cross
+    remaining bytes, which can end inside a character), text (a string of all
+    characters but those that go with all their bytes) and spans (byte ranges
+    removed); then the columns of docs named by carry. Texts are judged as given, whole, and matches never cross
     documents. A null text is empty; a null doc_id sorts after all others and
     stays null. Rows with one doc_id never remove each other's bytes. A text
     under `length` bytes stays whole. Other columns are ignored. An empty
@@ -398,11 +403,11 @@ def suffix_dedup(docs: DataFrame, length: int = 50, texts: bool = True) -> DataF
         raise ValueError(f"length must be {2 * ANCHOR} or more")
     spread.ready(docs.sparkSession)
     n = spread.chunk_count(docs)
-    rows = spread.keyed(docs, n)
+    rows = spread.keyed(docs, n, *carry)  # shuffled once, read three times
     anchors = rows.groupBy("chunk").applyInArrow(_send_anchors(length, n), SENT)
     shared = anchors.groupBy("bucket").applyInArrow(_answer_anchors, SENT)
     segments = rows.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_send_segments(length, n), SENT)
     matches = segments.groupBy("bucket").applyInArrow(_answer_segments(length), SENT)
-    marked = rows.groupBy("chunk").cogroup(matches.groupBy("chunk")).applyInArrow(_mark(length, texts), SPANS)
-    out = marked.withColumn("doc_id", spread.given(F.col("doc_id")))
-    return out if texts else out.drop("kept", "spans")
+    kind = T.StructType([*T._parse_datatype_string(f"{DIGEST}, {REMAINS}" if texts else DIGEST).fields, *(docs.schema[c] for c in carry)])
+    marked = rows.groupBy("chunk").cogroup(matches.groupBy("chunk")).applyInArrow(_mark(length, texts, carry), kind)
+    return marked.withColumn("doc_id", spread.given(F.col("doc_id")))
