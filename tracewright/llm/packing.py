@@ -11,6 +11,8 @@ Pieces then get their places by their rank among those of their length.
 
 from __future__ import annotations
 
+import functools
+import os
 import zlib
 
 import numpy as np
@@ -22,8 +24,10 @@ from tracewright.llm import spread
 from tracewright.llm.kernels import NULL_ID
 
 CAPACITY = 4096
-#: Words a worker remembers with their ids.
-REMEMBERED = 200_000
+#: Words a worker remembers with their ids, from one task to the next; further ones are encoded each time.
+REMEMBERED = 600_000
+#: Words of a text that are looked up at once.
+PART = 50_000
 
 
 class WordIds:
@@ -34,46 +38,56 @@ class WordIds:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.slot: dict[str, int] = {}
-        self.flat, self.at = np.zeros(1 << 16, np.uint32), np.zeros(REMEMBERED + 2, np.int64)
+        self.flat, self.at = np.zeros(1 << 20, np.uint32), np.zeros(REMEMBERED + PART + 2, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: list[str], base: int) -> dict[str, int]:
+        """Ids of new words from slot base on; their slots."""
+        slots = {}
         for w, e in zip(words, self.library.encode_batch(words, add_special_tokens=False), strict=True):
-            i, n = len(self.slot), len(e.ids)
+            i, ids = base + len(slots), e.ids
             top = int(self.at[i])
-            if top + n > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(n, len(self.flat)), np.uint32)])
-            self.flat[top : top + n] = e.ids
-            self.at[i + 1] = top + n
-            self.slot[w] = i
+            if top + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros(max(len(ids), len(self.flat) // 2), np.uint32)])
+            self.flat[top : top + len(ids)] = ids
+            self.at[i + 1] = top + len(ids)
+            slots[w] = i
+        return slots
 
     def __call__(self, text: str) -> np.ndarray:
         words = text.replace("\n", " ").split(" ")
-        if len(words) > REMEMBERED // 2:
-            return np.concatenate([self(" ".join(words[k : k + REMEMBERED // 4])) for k in range(0, len(words), REMEMBERED // 4)])
+        parts = [self._ids(words[k : k + PART]) for k in range(0, len(words), PART)]
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+    def _ids(self, words: list[str]) -> np.ndarray:
         places = list(map(self.slot.get, words))
         if None in places:
-            new = list({w for w, p in zip(words, places, strict=True) if p is None})
-            if len(self.slot) + len(new) > REMEMBERED:
-                self.slot.clear()
-                new = list(set(words))
-            self._learn(new)
-            places = list(map(self.slot.__getitem__, words))
+            slots = self._learn(list({w for w, p in zip(words, places, strict=True) if p is None}), len(self.slot))
+            if len(self.slot) + len(slots) <= REMEMBERED:
+                self.slot.update(slots)
+            places = [slots[w] if p is None else p for w, p in zip(words, places, strict=True)]
         p = np.array(places, np.int64)
         start, size = self.at[p], self.at[p + 1] - self.at[p]
         ends = np.cumsum(size)
         return self.flat[np.arange(int(ends[-1])) + np.repeat(start - (ends - size), size)]
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> WordIds:
+    """This process's encoder: its memory outlives a task."""
+    return WordIds(path)
+
+
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def _pieces(path: str, capacity: int, end: int, ids: bool):
     def cut(batches):
-        encode = WordIds(path)
+        encode = encoder(path)
         for batch in batches:
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):

@@ -11,6 +11,7 @@ summaries, merged in groups until a few remain.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter
 
@@ -79,6 +80,12 @@ class Lengths:
         return total + sum(known)
 
 
+@functools.lru_cache(maxsize=1)
+def _worker(path: str) -> Lengths:
+    """This process's second tier: its cache outlives a task."""
+    return Lengths(path, {})
+
+
 def _summary(counts: Counter, keep: int) -> pa.RecordBatch:
     top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:keep]
     return pa.RecordBatch.from_arrays([pa.array([[w for w, _ in top]], pa.list_(pa.string())), pa.array([[n for _, n in top]], pa.list_(pa.int64()))], names=["words", "counts"])
@@ -126,7 +133,8 @@ def frequent_pre_tokens(docs: DataFrame, keep: int = FREQUENT) -> list[str]:
 
 def _count(path: str, limit: int, table):
     def count(batches):
-        lengths = Lengths(path, table.value)
+        lengths = _worker(path)
+        lengths.table = table.value
         for batch in batches:
             n = [lengths.count(t.as_py()) for t in batch.column("text")]
             size = pc.binary_length(batch.column("text")).cast(pa.int64())
