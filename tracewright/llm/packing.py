@@ -199,6 +199,7 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
     spread.ready(spark)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     pieces = rows.mapInArrow(_pieces(tokenizer, capacity, end, ids), PIECE + (", ids array<int>" if ids else "")).withColumn("one", F.lit(1).cast("long"))
+    pieces = spread.cut(pieces)  # range partitioning samples its input first: without this the texts would be encoded twice
     ranked = spread.running(pieces, ["length", F.xxhash64("doc_id", "piece"), "doc_id", "piece", "ids_crc32"], "one")
     counts = np.zeros(capacity + 1, np.int64)
     for r in ranked.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most one row a length
