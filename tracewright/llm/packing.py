@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 
 import numpy as np
@@ -30,11 +31,26 @@ REMEMBERED = 600_000
 PART = 50_000
 
 
+#: Words of Latin-1 letters with ASCII marks (no apostrophe) behind them: two pre-tokens, which need no normaliser.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_PROBES = ["the", "The,", "straße", "ÉTÉ!!", "naïve...", "x", "word|", "Ab***", "über-", "!"]
+
+
+@functools.cache
+def _byte_letters() -> dict[int, str]:
+    """Printable bytes stand for themselves, the others in order for code points from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordIds:
     """Token ids of whole texts, word by word with a bounded memory.
 
     The tokenizer lower-cases, drops white space and never merges across it,
-    so a text's ids are its words' ids in order.
+    so a text's ids are its words' ids in order. A new word that is plain goes
+    to the library's merging model at once, others through all of the library;
+    probes at the start say whether both give the same for this tokenizer.
     """
 
     def __init__(self, path: str):
@@ -44,12 +60,31 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.slot: dict[str, int] = {}
         self.flat, self.at = np.zeros(1 << 20, np.uint32), np.zeros(REMEMBERED + PART + 2, np.int64)
+        self.merge, self.marks, self.plain = self.library.model.tokenize, {}, True
+        whole = [e.ids for e in self.library.encode_batch(_PROBES, add_special_tokens=False)]
+        self.plain = all(p is None or p == w for p, w in zip(map(self._plain, _PROBES), whole, strict=True))
+
+    def _plain(self, word: str) -> list[int] | None:
+        """The ids of a plain word, None for any other."""
+        m = _PLAIN.fullmatch(word) if self.plain else None
+        if m is None:
+            return None
+        letters, marks = m.groups()
+        ids = [t.id for t in self.merge(letters.lower().encode().decode("latin-1").translate(_byte_letters()))]
+        if marks:
+            if marks not in self.marks and len(self.marks) < PART:
+                self.marks[marks] = [t.id for t in self.merge(marks)]
+            ids += self.marks[marks] if marks in self.marks else [t.id for t in self.merge(marks)]
+        return ids
 
     def _learn(self, words: list[str], base: int) -> dict[str, int]:
         """Ids of new words from slot base on; their slots."""
         slots = {}
-        for w, e in zip(words, self.library.encode_batch(words, add_special_tokens=False), strict=True):
-            i, ids = base + len(slots), e.ids
+        known = [self._plain(w) for w in words]
+        rest = iter(self.library.encode_batch([w for w, k in zip(words, known, strict=True) if k is None], add_special_tokens=False))
+        for w, ids in zip(words, known, strict=True):
+            i = base + len(slots)
+            ids = next(rest).ids if ids is None else ids
             top = int(self.at[i])
             if top + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(max(len(ids), len(self.flat) // 2), np.uint32)])
