@@ -332,7 +332,7 @@ def time_range(spark, sf_dir):
 
 @query(f"""
     WITH {LOG}, b AS (SELECT min(ts) AS lo, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000 AS span FROM log),
-    s AS (SELECT *, CASE WHEN span < 60 THEN 5 WHEN span < 3600 THEN 60 WHEN span < 86400 THEN 600 ELSE 3600 END AS step FROM b), n AS (SELECT *, greatest(1, span // step) AS n FROM s),
+    s AS (SELECT *, CASE WHEN span < 60 THEN 5 WHEN span < 3600 THEN 60 WHEN span < 86400 THEN 600 ELSE 3600::BIGINT END AS step FROM b), n AS (SELECT *, greatest(1, span // step) AS n FROM s),
     c AS (SELECT least((epoch_us(ts) - epoch_us(lo)) // (step * 1000000), n - 1) AS bucket, count(*) AS count FROM log, n GROUP BY 1)
     SELECT r.bucket, {_time("lo + to_seconds(r.bucket * step)", "start")}, coalesce(count, 0) AS count FROM (SELECT unnest(range(n)) AS bucket, lo, step FROM n) r LEFT JOIN c ON c.bucket = r.bucket""")
 def timeline(spark, sf_dir):
@@ -542,7 +542,7 @@ def parse_classic_roundtrip(spark, sf_dir):
     return _round_trip(spark, sf_dir, "classic", raw).select("source_line_number", "component", "component_id", "timestamp", "level", "kind", "name", "direction", "request_id", "payload_json")
 
 
-@query(f"""WITH {LOG} SELECT {_BACK}, 'core::' || component AS component, level, 'did ' || event_type AS message, CAST(user_id AS VARCHAR) AS "user", props AS props FROM log""")
+@query(f"""WITH {LOG} SELECT {_BACK}, 'core::' || component AS component, level, 'did ' || log.event_type AS message, CAST(log.user_id AS VARCHAR) AS "user", e.props AS props FROM log JOIN events e ON e.event_id = log.seq""")
 def parse_tracing_roundtrip(spark, sf_dir):
     def raw(_):
         fields = "structured_fields"
@@ -565,7 +565,7 @@ def parse_syslog_roundtrip(spark, sf_dir):
     return out.select("source_line_number", "component", "component_id", "level", F.concat(F.element_at("structured_fields", "host"), F.lit(" host")).alias("host"), F.date_format("timestamp", "MM-dd HH:mm:ss").alias("day"))
 
 
-@query(f"""WITH {LOG} SELECT {_BACK}, component, component_id, level, message, CAST(user_id AS VARCHAR) AS "user", regexp_replace(payload_json, '"key":"[^"]*"', '"key":"x"') AS payload_json FROM log""")
+@query(f"""WITH {LOG} SELECT {_BACK}, component, component_id, level, message, CAST(user_id AS VARCHAR) AS "user", CASE WHEN kind <> 'Request' THEN regexp_replace(payload_json, '"key":"[^"]*"', '"key":"x"') END AS payload_json FROM log""")
 def parse_jsonl_roundtrip(spark, sf_dir):
     def raw(_):
         return F.to_json(F.struct(F.date_format("timestamp", _ISO_MS).alias("ts"), F.lower("level").alias("lvl"), F.col("component").alias("service"), "component_id", F.col("message").alias("msg"), F.element_at("structured_fields", "user").alias("user"), F.from_json("payload_json", "k bigint, key string").alias("payload")))

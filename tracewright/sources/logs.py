@@ -251,6 +251,11 @@ def _headers(entries: DataFrame, fmt: str, rules: ParserRules, year: int | None,
     return got.select(*entries.columns, *[c.alias(k) for k, c in columns.items()])
 
 
+def _barrier(df: DataFrame) -> DataFrame:
+    """The same rows behind a node that projections don't collapse over: each column is worked out once, not wherever it is used."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 # --- classification -------------------------------------------------------------
 
 def _payload_udf(indicators: tuple[str, ...]):
@@ -302,14 +307,14 @@ def classify(entries: DataFrame, rules: ParserRules) -> DataFrame:
     endpoint = F.when(F.contains(t, F.lit(mark)) & F.contains(place, F.lit("]")), F.substring_index(place, "]", 1)) if mark else null
     kind = F.when(event, EVENT).when(is_command, COMMAND).when(is_request, REQUEST).otherwise(GENERIC)
     is_ = lambda k: F.col("kind") == k
-    rows = entries.withColumn("kind", kind)
+    rows = _barrier(entries.withColumn("kind", kind))
     rows = rows.withColumn("name", F.when(is_(EVENT), event_type).when(is_(COMMAND), F.substring_index(after, suffix, 1) if suffix else null).when(is_(REQUEST), F.substring_index(tail, '"', 1)))
     rows = rows.where(~is_(EVENT) | F.col("name").isNotNull())
     holder = (
         F.when(is_(EVENT), F.trim(F.substr(t, F.instr(t, sep) + len(sep)))) if sep else F.when(F.lit(False), t)
     ).when(is_(COMMAND), _first_marker(t, rules.command_payload_markers, "last", True)).when(is_(REQUEST), _first_marker(t, rules.request_payload_markers, "after", False)).otherwise(t)
-    rows = rows.withColumn("holder", holder)
-    plain = rows.withColumn("got", F.when(F.col("holder").isNotNull(), _payload_udf(rules.json_indicators)(F.col("holder"))))
+    plain = _barrier(rows.withColumn("holder", holder))
+    plain = plain.withColumn("got", F.when(F.col("holder").isNotNull(), _payload_udf(rules.json_indicators)(F.col("holder"))))
     cleaned_request = _first_marker(t, (*rules.command_payload_markers, *rules.request_payload_markers), "cleaned", False)
     message = (
         F.when(is_(EVENT), F.concat(part, F.lit(f" {sep} [JSON removed]")))
@@ -325,7 +330,7 @@ def classify(entries: DataFrame, rules: ParserRules) -> DataFrame:
 
 def parse_entries(framed: DataFrame, fmt: str, rules: ParserRules, file_idx: int = 0, year: int | None = None, strict: bool = True) -> DataFrame:
     """Entries from framed raw text (file, source_line_number, raw_logline); what has no readable header goes."""
-    rows = classify(_headers(framed, fmt, rules, year, strict).where("timestamp is not null"), rules)
+    rows = classify(_barrier(_headers(framed, fmt, rules, year, strict).where("timestamp is not null")), rules)
     rows = rows.withColumn("file_idx", F.lit(file_idx)).withColumn("seq", F.col("source_line_number"))
     return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in ENTRY.fields])
 
