@@ -17,8 +17,9 @@ Sets of word shingles link when their Jaccard similarity reaches a threshold
    shared path, and leaves subtrees whose remaining length can't reach the
    threshold. Probes go first to one member a shingle (the pivot, another in
    each round): two members that are in one component already need no test.
-   What is left of a shingle's group after the rounds is probed exactly, pair
-   by pair of different components, within the size and position bounds.
+   What is left of a shingle's group after the rounds is probed exactly: pairs
+   of different components, within the size and position bounds, of which the
+   smaller one has the shared shingle among its first n - ceil(2t/(1+t) n) + 1.
 """
 
 from __future__ import annotations
@@ -140,12 +141,12 @@ def _answer_shingles(table: pa.Table) -> pa.Table:
     return _sent([(b.as_py(), c.as_py(), spread.pack(level[e - len(x[0]) : e])) for b, c, x, e in zip(table.column("bucket"), table.column("chunk"), lists, ends, strict=True)])
 
 
-SET = "doc_id long, n long, data binary, prefix array<struct<token:long,at:int>>"
+SET = "doc_id long, n long, data binary, prefix array<struct<token:long,at:int,shared:int>>"
 
 
 def _send_sets(size: int, buckets: int, num: int, den: int):
     def send(table: pa.Table, replies: pa.Table) -> pa.Table:
-        kind = pa.list_(pa.struct([("token", pa.int64()), ("at", pa.int32())]))
+        kind = pa.list_(pa.struct([("token", pa.int64()), ("at", pa.int32()), ("shared", pa.int32())]))
         out = {"doc_id": [], "n": [], "data": [], "prefix": []}
         tables = replies.filter(pc.is_valid(replies.column("class"))) if len(replies) else replies
         marks = replies.filter(pc.is_null(replies.column("class"))) if len(replies) else replies
@@ -166,7 +167,7 @@ def _send_sets(size: int, buckets: int, num: int, den: int):
                     out["doc_id"].append(int(docs[i]))
                     out["n"].append(n)
                     out["data"].append(spread.pack(spread.pack_sorted(key)))
-                    out["prefix"].append([{"token": int(t), "at": j} for j, t in zip(range(alone, first), (key[alone:first] & LOW).tolist(), strict=False)])
+                    out["prefix"].append([{"token": int(t), "at": j, "shared": j - alone} for j, t in zip(range(alone, first), (key[alone:first] & LOW).tolist(), strict=False)])
         return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "data": pa.array(out["data"], pa.binary()), "prefix": pa.array(out["prefix"], kind)})
 
     return send
@@ -278,41 +279,43 @@ def jaccard_join(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100)
     levels = shingles.groupBy("bucket").applyInArrow(_answer_shingles, SENT)
     replies = reps.unionByName(levels.select("chunk", "bucket", "data"), allowMissingColumns=True)
     sets = spread.cut(rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_send_sets(size, n, num, den), SET))
-    # one doc_id may stand for several classes when it comes twice: those sets all bear its name
-    posted = spread.cut(sets.select("doc_id", "n", F.explode("prefix").alias("p")).select("doc_id", "n", F.col("p.token").alias("token"), F.col("p.at").alias("at")))
+    posted = sets.select("doc_id", "n", F.explode("prefix").alias("p")).select("doc_id", "n", "p.*")
+    posted = spread.cut(posted.withColumn("component", F.col("doc_id")))
+    parts = spread.parts_for(posted.count())
+    state = posted = posted.coalesce(parts)
     links = tested = None
-    state = posted.withColumn("component", F.col("doc_id"))
     for step in range(ROUNDS + 1):
-        crossing = state.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("doc_id", F.lit(step)).alias("h"), "doc_id", "component", "n", "at")).alias("p") if step else F.max(F.struct("n", "doc_id", "component", "at")).alias("p")).where("low < high")
-        if step < ROUNDS:
-            pairs = state.alias("s").join(crossing.alias("c"), "token").where("s.component <> c.p.component").select(F.col("p.doc_id").alias("a"), F.col("s.doc_id").alias("b"), F.col("p.n").alias("na"), F.col("s.n").alias("nb"), F.col("p.at").alias("pa"), F.col("s.at").alias("pb"))
-        else:
-            left = state.join(crossing.select("token"), "token", "left_semi")
-            pairs = left.alias("x").join(left.alias("y"), "token").where("x.component < y.component").select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.at").alias("pa"), F.col("y.at").alias("pb"))
-        # sizes, and what is left before and after the shared shingle, bound the overlap
-        pairs = pairs.where(f"{den} * least(na, nb) >= {num} * greatest(na, nb)").where(f"{den + num} * (1 + least(pa, pb) + least(na - pa - 1, nb - pb - 1)) >= {num} * (na + nb)")
-        pairs = pairs.select("a", "b").distinct()
+        exact = step == ROUNDS
+        pivot = F.struct("n", "doc_id", "component", "at", "shared") if step == 0 else F.struct((-F.abs(F.xxhash64("doc_id", F.lit(step)))).alias("dice"), "doc_id", "component", "n", "at", "shared")
+        crossing = state.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(pivot).alias("p")).where("low < high")
+        if not exact:
+            x, y = state, crossing.select("token", "p.*")
+        else:  # all pairs of different components; the smaller set of a link has the shared shingle among its very first ones
+            x = state.join(crossing.select("token"), "token", "left_semi")
+            y = x.where(F.expr(f"at <= n - ceil({2 * num} * n / {num + den})"))
+        x, y = x.alias("x"), y.alias("y")
+        # sizes, and what can be shared before and after this shingle, bound the overlap
+        before, after = "least(x.shared, y.shared)", "least(x.n - x.at, y.n - y.at)"
+        fits = f"x.component <> y.component and {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) and {den + num} * ({before} + {after}) >= {num} * (x.n + y.n)"
+        pairs = x.join(y, F.expr(f"x.token = y.token and {fits}" + (" and y.n <= x.n" if exact else "")))
+        pairs = pairs.select(F.greatest("x.doc_id", "y.doc_id").alias("b"), F.least("x.doc_id", "y.doc_id").alias("a")).distinct() if exact else pairs.select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-        pairs = spread.cut(pairs)
+            done = tested.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        pairs = spread.cut(pairs, None if exact else parts)
         if pairs.isEmpty():
-            break
+            continue  # other pivots may still cross
         fresh = spread.cut(_linked(pairs, sets, num, den))
-        tested = pairs if tested is None else spread.cut(tested.union(pairs))
-        links = fresh if links is None else spread.cut(links.union(fresh))
-        if step == ROUNDS:
-            break
-        of = components(links)
-        state = posted.join(of, posted["doc_id"] == of["node"], "left").select("doc_id", "n", "token", "at", F.coalesce("component", "doc_id").alias("component"))
-        state = spread.cut(state)
+        tested = pairs if tested is None else spread.cut(tested.union(pairs), parts)
+        links = fresh if links is None else spread.cut(links.union(fresh), parts)
+        if not exact:
+            of = spread.components(links).withColumnRenamed("component", "joined")
+            state = spread.cut(posted.join(of, posted["doc_id"] == of["node"], "left").select("doc_id", "n", "token", "at", "shared", F.coalesce("joined", "doc_id").alias("component")), parts)
     if links is None:
         found = classes.select("class", F.col("rep").alias("component"))
     else:
-        of = components(links)
+        of = spread.components(links)
         found = classes.join(of, classes["rep"] == of["node"], "left").select("class", F.coalesce("component", "rep").alias("component"))
     out = sized.join(found, "class", "left")
     return out.select(spread.given(F.col("doc_id")).alias("doc_id"), "n_shingles", spread.given(F.coalesce("component", "doc_id")).alias("component_id"))
 
-
-def components(links: DataFrame) -> DataFrame:
-    return spread.cut(spread.components(links))

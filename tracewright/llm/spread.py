@@ -26,10 +26,15 @@ def ready(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from the shared checkpoint folder: lineage ends here."""
+def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """The same rows, read from the shared checkpoint folder: lineage ends here. parts: partitions at most, for tables of few rows."""
     ready(df.sparkSession)
-    return df.checkpoint()
+    return (df.coalesce(parts) if parts else df).checkpoint()
+
+
+def parts_for(rows: int, each: int = 100_000) -> int:
+    """Partitions for a table of so many narrow rows: a few rows don't need a file in every task of a shuffle."""
+    return max(1, math.ceil(rows / each))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -129,15 +134,21 @@ def components(links: DataFrame) -> DataFrame:
     is checkpointed, and only two counters come to the driver.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    seen = None
+    count = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+    seen = count(edges)
+    parts = parts_for(seen["n"])  # a round makes no edges beyond twice those it has
+    edges = edges.coalesce(parts)
     while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = edges.select(F.inline(ways))
         lows = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(lows, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = cut(both.join(lows, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), parts)
         lows = large.groupBy("a").agg(F.min("b").alias("m"))
-        linked = large.join(lows, "a")
-        edges = cut(linked.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(lows.select("a", F.col("m").alias("b"))).distinct())
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        small = large.join(lows, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
+        edges = cut(small.select("e.a", "e.b").where("a <> b").distinct(), parts)
+        now = count(edges)
         if seen == now:
-            return edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+            break
         seen = now
+    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return cut(edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").union(roots), parts)
