@@ -30,7 +30,7 @@ for _k, _bytes in enumerate((range(65, 91), [*range(97, 123), *range(128, 256)],
     _CLASS[list(_bytes)] = _k
 _LINE = np.zeros(256, bool)
 _LINE[[10, 13]] = True
-TEXT_VIEW = CLASSES + 8
+TEXT_VIEW = CLASSES + 9
 
 
 def text_view(column) -> np.ndarray:
@@ -54,6 +54,10 @@ def text_view(column) -> np.ndarray:
         new = np.ones(len(h), bool)
         new[1:] = (h[order][1:] != h[order][:-1]) | (own[order][1:] != own[order][:-1])
         total = np.diff(f)
+        if gap is K.SPACE:  # words said again at once
+            again = np.zeros(len(h), bool)
+            again[1:] = (h[1:] == h[:-1]) & (own[1:] == own[:-1])
+            out.append(np.bincount(own, again, n) / words)
         out.append(np.where(total > least, 1 - np.bincount(own[order][new], minlength=n) / np.maximum(total, 1), 0.0))
     lines = np.maximum(np.bincount(doc, raw == 10, n) + 1, 1)
     out += [np.log1p(words / lines), np.log1p(np.diff(offsets)), (np.diff(offsets) == 0).astype(float)]
