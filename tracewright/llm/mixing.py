@@ -68,7 +68,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, repeats: i
     rows = docs.select(doc.alias("doc_id"), F.col("source").cast("string").alias("source"), words_of(F.col("text")).alias("size"))
     rows = spread.cut(rows)
     targets = spread.cut(source_targets(rows.select("source", "size"), weights, share, repeats))
-    total = targets.agg(F.sum("target").alias("t")).first()["t"] or 0.0
+    total = min(share, repeats) * float(targets.agg(F.sum("source_size").alias("t")).first()["t"] or 0)  # what the targets add up to, without their rounding
     joined = rows.join(F.broadcast(targets) if targets.count() <= 10_000 else targets, rows["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     joined = joined.withColumn("dice", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))))
     queued = spread.running(joined, ["rank", "dice", "doc_id", "size"], "size").withColumn("row", F.monotonically_increasing_id())

@@ -103,4 +103,18 @@ ORACLES: dict[str, str] = {
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM s QUALIFY rank <= 10
     """,
+    "op8_mix_sources": r"""
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+        r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank, 2.0::DOUBLE * source_size AS cap FROM s),
+        w AS (SELECT *, CASE (rank - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight, 1.5::DOUBLE * (SELECT sum(source_size) FROM s)::DOUBLE AS total FROM r),
+        o AS (SELECT *, (total - (sum(cap) OVER by_ratio - cap)) / (sum(weight) OVER () - (sum(weight) OVER by_ratio - weight)) AS level FROM w WINDOW by_ratio AS (ORDER BY cap / weight, rank ROWS UNBOUNDED PRECEDING)),
+        f AS (SELECT level FROM o WHERE cap > weight * level ORDER BY cap / weight, rank LIMIT 1),
+        t AS (SELECT w.*, CASE WHEN cap <= weight * f.level THEN cap ELSE weight * f.level END AS target FROM w, f),
+        q AS (SELECT d.doc_id, d.size, t.*, sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix:' || d.doc_id), d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS own FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        c AS (SELECT *, (copy * source_size + own) / target AS finish FROM (SELECT *, unnest([0, 1]) AS copy FROM q WHERE target > 0 AND size > 0)),
+        p AS (SELECT *, sum(size) OVER (ORDER BY finish, rank ROWS UNBOUNDED PRECEDING) AS spent FROM c WHERE finish < 2),
+        k AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS taken, count(*) AS copies FROM p WHERE spent <= total GROUP BY doc_id)
+        SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(k.taken, 0) AS taken, CAST(CASE WHEN q.size > 0 THEN coalesce(k.copies, 0) ELSE 1 END AS INTEGER) AS copies FROM q LEFT JOIN k USING (doc_id)
+    """,
 }
