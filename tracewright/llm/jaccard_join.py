@@ -16,8 +16,8 @@ Sets of word shingles link when their Jaccard similarity reaches a threshold
    trie in global order; the probe walks it, adding up overlaps once for each
    shared path, and leaves subtrees whose remaining length can't reach the
    threshold. Probes go first to one member a shingle (the pivot, another in
-   each round): two members that are in one component already need no test.
-   What is left of a shingle's group after the rounds is probed exactly: pairs
+   each round, for a few shingles of every set): two members that are in one
+   component already need no test. What is left of a shingle's group after the rounds is probed exactly: pairs
    of different components, within the size and position bounds, of which the
    smaller one has the shared shingle among its first n - ceil(2t/(1+t) n) + 1.
 """
@@ -34,8 +34,9 @@ from tracewright.llm import kernels as K
 from tracewright.llm import spread
 
 U64 = np.uint64
-#: Rounds of pivots before the exact rest.
+#: Rounds of pivots before the exact rest, and the shingles of each set that they look at.
 ROUNDS = 3
+LEADS = 6
 #: Sets in one trie.
 TRIE = 256
 #: Bits of a shingle hash that sets are compared by.
@@ -141,12 +142,12 @@ def _answer_shingles(table: pa.Table) -> pa.Table:
     return _sent([(b.as_py(), c.as_py(), spread.pack(level[e - len(x[0]) : e])) for b, c, x, e in zip(table.column("bucket"), table.column("chunk"), lists, ends, strict=True)])
 
 
-SET = "doc_id long, n long, data binary, prefix array<struct<token:long,at:int,shared:int>>"
+SET = "doc_id long, n long, data binary, prefix array<struct<token:long,at:int,shared:int,lead:boolean>>"
 
 
 def _send_sets(size: int, buckets: int, num: int, den: int):
     def send(table: pa.Table, replies: pa.Table) -> pa.Table:
-        kind = pa.list_(pa.struct([("token", pa.int64()), ("at", pa.int32()), ("shared", pa.int32())]))
+        kind = pa.list_(pa.struct([("token", pa.int64()), ("at", pa.int32()), ("shared", pa.int32()), ("lead", pa.bool_())]))
         out = {"doc_id": [], "n": [], "data": [], "prefix": []}
         tables = replies.filter(pc.is_valid(replies.column("class"))) if len(replies) else replies
         marks = replies.filter(pc.is_null(replies.column("class"))) if len(replies) else replies
@@ -167,7 +168,9 @@ def _send_sets(size: int, buckets: int, num: int, den: int):
                     out["doc_id"].append(int(docs[i]))
                     out["n"].append(n)
                     out["data"].append(spread.pack(spread.pack_sorted(key)))
-                    out["prefix"].append([{"token": int(t), "at": j, "shared": j - alone} for j, t in zip(range(alone, first), (key[alone:first] & LOW).tolist(), strict=False)])
+                    tokens = key[alone:first] & LOW
+                    leads = set(np.argsort(K.mix(tokens * U64(11)))[:LEADS].tolist())
+                    out["prefix"].append([{"token": t, "at": alone + j, "shared": j, "lead": j in leads} for j, t in enumerate(tokens.tolist())])
         return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "data": pa.array(out["data"], pa.binary()), "prefix": pa.array(out["prefix"], kind)})
 
     return send
@@ -252,6 +255,14 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return stored.groupBy("at").cogroup(asked.groupBy("task")).applyInArrow(_probe(num, den), "a long, b long")
 
 
+def _in_components(postings: DataFrame, own: DataFrame | None) -> DataFrame:
+    """Postings with the component of their document, which is its own doc_id where it has no link yet."""
+    if own is None:
+        return postings.withColumn("component", F.col("doc_id"))
+    own = own.withColumnRenamed("component", "joined")
+    return postings.join(own, postings["doc_id"] == own["node"], "left").select(*postings.columns, F.coalesce("joined", "doc_id").alias("component"))
+
+
 def jaccard_join(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """Near-duplicate components: doc_id, n_shingles, component_id; one row a row of docs.
 
@@ -280,25 +291,29 @@ def jaccard_join(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100)
     replies = reps.unionByName(levels.select("chunk", "bucket", "data"), allowMissingColumns=True)
     sets = spread.cut(rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_send_sets(size, n, num, den), SET))
     posted = sets.select("doc_id", "n", F.explode("prefix").alias("p")).select("doc_id", "n", "p.*")
-    posted = spread.cut(posted.withColumn("component", F.col("doc_id")))
+    posted = spread.cut(posted)
     parts = spread.parts_for(posted.count())
-    state = posted = posted.coalesce(parts)
-    links = tested = None
+    posted = posted.coalesce(parts)
+    leads = posted.where("lead")
+    links = tested = own = None
     for step in range(ROUNDS + 1):
         exact = step == ROUNDS
+        state = spread.cut(_in_components(posted if exact else leads, own), parts)
         pivot = F.struct("n", "doc_id", "component", "at", "shared") if step == 0 else F.struct((-F.abs(F.xxhash64("doc_id", F.lit(step)))).alias("dice"), "doc_id", "component", "n", "at", "shared")
-        crossing = state.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(pivot).alias("p")).where("low < high")
-        if not exact:
-            x, y = state, crossing.select("token", "p.*")
-        else:  # all pairs of different components; the smaller set of a link has the shared shingle among its very first ones
-            x = state.join(crossing.select("token"), "token", "left_semi")
-            y = x.where(F.expr(f"at <= n - ceil({2 * num} * n / {num + den})"))
-        x, y = x.alias("x"), y.alias("y")
+        crossing = state.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), (F.mode("component") if exact else F.max(pivot)).alias("p")).where("low < high")
+        if exact:  # of two members in different components, one at least is outside the component that most members are in
+            y = state.alias("s").join(crossing.alias("c"), F.expr("s.token = c.token and s.component <> c.p")).select("s.*")
+        else:
+            y = crossing.select("token", "p.*")
+        x, y = state.alias("x"), y.alias("y")
         # sizes, and what can be shared before and after this shingle, bound the overlap
         before, after = "least(x.shared, y.shared)", "least(x.n - x.at, y.n - y.at)"
         fits = f"x.component <> y.component and {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) and {den + num} * ({before} + {after}) >= {num} * (x.n + y.n)"
-        pairs = x.join(y, F.expr(f"x.token = y.token and {fits}" + (" and y.n <= x.n" if exact else "")))
-        pairs = pairs.select(F.greatest("x.doc_id", "y.doc_id").alias("b"), F.least("x.doc_id", "y.doc_id").alias("a")).distinct() if exact else pairs.select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).distinct()
+        first = lambda side: f"{side}.at <= {side}.n - ceil({2 * num} * {side}.n / {num + den})"  # noqa: E731  where the smaller set of a link has a shared shingle
+        pairs = x.join(y, F.expr(f"x.token = y.token and {fits} and ((x.n <= y.n and {first('x')}) or (y.n <= x.n and {first('y')}))"))
+        pairs = pairs.select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).distinct()
+        if exact:
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
             done = tested.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
             pairs = pairs.join(done, ["a", "b"], "left_anti")
@@ -308,14 +323,11 @@ def jaccard_join(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100)
         fresh = spread.cut(_linked(pairs, sets, num, den))
         tested = pairs if tested is None else spread.cut(tested.union(pairs), parts)
         links = fresh if links is None else spread.cut(links.union(fresh), parts)
-        if not exact:
-            of = spread.components(links).withColumnRenamed("component", "joined")
-            state = spread.cut(posted.join(of, posted["doc_id"] == of["node"], "left").select("doc_id", "n", "token", "at", "shared", F.coalesce("joined", "doc_id").alias("component")), parts)
-    if links is None:
+        own = spread.components(links)
+    if own is None:
         found = classes.select("class", F.col("rep").alias("component"))
     else:
-        of = spread.components(links)
-        found = classes.join(of, classes["rep"] == of["node"], "left").select("class", F.coalesce("component", "rep").alias("component"))
+        found = classes.join(own, classes["rep"] == own["node"], "left").select("class", F.coalesce("component", "rep").alias("component"))
     out = sized.join(found, "class", "left")
     return out.select(spread.given(F.col("doc_id")).alias("doc_id"), "n_shingles", spread.given(F.coalesce("component", "doc_id")).alias("component_id"))
 
