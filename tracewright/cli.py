@@ -16,7 +16,7 @@ from tracewright.sources.logs import LogFormatError, detect_file, read_log, read
 
 
 def _parser() -> argparse.ArgumentParser:
-    env = lambda name, default=None: os.environ.get(f"LOG_ANALYZER_{name}", default)
+    env = lambda name, default=None: os.environ.get(f"TRACEWRIGHT_{name}", default)
     common = argparse.ArgumentParser(add_help=False)
     common.add_argument("-f", "--filter", default=env("FILTER"), help="terms [!]type:value")
     common.add_argument("-F", "--format", choices=("text", "json"), default=env("FORMAT", "text"))
