@@ -2,6 +2,7 @@ import datetime as dt
 
 import pytest
 
+from tests.entries import entry
 from tracewright.cli import main
 from tracewright.operators import perf
 from tracewright.operators.filters import FilterError, LogFilter
@@ -109,12 +110,6 @@ def test_framing_and_splits(spark, tmp_path):
     assert again == got
 
 
-def entry(i, kind, name, direction=None, request_id=None, message="m", payload=None, cid="", component="c"):
-    row = dict.fromkeys(f.name for f in ENTRY.fields)
-    row |= {"file_idx": 0, "file": "f", "seq": i, "source_line_number": i + 1, "component": component, "component_id": cid, "timestamp": dt.datetime(2026, 1, 1) + dt.timedelta(seconds=i), "level": "INFO"}
-    return tuple((row | {"message": message, "raw_logline": message, "structured_fields": {}, "kind": kind, "name": name, "direction": direction, "request_id": request_id, "payload_json": payload}).values())
-
-
 def test_last_start_wins_and_percentiles(spark):
     rows = [entry(i, "Request", "r", d, "0--1") for i, d in enumerate(["Send", "Send", "Receive", "Receive", "Send"])]
     paired = perf.steps(spark.createDataFrame(rows, ENTRY))
