@@ -9,6 +9,7 @@ from tracewright.operators.filters import FilterError, LogFilter
 from tracewright.operators.infer import infer_profile
 from tracewright.operators.sessions import common_fields, completion, sessions
 from tracewright.profile import ProfileError, builtin, load_profile, parse_profile, to_toml
+from tracewright.render import LAYOUTS, compare_report
 from tracewright.schema import ENTRY
 from tracewright.sources.logs import detect_format, parse_fields, parse_text, read_log, read_logs, split_fields
 
@@ -213,6 +214,11 @@ def test_command_line(spark, files, capsys, tmp_path):
     assert data["groups"] == [{"value": 1, "count": 2}] and data["missing_payload"] == 1
     data = json.loads(run(capsys, "diff", b, b, "--preset", "eyes", "-j")[1])
     assert data["summary"]["has_differences"] is False
+    assert '[1] {"v":1}' in run(capsys, "compare", b, b, "--preset", "eyes", "--full", "-v")[1]
+    one = read_log(spark, b, EYES)
+    for layout in LAYOUTS:
+        report = compare_report(one, one, LogFilter(), layout=layout).data
+        assert len(report["comparisons"]) == 1 and report["summary"]["unique_to_log1_count"] == 0
     data = json.loads(run(capsys, "process", b, "--preset", "eyes", "--limit", "2", "-j")[1])
     assert data["metadata"]["filtered_entries"] == 3 and len(data["logs"]) == 2
     assert "svc" in run(capsys, "info", a, "--preset", "eyes", "-s", "-t", "-p", "--json-schema")[1]

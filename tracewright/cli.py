@@ -86,7 +86,7 @@ def _run(args, profile: Profile, wanted: LogFilter) -> render.Report:
         logs = [read_log(spark, f, profile, i) for i, f in enumerate(args.files)]
         if args.command == "llm-diff" and not args.no_sanitize:
             logs = [redacted(x) for x in logs]
-        return render.compare_report(*logs, wanted, args.diff_only, args.sort_by, args.verbose > 0)
+        return render.compare_report(*logs, wanted, args.diff_only, args.sort_by, args.verbose > 0, args.full)
     entries = read_logs(spark, args.files, profile)
     if args.command in ("search", "extract", "process"):
         entries = with_sequence(entries)

@@ -139,34 +139,69 @@ def perf_report(entries: DataFrame, profile: Profile, wanted: LogFilter, thresho
     return Report(data, text)
 
 
-def compare_report(one: DataFrame, two: DataFrame, wanted: LogFilter, diff_only: bool = False, by: str = "time", verbose: bool = False) -> Report:
+def _key_parts(key: str) -> dict:
+    """component, level, kind and details of a comparison key, where it has them."""
+    parts = key.split("|")
+    named = dict(zip(("component", "level", "kind"), (p.strip() if i == 2 else p for i, p in enumerate(parts)), strict=False)) if len(parts) >= 3 else {}
+    return named | ({"details": parts[3].strip() if len(parts) > 3 else ""} if named else {}) | {"raw_key": key}
+
+
+# The names of the short layout.
+_SHORT = {
+    "index": "i", "component": "c", "level": "l", "kind": "k", "details": "d", "raw_key": "r", "log1_index": "l1", "log2_index": "l2", "text1": "t1", "text2": "t2",
+    "log1_line": "ln1", "log2_line": "ln2", "diff_count": "dc", "path": "p", "value1": "v1", "value2": "v2", "indexes": "i", "key": "k", "instances": "i", "instance_count": "ic", "differences": "d",
+}
+
+
+def _shortened(value):
+    if isinstance(value, list):
+        return [_shortened(x) for x in value]
+    return {_SHORT.get(k, k): (x if k in ("value1", "value2") else _shortened(x)) for k, x in value.items()} if isinstance(value, dict) else value
+
+
+LAYOUTS = ("readable", "standard", "short")
+
+
+def compare_report(one: DataFrame, two: DataFrame, wanted: LogFilter, diff_only: bool = False, by: str = "time", verbose: bool = False, full: bool = False, layout: str = "readable") -> Report:
+    """layout: differences by path over all instances (readable, or short with short names), or with each instance (standard). full adds payloads to the text."""
     joined = compare.paired(compare.numbered(one, wanted), compare.numbered(two, wanted)).cache()
     table = compare.pairs(joined, diff_only)
     found = rows(compare.sorted_pairs(table, by))
     s = rows(compare.summary(joined, table))[0]
+    whole = {(r["key"], r["occurrence"]): (r["payload_json1"], r["payload_json2"]) for r in joined.join(table.select("key", "occurrence"), ["key", "occurrence"], "left_semi").collect()} if full else {}
     groups: dict[str, dict] = {}
     for p in found:
-        g = groups.setdefault(p["key"], {"key": p["key"], "instances": [], "differences": {}})
-        g["instances"].append({"log1_index": p["occurrence"], "log2_index": p["occurrence"], "log1_line": p["line1"], "log2_line": p["line2"], "text1": p["text1"], "text2": p["text2"], "diff_count": p["diff_count"]})
-        for d in p["differences"]:
+        g = groups.setdefault(p["key"], {"key": _key_parts(p["key"]), "instances": [], "differences": {}})
+        instance = {"log1_index": p["occurrence"], "log2_index": p["occurrence"], "text1": p["text1"], "text2": p["text2"], "log1_line": p["line1"], "log2_line": p["line2"], "diff_count": p["diff_count"]}
+        values = [{"path": d["path"], "value1": json.loads(d["value1"]), "value2": json.loads(d["value2"]), "change_type": d["change"]} for d in p["differences"]]
+        g["instances"].append(instance | ({"json_differences": values} if layout == "standard" else {}))
+        for d in values:
             x = g["differences"].setdefault(d["path"], {"path": d["path"], "value1": [], "value2": [], "indexes": []})
-            x["value1"].append(json.loads(d["value1"]))
-            x["value2"].append(json.loads(d["value2"]))
+            x["value1"].append(d["value1"])
+            x["value2"].append(d["value2"])
             x["indexes"].append([p["occurrence"], p["occurrence"]])
-    unique = {n: rows(compare.unique_keys(joined, n).select(F.col("key").alias("raw_key")).orderBy("raw_key")) + [{"raw_key": r["label"]} for r in rows(compare.unpaired(joined, n).orderBy("key", "occurrence"))] for n in (1, 2)}
+    keys = {n: [r["key"] for r in rows(compare.unique_keys(joined, n).orderBy("key"))] + [r["label"] for r in rows(compare.unpaired(joined, n).orderBy("key", "occurrence"))] for n in (1, 2)}
+    unique = {n: [{"index": i, **_key_parts(k)} for i, k in enumerate(own)] for n, own in keys.items()}
     joined.unpersist()
+    shared, total = ("shared_log_count", "total_differences_count") if layout == "standard" else ("shared_count", "differences_count")
+    grouped = [{"key": g["key"], "instances": g["instances"], "instance_count": len(g["instances"])} | ({} if layout == "standard" else {"differences": list(g["differences"].values())}) for g in groups.values()]
     data = {
-        "summary": {"unique_to_log1_count": len(unique[1]), "unique_to_log2_count": len(unique[2]), "shared_count": s["shared"], "differences_count": s["differences"], "has_differences": s["has_differences"]},
-        "unique_to_log1": unique[1], "unique_to_log2": unique[2],
-        "comparisons": [{**g, "instance_count": len(g["instances"]), "differences": list(g["differences"].values())} for g in groups.values()],
+        "summary": {"unique_to_log1_count": len(unique[1]), "unique_to_log2_count": len(unique[2]), shared: s["shared"], total: s["differences"], "has_differences": s["has_differences"]},
+        "unique_to_log1": unique[1], "unique_to_log2": unique[2], "comparisons": grouped,
     }
+    if layout == "short":
+        data |= {k: _shortened(data[k]) for k in ("unique_to_log1", "unique_to_log2", "comparisons")}
+    said = lambda v: json.dumps(v, ensure_ascii=False)
     lines = [f"only in the first: {len(unique[1])}, only in the second: {len(unique[2])}, shared keys: {s['shared']}, differences: {s['differences']}"]
     if verbose:
-        lines += [f"[FILE{n}] {x['raw_key']}" for n in (1, 2) for x in unique[n]]
+        lines += [f"[FILE{n}] {k}" for n in (1, 2) for k in keys[n]]
     for key in sorted(groups):
         lines.append(key)
         for x in groups[key]["differences"].values():
-            lines.append(f"    {x['path']}: " + "; ".join(f"{json.dumps(a, ensure_ascii=False)} -> {json.dumps(b, ensure_ascii=False)}" for a, b in zip(x["value1"], x["value2"], strict=True)))
+            lines.append(f"    {x['path']}: " + "; ".join(f"{said(a)} -> {said(b)}" for a, b in zip(x["value1"], x["value2"], strict=True)))
+        for (k, n), (a, b) in whole.items():
+            if k == key:
+                lines += [f"    [{n}] {a}", f"    [{n}] {b}"]
     return Report(data, "\n".join(lines))
 
 
