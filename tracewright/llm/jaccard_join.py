@@ -263,7 +263,7 @@ def _in_components(postings: DataFrame, own: DataFrame | None) -> DataFrame:
     return postings.join(own, postings["doc_id"] == own["node"], "left").select(*postings.columns, F.coalesce("joined", "doc_id").alias("component"))
 
 
-def jaccard_join(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+def jaccard_join(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, chunk_bytes: int = spread.CHUNK) -> DataFrame:
     """Near-duplicate components: doc_id, n_shingles, component_id; one row a row of docs.
 
     Words are runs of bytes other than ASCII white space, A-Z lower-cased; a
@@ -279,7 +279,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100)
     """
     spark = docs.sparkSession
     spread.ready(spark)
-    n = spread.chunk_count(docs)
+    n = spread.chunk_count(docs, chunk_bytes)
     rows = spread.keyed(docs, n)
     sized = spread.cut(rows.select("doc_id", "text").mapInArrow(_classify(size), CLASS))
     classes = sized.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))

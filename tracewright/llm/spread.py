@@ -45,7 +45,11 @@ def text_bytes(df: DataFrame) -> int:
     return int(df.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0)
 
 
-def chunk_count(df: DataFrame, each: int = 10 << 20) -> int:
+#: Bytes of text in a hash chunk, about: what one task holds at once.
+CHUNK = 10 << 20
+
+
+def chunk_count(df: DataFrame, each: int = CHUNK) -> int:
     """Hash chunks, so that each holds about that many bytes of text: one task's memory does not grow with the table."""
     return max(partitions(df.sparkSession), math.ceil(text_bytes(df) / each))
 

@@ -23,8 +23,10 @@ a document with a smaller doc_id. How:
    the matching statistic: a match of `length` bytes, and the smallest document
    that has it. These come back to the chunk, which marks the bytes.
 
-A bucket holds distinct segments on shared anchors, about `BUCKET` bytes. Hot
-passages are one segment a chunk, however many documents hold them.
+There are as many buckets as chunks, so a bucket's share of anchors and segments
+is about a chunk's. Hot passages are one segment a chunk, however many documents
+hold them. A chunk sends a row to each bucket that it has something for: with
+more executor memory, larger chunks make fewer and fuller rows.
 """
 
 from __future__ import annotations
@@ -387,7 +389,7 @@ def _mark(length: int, texts: bool, carry: tuple[str, ...]):
     return mark
 
 
-def suffix_dedup(docs: DataFrame, length: int = 50, texts: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 50, texts: bool = True, carry: tuple[str, ...] = (), chunk_bytes: int = spread.CHUNK) -> DataFrame:
     """Long repeats of documents (doc_id, text): one row a row of docs.
 
     doc_id, n_bytes, n_removed, n_spans, kept_sha256; with texts also kept (the
@@ -402,7 +404,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, texts: bool = True, carry: t
     if length < 2 * ANCHOR:
         raise ValueError(f"length must be {2 * ANCHOR} or more")
     spread.ready(docs.sparkSession)
-    n = spread.chunk_count(docs)
+    n = spread.chunk_count(docs, chunk_bytes)
     rows = spread.keyed(docs, n, *carry)  # shuffled once, read three times
     anchors = rows.groupBy("chunk").applyInArrow(_send_anchors(length, n), SENT)
     shared = anchors.groupBy("bucket").applyInArrow(_answer_anchors, SENT)
