@@ -37,6 +37,8 @@ U64 = np.uint64
 #: Rounds of pivots before the exact rest, and the shingles of each set that they look at.
 ROUNDS = 3
 LEADS = 6
+#: Early shingles of each set that say where a pair comes out, so that it doesn't come out at each shingle it shares.
+FIRSTS = 3
 #: Sets in one trie.
 TRIE = 256
 #: Bits of a shingle hash that sets are compared by.
@@ -142,13 +144,13 @@ def _answer_shingles(table: pa.Table) -> pa.Table:
     return _sent([(b.as_py(), c.as_py(), spread.pack(level[e - len(x[0]) : e])) for b, c, x, e in zip(table.column("bucket"), table.column("chunk"), lists, ends, strict=True)])
 
 
-SET = "doc_id long, n long, data binary, prefix array<struct<token:long,at:int,shared:int,lead:boolean>>"
+SET = "doc_id long, n long, data binary, firsts array<long>, prefix array<struct<token:long,at:int,shared:int,lead:boolean>>"
 
 
 def _send_sets(size: int, buckets: int, num: int, den: int):
     def send(table: pa.Table, replies: pa.Table) -> pa.Table:
         kind = pa.list_(pa.struct([("token", pa.int64()), ("at", pa.int32()), ("shared", pa.int32()), ("lead", pa.bool_())]))
-        out = {"doc_id": [], "n": [], "data": [], "prefix": []}
+        out = {"doc_id": [], "n": [], "data": [], "firsts": [], "prefix": []}
         tables = replies.filter(pc.is_valid(replies.column("class"))) if len(replies) else replies
         marks = replies.filter(pc.is_null(replies.column("class"))) if len(replies) else replies
         if len(table) and len(tables):
@@ -169,9 +171,13 @@ def _send_sets(size: int, buckets: int, num: int, den: int):
                     out["n"].append(n)
                     out["data"].append(spread.pack(spread.pack_sorted(key)))
                     tokens = key[alone:first] & LOW
+                    early = tokens[: max(0, n - -(-2 * num * n // (num + den)) + 1 - alone)]  # where a smaller set has a shared shingle
+                    dice = K.mix(early * U64(11)).view(np.int64)
+                    firsts = early[np.argsort(dice)[:FIRSTS]].astype(np.int64).tolist()
+                    out["firsts"].append(firsts + [-1 - i for i in range(FIRSTS - len(firsts))])
                     leads = set(np.argsort(K.mix(tokens * U64(11)))[:LEADS].tolist())
                     out["prefix"].append([{"token": t, "at": alone + j, "shared": j, "lead": j in leads} for j, t in enumerate(tokens.tolist())])
-        return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "data": pa.array(out["data"], pa.binary()), "prefix": pa.array(out["prefix"], kind)})
+        return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "data": pa.array(out["data"], pa.binary()), "firsts": pa.array(out["firsts"], pa.list_(pa.int64())), "prefix": pa.array(out["prefix"], kind)})
 
     return send
 
@@ -290,7 +296,8 @@ def jaccard_join(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100,
     levels = shingles.groupBy("bucket").applyInArrow(_answer_shingles, SENT)
     replies = reps.unionByName(levels.select("chunk", "bucket", "data"), allowMissingColumns=True)
     sets = spread.cut(rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_send_sets(size, n, num, den), SET))
-    posted = sets.select("doc_id", "n", F.explode("prefix").alias("p")).select("doc_id", "n", "p.*")
+    names = [f"f{i}" for i in range(FIRSTS)]
+    posted = sets.select("doc_id", "n", *[F.get("firsts", F.lit(i)).alias(c) for i, c in enumerate(names)], F.explode("prefix").alias("p")).select("doc_id", "n", *names, "p.*")
     posted = spread.cut(posted)
     parts = spread.parts_for(posted.count())
     posted = posted.coalesce(parts)
@@ -310,6 +317,9 @@ def jaccard_join(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100,
         before, after = "least(x.shared, y.shared)", "least(x.n - x.at, y.n - y.at)"
         fits = f"x.component <> y.component and {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) and {den + num} * ({before} + {after}) >= {num} * (x.n + y.n)"
         first = lambda side: f"{side}.at <= {side}.n - ceil({2 * num} * {side}.n / {num + den})"  # noqa: E731  where the smaller set of a link has a shared shingle
+        if exact:  # early shingles of both sets: the pair comes out at the first one of x, or where there is none, at all
+            same = lambda c: "x.{0} >= 0 and x.{0} in ({1})".format(c, ", ".join(f"y.{d}" for d in names))
+            fits += " and case " + " ".join(f"when {same(c)} then x.token = x.{c}" for c in names) + " else true end"
         pairs = x.join(y, F.expr(f"x.token = y.token and {fits} and ((x.n <= y.n and {first('x')}) or (y.n <= x.n and {first('y')}))"))
         pairs = pairs.select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).distinct()
         if exact:
