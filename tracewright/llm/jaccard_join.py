@@ -250,12 +250,11 @@ def _probe(num: int, den: int):
 
 def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Of candidate pairs (a, b), those that link. A probe with many members is salted over tasks."""
-    spark = pairs.sparkSession
-    n = spread.partitions(spark)
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int"))
+    many = pairs.count()
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(max(64, many // 1024))).cast("int"))  # about 1,024 members at most, if one probe has all pairs
     members = salted.join(sets.select(F.col("doc_id").alias("b"), "data"), "b")
     probes = salted.select("a", "salt").distinct().join(sets.select(F.col("doc_id").alias("a"), "data"), "a")
-    at = F.pmod(F.xxhash64("a", "salt"), F.lit(8 * n))
+    at = F.pmod(F.xxhash64("a", "salt"), F.lit(max(8 * spread.partitions(pairs.sparkSession), many // 2048)))
     stored = members.select(at.alias("at"), F.col("a").alias("probe"), "salt", F.col("b").alias("member"), F.col("data").alias("stored"))
     asked = probes.select(at.alias("task"), F.col("a").alias("query"), F.col("data").alias("asked")).dropDuplicates(["task", "query"])
     return stored.groupBy("at").cogroup(asked.groupBy("task")).applyInArrow(_probe(num, den), "a long, b long")
