@@ -122,6 +122,22 @@ def test_jaccard_join_equals_brute_force(docs):
         assert (r.n_shingles, last(r.component_id)) == (len(sets[i]), find(i))
 
 
+def test_jaccard_join_keeps_different_texts_of_one_id_apart(spark):
+    rng = random.Random(11)
+    rows, want = [], []
+    for k in range(8):  # two texts under one id (null at last), each with a shorter near copy under an id of its own
+        i = 10 * k if k < 7 else None
+        for near in (10 * k + 1, 10 * k + 2):
+            words = [f"w{rng.randrange(10**9)}" for _ in range(60)]
+            rows += [(i, " ".join(words)), (near, " ".join(words[:-2]))]
+            least = near if i is None else i
+            want += [(i, 56, least), (near, 54, least)]
+    rows += [(3, "some words that nobody else has at all"), (None, "other words that nobody else has at all"), (None, "")]
+    want += [(3, 4, 3), (None, 4, None), (None, 0, None)]
+    got = jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
 def test_trie_probe_equals_sets():
     rng = np.random.default_rng(5)
     stored = [(np.unique(rng.integers(0, 30, rng.integers(1, 25))).astype(np.uint64), k) for k in range(60)]

@@ -3,8 +3,9 @@
 Sets of word shingles link when their Jaccard similarity reaches a threshold
 (a ratio of whole numbers, so the test is exact). How:
 
-1. *Classes.* Documents with equal sets form a class; its smallest doc_id
-   stands for it from here on. Copies cost one counted row.
+1. *Classes.* Documents with equal sets form a class, which has a number of
+   its own from here on: doc_ids, which can repeat or be null, name no sets.
+   Its smallest doc_id says where its set is read. Copies cost one counted row.
 2. *Global order.* Hash chunks send the distinct shingles of their
    representatives, sorted and packed, to shingle buckets, which count
    documents; the reply is the binary logarithm of the count. Shingles are
@@ -29,6 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewright.llm import kernels as K
 from tracewright.llm import spread
@@ -66,14 +68,17 @@ def _sets(table, size: int):
 CLASS = "doc_id long, n_shingles long, class binary"
 
 
-def _classify(size: int):
+def _classify(size: int, carry: tuple[str, ...]):
     def classify(batches):
         for batch in batches:
+            at = 0
             for docs, h, o in _sets(batch, size):
                 n = np.diff(o)
+                own = batch.slice(at, len(docs))
+                at += len(docs)
                 sums = [np.concatenate([np.zeros(1, U64), np.cumsum(x, dtype=U64)]) for x in (h, K.mix(h * U64(3)))]
                 keys = np.stack([(s[o[1:]] - s[o[:-1]]) for s in sums] + [n.astype(U64)], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(n.astype(np.int64)), pa.array([k.tobytes() for k in keys], pa.binary())], names=["doc_id", "n_shingles", "class"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(n.astype(np.int64)), pa.array([k.tobytes() for k in keys], pa.binary()), *(own.column(c) for c in carry)], names=["doc_id", "n_shingles", "class", *carry])
 
     return classify
 
@@ -86,10 +91,10 @@ def _sent(rows) -> pa.Table:
 
 
 def _representatives(table: pa.Table, reps: pa.Table, size: int):
-    """The sets of the chunk's representatives: doc_ids, shingles, offsets. A doc_id that comes twice stands once for each of its classes."""
-    own = set(zip(K.ids(reps.column("doc_id")).tolist(), reps.column("class").to_pylist(), strict=True)) if len(reps) else set()
+    """The sets of the chunk's classes: their numbers, shingles, offsets. A doc_id that comes twice stands once for each of its classes."""
+    own = dict(zip(zip(K.ids(reps.column("doc_id")).tolist(), reps.column("class").to_pylist(), strict=True), reps.column("node").to_pylist(), strict=True)) if len(reps) else {}
     wanted = {d for d, _ in own}
-    docs, sets = [], []
+    nodes, sets = [], []
     keep = np.isin(K.ids(table.column("doc_id")), np.fromiter(wanted, np.int64, len(wanted)))
     for ids, h, o in _sets(table.filter(pa.array(keep)), size):
         n = np.diff(o)
@@ -97,11 +102,10 @@ def _representatives(table: pa.Table, reps: pa.Table, size: int):
         keys = np.stack([(s[o[1:]] - s[o[:-1]]) for s in sums] + [n.astype(U64)], axis=1)
         for i, d in enumerate(ids.tolist()):
             if (k := (d, keys[i].tobytes())) in own:
-                own.discard(k)
-                docs.append(d)
+                nodes.append(own.pop(k))
                 sets.append(h[o[i] : o[i + 1]])
     offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
-    return np.array(docs, np.int64), np.concatenate(sets) if sets else np.zeros(0, U64), offsets
+    return np.array(nodes, np.int64), np.concatenate(sets) if sets else np.zeros(0, U64), offsets
 
 
 def _bucketed(h: np.ndarray, buckets: int):
@@ -144,30 +148,30 @@ def _answer_shingles(table: pa.Table) -> pa.Table:
     return _sent([(b.as_py(), c.as_py(), spread.pack(level[e - len(x[0]) : e])) for b, c, x, e in zip(table.column("bucket"), table.column("chunk"), lists, ends, strict=True)])
 
 
-SET = "doc_id long, n long, data binary, firsts array<long>, prefix array<struct<token:long,at:int,shared:int,lead:boolean>>"
+SET = "node long, n long, data binary, firsts array<long>, prefix array<struct<token:long,at:int,shared:int,lead:boolean>>"
 
 
 def _send_sets(size: int, buckets: int, num: int, den: int):
     def send(table: pa.Table, replies: pa.Table) -> pa.Table:
         kind = pa.list_(pa.struct([("token", pa.int64()), ("at", pa.int32()), ("shared", pa.int32()), ("lead", pa.bool_())]))
-        out = {"doc_id": [], "n": [], "data": [], "firsts": [], "prefix": []}
+        out = {"node": [], "n": [], "data": [], "firsts": [], "prefix": []}
         tables = replies.filter(pc.is_valid(replies.column("class"))) if len(replies) else replies
         marks = replies.filter(pc.is_null(replies.column("class"))) if len(replies) else replies
         if len(table) and len(tables):
-            docs, h, o = _representatives(table, tables, size)
+            nodes, h, o = _representatives(table, tables, size)
             values, _, order, edges = _bucketed(h, buckets)
             level = np.zeros(len(values), np.uint8)
             for k, data in zip(marks.column("bucket").to_pylist(), marks.column("data"), strict=True):
                 level[order[edges[k] : edges[k + 1]]] = spread.unpack(data.as_py())[0]
             ranks = level[np.searchsorted(values, h)]
-            for i in range(len(docs)):
+            for i in range(len(nodes)):
                 own, r = h[o[i] : o[i + 1]], ranks[o[i] : o[i + 1]]
                 n, alone = len(own), int((r == 0).sum())
                 first = n - -(-num * n // den) + 1  # a link needs one shared shingle among the first ones
                 if n and alone < first:
                     key = (r.astype(U64) << U64(56)) | own
                     key.sort()
-                    out["doc_id"].append(int(docs[i]))
+                    out["node"].append(int(nodes[i]))
                     out["n"].append(n)
                     out["data"].append(spread.pack(spread.pack_sorted(key)))
                     tokens = key[alone:first] & LOW
@@ -177,7 +181,7 @@ def _send_sets(size: int, buckets: int, num: int, den: int):
                     out["firsts"].append(firsts + [-1 - i for i in range(FIRSTS - len(firsts))])
                     leads = set(np.argsort(K.mix(tokens * U64(11)))[:LEADS].tolist())
                     out["prefix"].append([{"token": t, "at": alone + j, "shared": j, "lead": j in leads} for j, t in enumerate(tokens.tolist())])
-        return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "data": pa.array(out["data"], pa.binary()), "firsts": pa.array(out["firsts"], pa.list_(pa.int64())), "prefix": pa.array(out["prefix"], kind)})
+        return pa.table({"node": pa.array(out["node"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "data": pa.array(out["data"], pa.binary()), "firsts": pa.array(out["firsts"], pa.list_(pa.int64())), "prefix": pa.array(out["prefix"], kind)})
 
     return send
 
@@ -252,8 +256,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Of candidate pairs (a, b), those that link. A probe with many members is salted over tasks."""
     many = pairs.count()
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(max(64, many // 1024))).cast("int"))  # about 1,024 members at most, if one probe has all pairs
-    members = salted.join(sets.select(F.col("doc_id").alias("b"), "data"), "b")
-    probes = salted.select("a", "salt").distinct().join(sets.select(F.col("doc_id").alias("a"), "data"), "a")
+    members = salted.join(sets.select(F.col("node").alias("b"), "data"), "b")
+    probes = salted.select("a", "salt").distinct().join(sets.select(F.col("node").alias("a"), "data"), "a")
     at = F.pmod(F.xxhash64("a", "salt"), F.lit(max(8 * spread.partitions(pairs.sparkSession), many // 2048)))
     stored = members.select(at.alias("at"), F.col("a").alias("probe"), "salt", F.col("b").alias("member"), F.col("data").alias("stored"))
     asked = probes.select(at.alias("task"), F.col("a").alias("query"), F.col("data").alias("asked")).dropDuplicates(["task", "query"])
@@ -261,11 +265,11 @@ def _linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _in_components(postings: DataFrame, own: DataFrame | None) -> DataFrame:
-    """Postings with the component of their document, which is its own doc_id where it has no link yet."""
+    """Postings with the component of their class, which is its own number where it has no link yet."""
     if own is None:
-        return postings.withColumn("component", F.col("doc_id"))
-    own = own.withColumnRenamed("component", "joined")
-    return postings.join(own, postings["doc_id"] == own["node"], "left").select(*postings.columns, F.coalesce("joined", "doc_id").alias("component"))
+        return postings.withColumn("component", F.col("node"))
+    own = own.withColumnsRenamed({"node": "known", "component": "joined"})
+    return postings.join(own, postings["node"] == own["known"], "left").select(*postings.columns, F.coalesce("joined", "node").alias("component"))
 
 
 def jaccard_join(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, chunk_bytes: int = spread.CHUNK) -> DataFrame:
@@ -278,25 +282,35 @@ def jaccard_join(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100,
     doc_id reachable by links, itself included. Pairs inside a component that is
     already connected are not tested, so links are not counted. A null text is
     empty; rows with a null doc_id take part, sort last and show null. Repeated
-    rows are copies of each other; where different texts bear one doc_id, one of
-    them stands for both as a probe. Other columns are ignored; an empty table
-    gives no rows.
+    rows are copies of each other; different texts that bear one doc_id, or a
+    null one, are looked at each for itself and do not link by that. Other
+    columns are ignored; an empty table gives no rows.
+    """
+    out = near_groups(docs, size, num, den, chunk_bytes)
+    return out.select(spread.given(F.col("doc_id")).alias("doc_id"), "n_shingles", spread.given(F.col("component_id")).alias("component_id"))
+
+
+def near_groups(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100, chunk_bytes: int = spread.CHUNK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """jaccard_join's rows with null ids as NULL_ID, the component's number (null where a set is empty: it is in no component) and the columns of docs named by carry.
+
+    Two components can have one component_id, as different texts can bear one doc_id.
     """
     spark = docs.sparkSession
     spread.ready(spark)
     n = spread.chunk_count(docs, chunk_bytes)
     rows = spread.keyed(docs, n)
-    sized = spread.cut(rows.select("doc_id", "text").mapInArrow(_classify(size), CLASS))
+    kind = T.StructType([*T._parse_datatype_string(CLASS).fields, *(docs.schema[c] for c in carry)])
+    sized = spread.cut(spread.keyed(docs, n, *carry).drop("chunk").mapInArrow(_classify(size, carry), kind))
     classes = sized.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    classes = spread.cut(classes)
+    classes = spread.cut(classes.withColumn("node", F.monotonically_increasing_id()))
     chunk = F.pmod(F.xxhash64("rep"), F.lit(n)).cast("int")
-    reps = classes.select(chunk.alias("chunk"), F.col("rep").alias("doc_id"), "class", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("data"))
+    reps = classes.select(chunk.alias("chunk"), F.col("rep").alias("doc_id"), "class", "node", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("data"))
     shingles = rows.groupBy("chunk").cogroup(reps.groupBy("chunk")).applyInArrow(_send_shingles(size, n), SENT)
     levels = shingles.groupBy("bucket").applyInArrow(_answer_shingles, SENT)
     replies = reps.unionByName(levels.select("chunk", "bucket", "data"), allowMissingColumns=True)
     sets = spread.cut(rows.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_send_sets(size, n, num, den), SET))
     names = [f"f{i}" for i in range(FIRSTS)]
-    posted = sets.select("doc_id", "n", *[F.get("firsts", F.lit(i)).alias(c) for i, c in enumerate(names)], F.explode("prefix").alias("p")).select("doc_id", "n", *names, "p.*")
+    posted = sets.select("node", "n", *[F.get("firsts", F.lit(i)).alias(c) for i, c in enumerate(names)], F.explode("prefix").alias("p")).select("node", "n", *names, "p.*")
     posted = spread.cut(posted)
     parts = spread.parts_for(posted.count())
     posted = posted.coalesce(parts)
@@ -305,7 +319,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100,
     for step in range(ROUNDS + 1):
         exact = step == ROUNDS
         state = spread.cut(_in_components(posted if exact else leads, own), parts)
-        pivot = F.struct("n", "doc_id", "component", "at", "shared") if step == 0 else F.struct((-F.abs(F.xxhash64("doc_id", F.lit(step)))).alias("dice"), "doc_id", "component", "n", "at", "shared")
+        pivot = F.struct("n", "node", "component", "at", "shared") if step == 0 else F.struct((-F.abs(F.xxhash64("node", F.lit(step)))).alias("dice"), "node", "component", "n", "at", "shared")
         crossing = state.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), (F.mode("component") if exact else F.max(pivot)).alias("p")).where("low < high")
         if exact:  # of two members in different components, one at least is outside the component that most members are in
             y = state.alias("s").join(crossing.alias("c"), F.expr("s.token = c.token and s.component <> c.p")).select("s.*")
@@ -320,7 +334,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100,
             same = lambda c: "x.{0} >= 0 and x.{0} in ({1})".format(c, ", ".join(f"y.{d}" for d in names))
             fits += " and case " + " ".join(f"when {same(c)} then x.token = x.{c}" for c in names) + " else true end"
         pairs = x.join(y, F.expr(f"x.token = y.token and {fits} and ((x.n <= y.n and {first('x')}) or (y.n <= x.n and {first('y')}))"))
-        pairs = pairs.select(F.col("y.doc_id").alias("a"), F.col("x.doc_id").alias("b")).distinct()
+        pairs = pairs.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
         if exact:
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
@@ -334,9 +348,10 @@ def jaccard_join(docs: DataFrame, size: int = 5, num: int = 75, den: int = 100,
         links = fresh if links is None else spread.cut(links.union(fresh), parts)
         own = spread.components(links)
     if own is None:
-        found = classes.select("class", F.col("rep").alias("component"))
+        found = classes.select("class", F.col("node").alias("component"), "rep")
     else:
-        found = classes.join(own, classes["rep"] == own["node"], "left").select("class", F.coalesce("component", "rep").alias("component"))
+        joined = classes.join(own.withColumnRenamed("node", "known"), F.col("node") == F.col("known"), "left").select("class", "rep", "component", "node")
+        least = joined.where("component is not null").groupBy("component").agg(F.min("rep").alias("least")).withColumnRenamed("component", "of")
+        found = joined.join(least, F.col("component") == F.col("of"), "left").select("class", F.coalesce("component", "node").alias("component"), F.coalesce("least", "rep").alias("rep"))
     out = sized.join(found, "class", "left")
-    return out.select(spread.given(F.col("doc_id")).alias("doc_id"), "n_shingles", spread.given(F.coalesce("component", "doc_id")).alias("component_id"))
-
+    return out.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("component_id"), "component", *carry)
