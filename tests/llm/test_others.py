@@ -129,3 +129,17 @@ def test_pipeline_stages(spark, tmp_path, sample):
     packed = now.groupBy("sequence_id").agg({"length": "sum"}).collect()
     assert packed and max(r[1] for r in packed) <= 4096
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
+
+
+def test_near_duplicates_stage_decides_by_set(spark):
+    from tracewright.llm.stages import near_duplicates_stage
+
+    rng = random.Random(9)
+    text = lambda: " ".join(f"w{rng.randrange(10**9)}" for _ in range(40))
+    near = lambda t: t.rsplit(" ", 1)[0]
+    p, q, u1, u2, v1, v2 = (text() for _ in range(6))
+    stay = [(5, p), (9, q), (None, u1), (None, u2), (12, v1), (12, v2), (None, ""), (None, ""), (13, None)]
+    gone = [(None, near(p)), (None, near(q)), (12, v1), (12, near(v2)), (13, None)]  # of v2 and its copy under one doc_id either can stay
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in stay + gone], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = near_duplicates_stage(spark, docs, "").collect()
+    assert sorted(str((r.doc_id, v2 if r.text == near(v2) else r.text)) for r in got) == sorted(map(str, stay))

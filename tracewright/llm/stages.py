@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.jaccard_join import jaccard_join
+from tracewright.llm.jaccard_join import near_groups
+from tracewright.llm.kernels import NULL_ID
 from tracewright.llm.mixing import mix_sources
 from tracewright.llm.packing import best_fit_packing
 from tracewright.llm.quality import keep_quality
@@ -25,10 +26,21 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the smallest doc_id stays, once."""
-    stays = jaccard_join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(doc_key(F.col("doc_id")).alias("stays")).distinct()
-    rows = docs.select(*COLUMNS).withColumn("key", doc_key(F.col("doc_id")))
-    return rows.join(stays, rows["key"] == stays["stays"], "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
+    """Of each group of near-duplicates one row stays: of the smallest doc_id (null ones are last), and of its rows the one with the smallest digest.
+
+    Sets decide, not doc_ids: different texts under one doc_id, or without one, stay. Rows that are alike
+    in all columns are one, but rows without words and doc_id are copies of nothing and all stay.
+    """
+    rest = F.to_json(F.struct("lang", "source", "n_chars"))
+    digest = F.sha2(F.concat_ws(":", F.coalesce(F.sha2("text", 256), F.lit("-")), rest), 256)
+    rows = docs.select(*COLUMNS, doc_key(F.col("doc_id")).alias("key"), digest.alias("digest"))
+    near = near_groups(rows, carry=("digest",))
+    first = near.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("first")).select("first.*", F.lit(False).alias("every"))
+    wordless = near.where("component is null").select("doc_id", "digest", (F.col("doc_id") == NULL_ID).alias("every")).distinct()
+    stays = first.union(wordless).select(F.col("doc_id").alias("stays"), F.col("digest").alias("alike"), "every")
+    kept = rows.join(stays, (rows["key"] == stays["stays"]) & (rows["digest"] == stays["alike"]))
+    copy = F.when(F.col("every"), F.monotonically_increasing_id()).otherwise(0)
+    return kept.withColumn("copy", copy).dropDuplicates(["key", "digest", "copy"]).select(*COLUMNS)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
