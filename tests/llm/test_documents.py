@@ -93,6 +93,19 @@ def test_run_index_matching_statistics():
         assert got[offsets[k] : offsets[k + 1]].tolist() == want
 
 
+@pytest.mark.parametrize("parts", [3, 200])
+def test_suffix_dedup_where_nothing_differs(spark, parts):
+    text = prose(random.Random(5), 60)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = suffix_dedup(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string"), 50).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    size = len(text.encode())
+    assert sorted((r.doc_id, r.n_removed, r.text) for r in got) == [(1, 0, text), (2, size, "")]
+
+
 def sets_of(rows):
     out = {}
     for i, t, *_ in rows:

@@ -261,7 +261,7 @@ class RunIndex:
             step = min(width, length - width)
             other = np.zeros(n, np.int64)
             other[: n - step] = rank[step:]
-            pair = rank * (int(rank.max()) + 2) + other
+            pair = rank * (int(rank.max(initial=0)) + 2) + other
             width += step
             if width >= length:
                 out = np.full(n, -1, np.int64)
