@@ -12,10 +12,11 @@ import public_tokenizers
 import pytest
 
 from tracewright.llm import kernels as K
-from tracewright.llm.jaccard_join import Trie, jaccard_join
+from tracewright.llm.jaccard_join import Trie, jaccard_join, near_groups
 from tracewright.llm.merkle import differing, document_fingerprints, fingerprint, likeness
 from tracewright.llm.mixing import mix_sources
 from tracewright.llm.packing import CAPACITY, best_fit_packing, encoder, plan
+from tracewright.llm.spread import components
 from tracewright.llm.suffix_dedup import RunIndex, suffix_dedup
 from tracewright.llm.token_count import token_counts
 
@@ -114,25 +115,30 @@ def sets_of(rows):
     return out
 
 
-def test_jaccard_join_equals_brute_force(docs):
-    sets = sets_of(corpus())
-    root = {i: i for i in sets}
+def brute_components(sets, linked=None):
+    if linked is None:
+        linked = [(a, b) for a, b in combinations(sorted(sets), 2) if (both := len(sets[a] & sets[b])) and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both)]
+    root = {i: i for i in {*sets, *(x for pair in linked for x in pair)}}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for a, b in combinations(sorted(sets), 2):
-        both = len(sets[a] & sets[b])
-        if both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
-            x, y = sorted((find(a), find(b)))
-            root[y] = x
+    for a, b in linked:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {i: find(i) for i in root}
+
+
+def test_jaccard_join_equals_brute_force(docs):
+    sets = sets_of(corpus())
+    want = brute_components(sets)
     got = jaccard_join(docs).collect()
     assert len(got) == len(corpus())
     for r in got:
         i = last(r.doc_id)
-        assert (r.n_shingles, last(r.component_id)) == (len(sets[i]), find(i))
+        assert (r.n_shingles, last(r.component_id)) == (len(sets[i]), want[i])
 
 
 def test_jaccard_join_keeps_different_texts_of_one_id_apart(spark):
@@ -153,12 +159,46 @@ def test_jaccard_join_keeps_different_texts_of_one_id_apart(spark):
 
 def test_trie_probe_equals_sets():
     rng = np.random.default_rng(5)
-    stored = [(np.unique(rng.integers(0, 30, rng.integers(1, 25))).astype(np.uint64), k) for k in range(60)]
-    stored = list({s.tobytes(): (s, k) for s, k in stored}.values())
-    query = np.unique(rng.integers(0, 30, 18)).astype(np.uint64)
-    want = [k for s, k in stored if 100 * len(np.intersect1d(s, query)) >= 35 * len(np.union1d(s, query))]
-    trie = Trie(sorted(stored, key=lambda x: x[0].astype(">u8").tobytes()))
-    assert sorted(trie.probe(query, 35, 100)) == sorted(want) and want
+    stored = [np.unique(rng.integers(0, 30, rng.integers(1, 25))).astype(np.uint64) for _ in range(60)]
+    stored += [np.arange(0, 900, dtype=np.uint64), np.arange(0, 700, dtype=np.uint64)]  # runs of several nodes
+    stored = list({s.tobytes(): s for s in stored}.values())
+    more = rng.integers(0, 4, len(stored))  # shingles that are not stored
+    sizes = np.array([len(s) for s in stored]) + more
+    trie = Trie(stored, sizes)
+    queries = [*stored, np.arange(5, 22, dtype=np.uint64), np.array([10**6], np.uint64)]
+    asked = np.array([*sizes, 18, 1])
+    want = {(q, k) for q in range(len(queries)) for k, s in enumerate(stored) if 100 * (o := len(np.intersect1d(s, queries[q]))) >= 35 * (asked[q] + sizes[k] - o)}
+    got = list(zip(*(x.tolist() for x in trie.probe(queries, asked, 35, 100)), strict=True))
+    assert sorted(got) == sorted(want) and len(want) > len(stored)
+    group, own = rng.integers(0, 3, len(stored)), rng.integers(0, 3, len(queries))
+    got = list(zip(*(x.tolist() for x in trie.probe(queries, asked, 35, 100, group[trie.order], own)), strict=True))
+    assert sorted(got) == sorted((q, k) for q, k in want if own[q] != group[k])
+
+
+@pytest.mark.parametrize("most", [1 << 19, 4000])
+def test_jaccard_join_of_a_large_near_group(spark, most):
+    """500 copies of one text, edited so much that many don't link, some only through others; with one trie and many."""
+    rng = random.Random(17)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+    rows = []
+    for i in range(500):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 5])):
+            words[rng.randrange(len(words))] = rng.choice(["x", "y", "z"])
+        rows.append((i, " ".join(words[rng.choice([0, 0, 5]) :])))
+    want = brute_components(sets_of(rows))
+    assert 20 < len(set(want.values())) < 400
+    got = near_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), most=most)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
+def test_components_in_one_task_and_in_rounds(spark):
+    rng = random.Random(4)
+    links = [(a, max(0, a - rng.choice([1, 1, 7]))) for a in range(300) if a % 50] + [(5000, 5000), (7, 7)]
+    df = spark.createDataFrame(links, "a long, b long").repartition(3)
+    want = brute_components({a: {b} for a, b in links}, linked=links)
+    for most in (10**6, 0):
+        assert {r.node: r.component for r in components(df, most).collect()} == want
 
 
 def test_packing_layout_and_ids(docs):

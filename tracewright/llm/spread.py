@@ -20,8 +20,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> None:
-    """Set a checkpoint folder where the cluster names none, and bound the Arrow batches."""
+    """Set a checkpoint folder on a single machine where none is named, and bound the Arrow batches."""
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tracewright-"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
@@ -131,12 +133,44 @@ def running(df: DataFrame, order: list, value: str, name: str = "upto") -> DataF
     return local.join(F.broadcast(offsets), "__pid").withColumn(name, F.col(name) + F.col("__before")).drop("__pid", "__before")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """Connected components of an undirected edge list (a, b): node, component = smallest node reachable.
+#: Rows of two or three numbers that are broadcast at most; beyond, a join shuffles both sides.
+SMALL = 200_000
+#: Links that one task joins up; beyond, rounds over DataFrames do.
+LINKS = 1 << 20
 
-    Alternating large-star and small-star rounds over DataFrames; every round
-    is checkpointed, and only two counters come to the driver.
+
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has few rows. df must be narrow and cheap to count."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
+def _union(batches):
+    up: dict[int, int] = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = find(a), find(b)
+            up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "component"])
+
+
+def components(links: DataFrame, most: int = LINKS) -> DataFrame:
+    """Connected components of an undirected edge list (a, b) without nulls: node, component = smallest node reachable.
+
+    Up to `most` links meet in one task; more go through alternating large-star
+    and small-star rounds over DataFrames, each checkpointed, of which only two
+    counters come to the driver.
     """
+    links = cut(links)
+    if links.limit(most + 1).count() <= most:
+        return cut(links.coalesce(1).mapInArrow(_union, "node long, component long"))
+    itself = links.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
     edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     count = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
     seen = count(edges)
@@ -154,5 +188,5 @@ def components(links: DataFrame) -> DataFrame:
         if seen == now:
             break
         seen = now
-    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).union(itself.join(edges, F.col("node") == F.col("a"), "left_anti")).distinct()
     return cut(edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").union(roots), parts)
