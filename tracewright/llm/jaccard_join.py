@@ -125,6 +125,7 @@ def _bucketed(h: np.ndarray, buckets: int):
 
 
 def _send_shingles(size: int, buckets: int):
+    @spread.lean
     def send(table: pa.Table, reps: pa.Table) -> pa.Table:
         if not len(table) or not len(reps):
             return _sent([])
@@ -139,6 +140,7 @@ def _send_shingles(size: int, buckets: int):
     return send
 
 
+@spread.lean
 def _answer_shingles(table: pa.Table) -> pa.Table:
     """For each chunk's shingles: 0 if one document has it, else the bits of the number of documents."""
     lists = [spread.unpack(x.as_py()) for x in table.column("data")]
@@ -161,6 +163,7 @@ SET = "node long, n long, lead long, data binary"
 
 def _send_sets(size: int, buckets: int, num: int, den: int):
     """Sets that share a prefix shingle with another class: their shingles but those that are theirs alone, in global order."""
+    @spread.lean
     def send(table: pa.Table, replies: pa.Table) -> pa.Table:
         out = {"node": [], "n": [], "lead": [], "data": []}
         tables = replies.filter(pc.is_valid(replies.column("class"))) if len(replies) else replies
@@ -346,6 +349,7 @@ STORED = "node long, n long, trie long, component long, weight long, data binary
 
 
 def _store(num: int, den: int):
+    @spread.lean
     def store(table: pa.Table) -> pa.Table:
         """The sets of some tries with their components in them, how many sets those have, and the prefix shingles for the directory."""
         nodes, sizes, tries = (table.column(c).to_numpy() for c in ("node", "n", "trie"))
@@ -366,6 +370,7 @@ def _store(num: int, den: int):
 
 
 def _probe(num: int, den: int):
+    @spread.lean
     def probe(stored: pa.Table, probes: pa.Table) -> pa.Table:
         """Links between components: of each probe with the sets of the trie it is sent to."""
         out = []

@@ -22,7 +22,7 @@ from tracewright.llm.toxicity import toxicity
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup(read(spark, sf_dir, "documents"), length=50, texts=False)
+    return suffix_dedup(read(spark, sf_dir, "documents"), length=50, outputs=())
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import math
 import tempfile
 
@@ -43,6 +45,30 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(kernel):
+    """The kernel, of one table or two, which afterwards gives the worker's free memory back: workers live on from task to task."""
+    def one(table):
+        try:
+            return kernel(table)
+        finally:
+            _give_back()
+
+    def two(left, right):
+        try:
+            return kernel(left, right)
+        finally:
+            _give_back()
+
+    return one if len(inspect.signature(kernel).parameters) == 1 else two
+
+
 def text_bytes(df: DataFrame) -> int:
     return int(df.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0)
 

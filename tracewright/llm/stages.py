@@ -45,7 +45,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Long repeats go from texts; a document that loses all its text goes too."""
-    out = suffix_dedup(docs, carry=("lang", "source"))
+    out = suffix_dedup(docs, outputs=("text",), carry=("lang", "source"))
     return out.where("n_removed < n_bytes or n_bytes = 0").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 

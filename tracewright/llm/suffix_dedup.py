@@ -142,6 +142,7 @@ def _six(values: np.ndarray) -> list[np.ndarray]:
 
 
 def _send_anchors(length: int, buckets: int):
+    @spread.lean
     def send(table: pa.Table) -> pa.Table:
         docs, _, _, doc, _, _, h, key = _read_chunk(table, length)
         hs, ks, flags, edges = _anchor_sets(docs, doc, h, key, buckets)
@@ -155,6 +156,7 @@ def _send_anchors(length: int, buckets: int):
 ALONE, EQUAL, DIFFER = 0, 1, 2
 
 
+@spread.lean
 def _answer_anchors(table: pa.Table) -> pa.Table:
     lists = [spread.unpack(x.as_py()) for x in table.column("data")]
     values = np.concatenate([np.cumsum(x[0], dtype=U64) for x in lists])
@@ -180,6 +182,7 @@ def _gather(raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _send_segments(length: int, buckets: int):
     """Distinct segments on shared anchors, with the smallest document: by hash where all are equal, with their bytes where they differ."""
+    @spread.lean
     def send(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(table):
             return _sent([])
@@ -302,6 +305,7 @@ def _ramp(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _answer_segments(length: int):
+    @spread.lean
     def answer(table: pa.Table) -> pa.Table:
         lists = [spread.unpack(x.as_py()) for x in table.column("data")]
         equal, least, key, own, size, raw = (np.concatenate([np.cumsum(x[k], dtype=U64) if k == 0 else x[k] for x in lists]) for k in range(6))
@@ -323,7 +327,9 @@ def _answer_segments(length: int):
 
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-REMAINS = "kept binary, text string, spans array<struct<start:long,stop:long>>"
+REMAINS = {"kept": "binary", "text": "string", "spans": "array<struct<start:long,stop:long>>"}
+#: Bytes of text marked at once.
+SLICE = 2 << 20
 
 
 def _found(keys: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -337,7 +343,8 @@ def _found(keys: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hit, order[at[hit]]
 
 
-def _mark(length: int, texts: bool, carry: tuple[str, ...]):
+def _mark(length: int, outputs: tuple[str, ...], carry: tuple[str, ...]):
+    @spread.lean
     def mark(table: pa.Table, replies: pa.Table) -> pa.Table:
         docs, raw, offsets, doc, a, b, _, key = _read_chunk(table, length)
         parts = [spread.unpack(x.as_py()) for x in replies.column("data")] if len(replies) else []
@@ -355,44 +362,64 @@ def _mark(length: int, texts: bool, carry: tuple[str, ...]):
             src = (np.cumsum(n) - n)[at]
             old = first[_ramp(src, n[at])] < np.repeat(docs[doc[hit]], n[at])
             marked[_ramp(a[hit], n[at])[old]] = True
-        sums = np.concatenate([np.zeros(length, np.int64), np.cumsum(marked)])
-        cover = sums[length:] > sums[:-length]
-        edge = np.zeros(len(raw) + 1, bool)
-        edge[offsets] = True
-        other = edge.copy()
-        other[1:-1] |= ~cover[:-1]
-        heads = np.flatnonzero(cover & other[:-1])
-        other = edge.copy()
-        other[1:-1] |= ~cover[1:]
-        tails = np.flatnonzero(cover & other[1:]) + 1
-        sums = np.concatenate([[0], np.cumsum(cover)])
-        removed = sums[offsets[1:]] - sums[offsets[:-1]]
-        cuts = np.searchsorted(heads, offsets)
-        sha, kept, text, spans = [], [], [], []
-        whole = cover.copy()  # a character goes if all its bytes go
-        if texts and cover.any():
+        out, i = [], 0
+        while i < len(docs):
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE, side="right")) - 1)
+            own = slice(offsets[i], offsets[j])
+            out.append(_cleared(docs[i:j], raw[own], offsets[i : j + 1] - offsets[i], marked[own], length, outputs))
+            i = j
+        if not out:
+            out.append(_cleared(docs, raw, offsets, marked, length, outputs))
+        done = pa.concat_tables(out)
+        for c in carry:
+            done = done.append_column(c, table.column(c))
+        return done
+
+    return mark
+
+
+def _cleared(docs, raw, offsets, marked, length: int, outputs: tuple[str, ...]) -> pa.Table:
+    """What is left of some documents, where marked says at which bytes a window goes."""
+    sums = np.concatenate([np.zeros(length, np.int32), np.cumsum(marked, dtype=np.int32)])
+    cover = sums[length:] > sums[:-length]
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[offsets] = True
+    other = edge.copy()
+    other[1:-1] |= ~cover[:-1]
+    heads = np.flatnonzero(cover & other[:-1])
+    other = edge.copy()
+    other[1:-1] |= ~cover[1:]
+    tails = np.flatnonzero(cover & other[1:]) + 1
+    sums = np.concatenate([[0], np.cumsum(cover)])
+    removed = sums[offsets[1:]] - sums[offsets[:-1]]
+    cuts = np.searchsorted(heads, offsets)
+    kept, to = raw[~cover], offsets - sums[offsets]
+    sha = [hashlib.sha256(kept[s:e]).hexdigest() for s, e in zip(to[:-1].tolist(), to[1:].tolist(), strict=True)]
+    out = {"doc_id": docs, "n_bytes": np.diff(offsets), "n_removed": removed.astype(np.int64), "n_spans": np.diff(cuts).astype(np.int64), "kept_sha256": pa.array(sha, pa.string())}
+    if "kept" in outputs:
+        out["kept"] = _strings(kept, to, pa.large_binary()).cast(pa.binary())
+    if "text" in outputs:
+        whole = cover  # a character goes if all its bytes go
+        if cover.any():
             lead = np.flatnonzero((raw & 0xC0) != 0x80)
             whole = np.repeat(np.logical_and.reduceat(cover, lead), np.diff(np.append(lead, len(raw))))
-        for i in range(len(docs)):
-            s, e = offsets[i], offsets[i + 1]
-            data = (raw[s:e] if not removed[i] else raw[s:e][~cover[s:e]]).tobytes()
-            sha.append(hashlib.sha256(data).hexdigest())
-            if texts:
-                kept.append(data)
-                text.append(data if not removed[i] else raw[s:e][~whole[s:e]].tobytes())
-                spans.append([{"start": int(x - s), "stop": int(y - s)} for x, y in zip(heads[cuts[i] : cuts[i + 1]], tails[cuts[i] : cuts[i + 1]], strict=True)])
-        out = {"doc_id": docs, "n_bytes": np.diff(offsets), "n_removed": removed.astype(np.int64), "n_spans": np.diff(cuts).astype(np.int64), "kept_sha256": pa.array(sha, pa.string())}
-        if texts:
-            out |= {"kept": pa.array(kept, pa.binary()), "text": pa.array(text, pa.binary()).cast(pa.string()), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))}
-        return pa.table(out | {c: table.column(c) for c in carry})
+        sums = np.concatenate([[0], np.cumsum(whole)])
+        out["text"] = _strings(raw[~whole], offsets - sums[offsets], pa.large_string()).cast(pa.string())
+    if "spans" in outputs:
+        base = np.repeat(offsets[:-1], np.diff(cuts))
+        both = pa.StructArray.from_arrays([pa.array(heads - base, pa.int64()), pa.array(tails - base, pa.int64())], names=["start", "stop"])
+        out["spans"] = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), both)
+    return pa.table(out)
 
-    return mark
+
+def _strings(raw: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.Array.from_buffers(kind, len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(raw)])
 
 
-def suffix_dedup(docs: DataFrame, length: int = 50, texts: bool = True, carry: tuple[str, ...] = (), chunk_bytes: int = spread.CHUNK) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 50, outputs: tuple[str, ...] = tuple(REMAINS), carry: tuple[str, ...] = (), chunk_bytes: int = spread.CHUNK) -> DataFrame:
     """Long repeats of documents (doc_id, text): one row a row of docs.
 
-    doc_id, n_bytes, n_removed, n_spans, kept_sha256; with texts also kept (the
+    doc_id, n_bytes, n_removed, n_spans, kept_sha256; of outputs, kept (the
     remaining bytes, which can end inside a character), text (a string of all
     characters but those that go with all their bytes) and spans (byte ranges
     removed); then the columns of docs named by carry. Texts are judged as given, whole, and matches never cross
@@ -410,6 +437,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, texts: bool = True, carry: t
     shared = anchors.groupBy("bucket").applyInArrow(_answer_anchors, SENT)
     segments = rows.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_send_segments(length, n), SENT)
     matches = segments.groupBy("bucket").applyInArrow(_answer_segments(length), SENT)
-    kind = T.StructType([*T._parse_datatype_string(f"{DIGEST}, {REMAINS}" if texts else DIGEST).fields, *(docs.schema[c] for c in carry)])
-    marked = rows.groupBy("chunk").cogroup(matches.groupBy("chunk")).applyInArrow(_mark(length, texts, carry), kind)
+    outputs = tuple(c for c in REMAINS if c in outputs)
+    kind = T.StructType([*T._parse_datatype_string(", ".join([DIGEST, *(f"{c} {REMAINS[c]}" for c in outputs)])).fields, *(docs.schema[c] for c in carry)])
+    marked = rows.groupBy("chunk").cogroup(matches.groupBy("chunk")).applyInArrow(_mark(length, outputs, carry), kind)
     return marked.withColumn("doc_id", spread.given(F.col("doc_id")))
