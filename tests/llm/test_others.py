@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from tracewright.llm import topk_search
 from tracewright.llm.chat_format import END, START, format_chats, read_chats
 from tracewright.llm.quality import quality
 from tracewright.llm.topk_search import top_k
@@ -50,6 +51,38 @@ def test_top_k_equals_brute_force(spark):
     assert top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_top_k_in_rounds_blocks_and_two_widths(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "ROUND", 10_000)
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=5 if i % 3 else 70)]) for i in range(900)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(r) for r in top_k(vectors, vectors.where("vec_id % 2 = 0"), 3).collect())
+    want = []
+    for width in (5, 70):
+        ids = np.array([i for i, v in rows if len(v) == width])
+        x = np.floor(1024 * np.array([v for _, v in rows if len(v) == width])).astype(int)
+        for i in np.flatnonzero(ids % 2 == 0):
+            best = sorted((-int(s), int(j)) for s, j in zip(x @ x[i], ids, strict=True) if j != ids[i])[:3]
+            want += [(int(ids[i]), r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_the_cutoff_saves_work():
+    rng = np.random.default_rng(9)
+    x = np.floor(1024 * (v := rng.normal(size=(4000, 64))) / np.linalg.norm(v, axis=1, keepdims=True))
+    q = x[:100]
+    full = q @ x.T
+    tau = np.sort(full, axis=1)[:, -10]
+    at, to, s, work = topk_search.resolve(q, x, tau)
+    assert sorted(zip(at.tolist(), to.tolist(), strict=True)) == sorted(map(tuple, np.argwhere(full >= tau[:, None]).tolist())) and (s == full[at, to]).all()
+    assert work[-1] < 0.05 * full.size and sum(work) < 0.95 * full.size * len(work)  # no two vectors are alike here: the worst case for bounds
+    centres = rng.normal(size=(40, 64))
+    x = np.floor(1024 * (v := centres[rng.integers(0, 40, 4000)] + 0.2 * rng.normal(size=(4000, 64))) / np.linalg.norm(v, axis=1, keepdims=True))
+    full = x[:100] @ x.T
+    work = topk_search.resolve(x[:100], x, np.sort(full, axis=1)[:, -10])[3]
+    assert work[-1] < 0.02 * full.size and sum(work) < 0.5 * full.size * len(work)
+
+
 def labelled(seed=1, n=900):
     rng = random.Random(seed)
     syllables = ["ba", "ke", "lo", "mi", "tu", "ra", "ne", "so"]

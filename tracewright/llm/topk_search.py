@@ -1,15 +1,19 @@
 """Exact top-k inner-product search by three-phase uniform threshold.
 
 A score is the sum of partial scores of `LISTS` blocks of components, each a
-list of its own. For every block of queries:
-
-1. every task sends, for each query and list, its k best partial scores; their
-   full scores give, over all tasks, a k-th best that the true one can't be
-   below: the safe cutoff;
-2. cutoff / LISTS is broadcast: a row that is below it in every list is below
-   the cutoff in sum, so only rows at or above it in some list come in, and
-   those whose partial scores can't add up to the cutoff go at once;
-3. the scores of what is left are resolved exactly, and the k best stay.
+list of its own. For every round of queries:
+
+1. every task gathers, for each query and list, its k best partial scores and
+   resolves the full scores of those rows only; over all tasks they give a k-th
+   best that the true one can't be below: the safe cutoff, which is broadcast;
+2. the lists are walked one after the other, and an entry is collected only
+   while its row can reach the cutoff: with what its lists so far add up to and
+   the most the rest can (norms bound it). Of what is left, a row counts only if
+   some list is at or above cutoff / LISTS, as one below in all is below in sum;
+3. the lists that are left are resolved for those few rows alone, and the k best
+   stay.
+
+A round holds as many queries as `ROUND` bytes do; each reads the table twice.
 """
 
 from __future__ import annotations
@@ -22,9 +26,12 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import spread
 
-LISTS = 4
-#: Queries that are searched for, and broadcast, at once.
-BLOCK = 2048
+LISTS = 8
+#: Bytes of query vectors that are broadcast at once, and queries multiplied at once.
+ROUND = 16 << 20
+BLOCK = 256
+#: Share of rows that can still reach the cutoff below which they are resolved one by one.
+FEW = 0.1
 SCALE = 1024
 
 
@@ -60,6 +67,10 @@ def _out(q, v, s):
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (q, v, s)], names=["query_id", "vec_id", "score"])
 
 
+def _blocks(n: int):
+    return [slice(at, at + BLOCK) for at in range(0, n, BLOCK)]
+
+
 def _phase_one(queries, k: int):
     """The full scores of each task's k best rows of every list."""
     def run(batches):
@@ -69,16 +80,70 @@ def _phase_one(queries, k: int):
             ids, x = _matrix(batch, q.shape[1])
             if not len(ids):
                 continue
-            full = q @ x.T
-            full[_own(qids, ids)] = -np.inf
-            chosen = np.zeros(full.shape, bool)
-            for part in _lists(q.shape[1]):
-                partial = q[:, part] @ x[:, part].T
-                top = np.argpartition(-partial, min(k, len(ids) - 1), axis=1)[:, :k]
-                np.put_along_axis(chosen, top, True, axis=1)
-            chosen &= np.isfinite(full)
-            at, to = np.nonzero(chosen)
-            kept.append((at, ids[to], full[at, to]))
+            for own in _blocks(len(qids)):
+                same = _own(qids[own], ids)
+                chosen = np.zeros(same.shape, bool)
+                for part in _lists(q.shape[1]):
+                    partial = q[own, part] @ x[:, part].T
+                    partial[same] = -np.inf
+                    top = np.argpartition(-partial, min(k, len(ids) - 1), axis=1)[:, :k]
+                    np.put_along_axis(chosen, top, True, axis=1)
+                at, to = np.nonzero(chosen & ~same)
+                kept.append((at + own.start, ids[to], np.einsum("ij,ij->i", q[own][at], x[to])))
+            if len(kept) > 8:
+                kept = [_best(kept, k)]
+        if kept:
+            at, ids, s = _best(kept, k)
+            yield _out(qids[at], ids, s)
+
+    return run
+
+
+def _norms(v: np.ndarray, parts: list[slice]) -> np.ndarray:
+    """After each list, the norm of the components in the lists that follow."""
+    squares = np.stack([(v[:, p] ** 2).sum(axis=1) for p in parts], axis=1)
+    return np.sqrt(np.maximum(squares.sum(axis=1, keepdims=True) - np.cumsum(squares, axis=1), 0))
+
+
+def resolve(q: np.ndarray, x: np.ndarray, tau: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Pairs (query, row) whose score is tau or more, their scores, and how many entries of each list were multiplied."""
+    parts = _lists(q.shape[1])
+    share, rest_q, rest_x = tau / len(parts), _norms(q, parts), _norms(x, parts)
+    sums, some = np.zeros((len(q), len(x))), np.zeros((len(q), len(x)), bool)
+    work, j = [], 0
+    alive = np.ones(sums.shape, bool)
+    while j < len(parts) and alive.sum() > FEW * alive.size:
+        partial = q[:, parts[j]] @ x[:, parts[j]].T
+        work.append(partial.size)
+        sums += partial
+        some |= partial >= share[:, None]
+        alive &= sums + np.outer(rest_q[:, j], rest_x[:, j]) + 1 >= tau[:, None]  # 1: more than rounding can take
+        j += 1
+    at, to = np.nonzero(alive)
+    s, some = sums[at, to], some[at, to]
+    for part, rq, rx in zip(parts[j:], rest_q.T[j:], rest_x.T[j:], strict=True):
+        partial = np.einsum("ij,ij->i", q[at, part], x[to, part])
+        work.append(len(partial))
+        s, some = s + partial, some | (partial >= share[at])
+        keep = s + rq[at] * rx[to] + 1 >= tau[at]
+        at, to, s, some = at[keep], to[keep], s[keep], some[keep]
+    keep = some & (s >= tau[at])
+    return at[keep], to[keep], s[keep], work
+
+
+def _phase_two(queries, cutoffs, k: int):
+    """Rows that can reach the cutoff, resolved: each task's k best."""
+    def run(batches):
+        (qids, q), tau = queries.value, cutoffs.value
+        kept: list[tuple] = []
+        for batch in batches:
+            ids, x = _matrix(batch, q.shape[1])
+            if not len(ids):
+                continue
+            for own in _blocks(len(qids)):
+                at, to, s, _ = resolve(q[own], x, tau[own])
+                good = qids[own][at] != ids[to]
+                kept.append((at[good] + own.start, ids[to[good]], s[good]))
             if len(kept) > 8:
                 kept = [_best(kept, k)]
         if kept:
@@ -89,7 +154,7 @@ def _phase_one(queries, k: int):
 
 
 def _best(kept, k: int):
-    """Of (query, id, score) triples, each query's k best, ties to the smaller id; an id counts once."""
+    """Of (query, id, score) triples, each query's k best, ties to the smaller id."""
     at, ids, s = (np.concatenate([x[i] for x in kept]) for i in range(3))
     order = np.lexsort((ids, -s, at))
     at, ids, s = at[order], ids[order], s[order]
@@ -148,19 +213,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = SCAL
     out = None
     for width in sorted(w for w in sizes if w > 0):
         own = asked.where(F.size("v") == width)
-        blocks = max(1, -(-own.count() // (BLOCK * 3 // 4)))
-        for b in range(blocks):
-            block = own.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").collect()  # about BLOCK queries at most
-            if not block:
+        rounds = max(1, -(-own.count() * width * 8 // (ROUND * 3 // 4)))
+        for r in range(rounds):
+            block = own.where(F.pmod(F.xxhash64("vec_id"), F.lit(rounds)) == r).toArrow()  # about ROUND bytes
+            if not len(block):
                 continue
-            qids, q = np.array([r["vec_id"] for r in block], np.int64), np.array([r["v"] for r in block], float)
+            qids, q = _matrix(block.combine_chunks().to_batches()[0], width)
             shared = spark.sparkContext.broadcast((qids, q))
-            w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-            rank = F.row_number().over(w)
+            rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
             first = rows.mapInArrow(_phase_one(shared, k), KIND).withColumn("rank", rank).where(F.col("rank") == k).select("query_id", "score")
-            known = {r["query_id"]: r["score"] for r in first.collect()}
+            known = {x["query_id"]: x["score"] for x in first.collect()}
             tau = np.array([known.get(i, -(2.0**60)) for i in qids.tolist()], float)
             cutoffs = spark.sparkContext.broadcast(tau)
             found = rows.mapInArrow(_phase_two(shared, cutoffs, k), KIND).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            found = found if rounds == 1 else spread.cut(found)
             out = found if out is None else out.union(found)
     return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
