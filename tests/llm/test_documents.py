@@ -13,7 +13,7 @@ import pytest
 
 from tracewright.llm import kernels as K
 from tracewright.llm.jaccard_join import Trie, jaccard_join, near_groups
-from tracewright.llm.merkle import differing, document_fingerprints, fingerprint, likeness
+from tracewright.llm.merkle import differing, document_fingerprints, fingerprint, leaves, likeness
 from tracewright.llm.mixing import mix_sources
 from tracewright.llm.packing import CAPACITY, best_fit_packing, encoder, plan
 from tracewright.llm.spread import components
@@ -268,7 +268,7 @@ def test_fingerprints(docs):
         after = rows[(k + 1) % len(rows)][1]
         half = len(t) // 2
         edited = t[: len(t) - half] + after[:half]
-        assert any(r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and r.fingerprint == fingerprint(t) and r.near_next == likeness(fingerprint(t), fingerprint(after)) for r in got[i])
+        assert any(r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and r.fingerprint == fingerprint(t) and r.near_next == likeness(fingerprint(t), fingerprint(after)) and r.near_edited == likeness(fingerprint(t), fingerprint(edited)) for r in got[i])
 
 
 def test_likeness_and_edit_places():
@@ -279,10 +279,42 @@ def test_likeness_and_edit_places():
     assert likeness(fingerprint(text), fingerprint(text)) == 1.0
     assert likeness(fingerprint(text), fingerprint(other)) < 0.05
     assert 0.8 < likeness(fingerprint(text), fingerprint(edited)) < 1.0
+    for a, b in (("", "\n"), ("\n", "\n\n"), ("one line\nand another", "and another\none line"), ("a", "")):
+        assert likeness(fingerprint(a), fingerprint(b)) < 1.0 == likeness(fingerprint(b), fingerprint(b))
     spans = differing(fingerprint(text), fingerprint(edited))
     assert any(a <= 1000 < b for a, b in spans) and sum(b - a for a, b in spans) < 600
 
 
+def plain_tree(text):
+    """Leaves, paragraphs and sections of a text as plain strings, by the same cuts."""
+    sections = [[]]
+    for line in text.split("\n"):
+        own = leaves(line)
+        assert "".join(own) == line
+        sections[-1].append(own)
+        if not line.strip() or int(hashlib.blake2b(own[-1].encode(), digest_size=6).hexdigest()[-1], 16) == 0:
+            sections.append([])
+    return sections
+
+
+def test_likeness_equals_a_comparison_of_whole_strings():
+    rng = random.Random(8)
+    lines = [prose(rng, rng.choice([0, 3, 30, 90])) for _ in range(300)]
+    for _ in range(60):
+        a = [rng.choice(lines) for _ in range(rng.randint(1, 60))]
+        one, two = "\n".join(a), "\n".join(x if rng.random() < 0.8 else rng.choice(lines) for x in a)
+        if one == two:
+            continue
+        shared = 0
+        left, right = ([tuple(map(tuple, s)) for s in plain_tree(t)] for t in (one, two))
+        for size in (lambda s: sum(len(x) for p in s for x in p), lambda p: sum(map(len, p)), len):
+            both = Counter(left) & Counter(right)
+            shared += sum(size(n) * k for n, k in both.items())
+            left, right = ([y for x in (Counter(side) - both).elements() for y in x] for side in (left, right))
+        total = len(one) - one.count("\n") + len(two) - two.count("\n") + 2
+        assert abs(likeness(fingerprint(one), fingerprint(two)) - 2 * shared / total) < 1e-12
+
+
 def brute_mix(rows):
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     totals = Counter()

@@ -4,9 +4,10 @@ A text is cut into sections (blank lines end them, and so does a paragraph
 whose digest falls into one of 16 slots, so that cuts depend on content
 alone), sections into paragraphs (lines), paragraphs into leaves (20 to 120
 characters, cut by content again). A node's digest is that of its children's. The
-fingerprint writes the tree down: the root, then for each section its
-paragraphs' leaves with their lengths. Equal roots say equal texts; where roots
-differ, the comparison goes down only into branches that differ.
+fingerprint writes the tree down: the root, then sections, their paragraphs and
+the leaves of those, each as digest and length. Equal roots say equal texts; where
+roots differ, digests are compared level by level, down only into branches that
+differ.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from tracewright.llm import spread
 from tracewright.llm.kernels import NULL_ID
 
-#: Characters of a leaf's digest; roots and inner nodes have 32.
+#: Characters of the digest of a leaf, paragraph or section; roots have 32.
 LEAF = 12
 _LEAF = re.compile(r".{20,120}?(?<=[.!?,;:dnst])\s+|.{120}|.+")
 
@@ -37,55 +38,88 @@ def leaves(paragraph: str) -> list[str]:
     return _LEAF.findall(paragraph)
 
 
+def _node(children: list[str]) -> str:
+    """Digest and length of a node from those of its children: itself where it is one."""
+    if len(children) == 1:
+        return children[0]
+    return f"{_digest(','.join(children).encode(), LEAF // 2)}{sum(map(_weight, children)):x}"
+
+
 def fingerprint(text: str) -> str:
-    """root / sections parted by '|', paragraphs by ';', leaves by ',' as digest and length in characters (hexadecimal)."""
-    sections: list[list[list[str]]] = [[]]
+    """root / sections parted by '|': a node, ':' and its paragraphs parted by ';': a node, and where it has more leaves than one '=' and they, parted by ','.
+
+    A node or leaf is LEAF characters of digest and its length in characters (hexadecimal, line feeds apart).
+    """
+    sections: list[list[tuple[str, str]]] = [[]]
     for line in text.split("\n"):
         own = []
         for leaf in leaves(line):
             data = leaf.encode("utf-8", "surrogatepass")
             own.append(f"{_digest(data, LEAF // 2)}{len(leaf):x}")
-        sections[-1].append(own)
+        node = _node(own)
+        sections[-1].append((node, node if len(own) < 2 else f"{node}={','.join(own)}"))
         if not line.strip() or int(own[-1][LEAF - 1], 16) == 0:
             sections.append([])
-    body = "|".join(";".join(",".join(p) for p in s) for s in sections)
-    nodes = [_digest(";".join(_digest(",".join(p).encode()) for p in s).encode()) for s in sections]
-    # the leaves' digests are short; the root also takes the text's own, so that equal roots mean equal texts
+    nodes = [_node([n for n, _ in s]) for s in sections]
+    body = "|".join(f"{n}:{';'.join(b for _, b in s)}" for n, s in zip(nodes, sections, strict=True))
+    # the nodes' digests are short; the root also takes the text's own, so that equal roots mean equal texts
     return f"{_digest(('|'.join(nodes) + _digest(text.encode('utf-8', 'surrogatepass'))).encode())}/{body}"
 
 
-def _weight(leaf: str) -> int:
-    return int(leaf[LEAF:], 16)
+def _weight(node: str) -> int:
+    return int(node[LEAF:], 16)
+
+
+def _children(nodes: list[str], mark: str, inner: str) -> list[str]:
+    """The written children, parted by inner, of written nodes."""
+    return [x for n in nodes for x in n.partition(mark)[2].split(inner) if x]
 
 
 def likeness(one: str, two: str) -> float:
-    """Twice the characters in branches that both trees have, over all characters: 1 for equal texts, 0 for texts without a common leaf."""
-    if one.split("/", 1)[0] == two.split("/", 1)[0]:
+    """Twice the characters in branches that both trees have, over all characters and one more of each text.
+
+    1 for equal roots, and for those alone; 0 for texts without a common leaf.
+    """
+    (root, _, left), (other, _, right) = one.partition("/"), two.partition("/")
+    if root == other:
         return 1.0
-    left, right = one.split("/", 1)[1].split("|"), two.split("/", 1)[1].split("|")
-    shared = total = 0
-    for mark, step in ((";", None), (",", ";"), (None, ",")):
-        a, b = Counter(left), Counter(right)
-        both = a & b
-        size = (lambda node: sum(_weight(x) for x in re.split("[;,]", node) if x))
-        shared += sum(size(node) * n for node, n in both.items() if node)
-        if step is None and mark == ";":
-            total = sum(size(x) for x in left) + sum(size(x) for x in right)
-        if mark is None:
-            break
-        # down into what differs
-        left = [x for node in (a - both).elements() for x in node.split(mark)]
-        right = [x for node in (b - both).elements() for x in node.split(mark)]
-    return min(1.0, 2.0 * shared / total) if total else 1.0
+    left, right = left.split("|"), right.split("|")
+    shared, total = 0, 2
+    for level, mark in enumerate((":", "=", "")):
+        names = [[x.partition(mark)[0] if mark else x for x in side] for side in (left, right)]
+        if not level:
+            total += sum(map(_weight, names[0])) + sum(map(_weight, names[1]))
+        counts = [Counter(n) for n in names]
+        both = counts[0] & counts[1]
+        shared += sum(_weight(node) * n for node, n in both.items())
+        if mark:  # down into what differs
+            left, right = (_children(_rest(side, n, both), mark, ";") if not level else _leaves(_rest(side, n, both)) for side, n in zip((left, right), names, strict=True))
+    return 2.0 * shared / total
+
+
+def _rest(written: list[str], names: list[str], both: Counter) -> list[str]:
+    """The nodes without those that both trees have."""
+    left, out = Counter(both), []
+    for x, name in zip(written, names, strict=True):
+        if left[name]:
+            left[name] -= 1
+        else:
+            out.append(x)
+    return out
+
+
+def _leaves(paragraphs: list[str]) -> list[str]:
+    return [x for p in paragraphs for x in (p.partition("=")[2] or p).split(",") if _weight(x)]
 
 
 def differing(one: str, two: str) -> list[tuple[int, int]]:
     """Character ranges of the first text in leaves that the second one's tree lacks: where edits are."""
-    have = Counter(x for x in re.split("[|;,]", two.split("/", 1)[1]) if x)
+    lines = [_children(f.partition("/")[2].split("|"), ":", ";") for f in (one, two)]
+    have = Counter(_leaves(lines[1]))
     out, at = [], 0
-    for k, line in enumerate(re.split("[|;]", one.split("/", 1)[1])):
+    for k, line in enumerate(lines[0]):
         at += k > 0  # the line feed
-        for leaf in filter(None, line.split(",")):
+        for leaf in _leaves([line]):
             n = _weight(leaf)
             if have[leaf]:
                 have[leaf] -= 1
