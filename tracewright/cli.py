@@ -6,6 +6,8 @@ import argparse
 import os
 import sys
 
+from pyspark.sql import SparkSession
+
 from tracewright import render
 from tracewright.operators.export import redacted
 from tracewright.operators.filters import FilterError, LogFilter
@@ -44,6 +46,7 @@ def _parser() -> argparse.ArgumentParser:
         p.add_argument("-s", "--sort-by", choices=orders, default="time")
         p.add_argument("-D", "--diff-only", action="store_true", default=name != "compare")
         p.add_argument("--full", action="store_true")
+        p.add_argument("--layout", choices=render.LAYOUTS, default="readable", help="of JSON")
         p.add_argument("--no-sanitize", action="store_true")
     p = command("info", "i", "inspect")
     for flags in (("-s", "--samples"), ("--json-schema",), ("-p", "--payloads"), ("-t", "--timeline")):
@@ -79,14 +82,15 @@ def _parser() -> argparse.ArgumentParser:
     return parser
 
 
-def _run(args, profile: Profile, wanted: LogFilter) -> render.Report:
-    spark = local_session(os.cpu_count() or 4)
-    spark.sparkContext.setLogLevel("ERROR")
+def _run(args, profile: Profile, wanted: LogFilter, spark: SparkSession | None = None) -> render.Report:
+    if spark is None:
+        spark = local_session(os.cpu_count() or 4)
+        spark.sparkContext.setLogLevel("ERROR")
     if args.command in ("compare", "diff", "llm-diff"):
         logs = [read_log(spark, f, profile, i) for i, f in enumerate(args.files)]
         if args.command == "llm-diff" and not args.no_sanitize:
             logs = [redacted(x) for x in logs]
-        return render.compare_report(*logs, wanted, args.diff_only, args.sort_by, args.verbose > 0, args.full)
+        return render.compare_report(*logs, wanted, args.diff_only, args.sort_by, args.verbose > 0, args.full, args.layout)
     entries = read_logs(spark, args.files, profile)
     if args.command in ("search", "extract", "process"):
         entries = with_sequence(entries)
@@ -110,14 +114,14 @@ def _run(args, profile: Profile, wanted: LogFilter) -> render.Report:
     return render.Report({"profile": found.profile_name}, to_toml(found, "Generated profile.\nReview the markers before use."))
 
 
-def main(argv: list[str] | None = None) -> int:
+def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = _parser().parse_args(argv)
     try:
         wanted = LogFilter.parse(args.filter)
         if not args.quiet:
             for note in wanted.warnings():
                 print(f"warning: {note}", file=sys.stderr)
-        report = _run(args, load_profile(args.config, args.preset), wanted)
+        report = _run(args, load_profile(args.config, args.preset), wanted, spark)
     except (FilterError, ProfileError, LogFormatError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

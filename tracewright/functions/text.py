@@ -115,6 +115,17 @@ def duration_text(ms: Column) -> Column:
     )
 
 
+def span_text(seconds: Column) -> Column:
+    """A span of whole seconds in its two largest units."""
+    unit = lambda size, within=None: F.floor((seconds if within is None else seconds % within) / size).cast("long")
+    return (
+        F.when(seconds < 60, F.format_string("%d seconds", seconds))
+        .when(seconds < 3600, F.format_string("%d minutes, %d seconds", unit(60), seconds % 60))
+        .when(seconds < 86_400, F.format_string("%d hours, %d minutes", unit(3600), unit(60, 3600)))
+        .otherwise(F.format_string("%d days, %d hours", unit(86_400), unit(3600, 86_400)))
+    )
+
+
 def iso_millis(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 

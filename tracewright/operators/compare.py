@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.payload import json_differences
 from tracewright.functions.text import compare_key, level_rank
+from tracewright.operators import numbering
 from tracewright.operators.filters import LogFilter
+from tracewright.schema import barrier
 
 SORTS = ("time", "component", "level", "type", "diff-count")
 
@@ -15,7 +17,7 @@ SORTS = ("time", "component", "level", "type", "diff-count")
 def numbered(entries: DataFrame, wanted: LogFilter | None = None) -> DataFrame:
     """What a comparison needs of each entry, with its key and its occurrence under that key in file order."""
     rows = (wanted or LogFilter()).apply(entries).select(compare_key().alias("key"), "seq", "source_line_number", "timestamp", "component", "level", "kind", "message", "payload_json")
-    return rows.withColumn("occurrence", F.row_number().over(Window.partitionBy("key").orderBy("seq")))
+    return numbering.numbered(rows, ("key",), "seq", "occurrence").withColumn("occurrence", F.col("occurrence").cast("int"))
 
 
 def paired(one: DataFrame, two: DataFrame) -> DataFrame:
@@ -27,7 +29,7 @@ def paired(one: DataFrame, two: DataFrame) -> DataFrame:
 def pairs(joined: DataFrame, diff_only: bool = False) -> DataFrame:
     """Pairs with both payloads: their differences, and both messages where these differ too."""
     both = joined.where("payload_json1 is not null and payload_json2 is not null").withColumn("differences", json_differences("payload_json1", "payload_json2"))
-    both = both.withColumn("diff_count", F.size("differences"))
+    both = barrier(both).withColumn("diff_count", F.size("differences"))
     if diff_only:
         both = both.where("diff_count > 0")
     other = (F.col("diff_count") > 0) & (F.col("message1") != F.col("message2"))
@@ -65,12 +67,10 @@ def sorted_pairs(table: DataFrame, by: str = "time") -> DataFrame:
 
 
 def regrouped(table: DataFrame) -> DataFrame:
-    """Differences by key and path: the values of either side and the pairs of occurrences they come from."""
-    rows = table.select("key", "occurrence", F.explode("differences").alias("d"))
-    item = F.struct("occurrence", F.col("d.value1").alias("value1"), F.col("d.value2").alias("value2"))
-    grouped = rows.groupBy("key", F.col("d.path").alias("path")).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    take = lambda name: F.transform("items", lambda x: x[name])
-    return grouped.select("key", "path", take("value1").alias("value1"), take("value2").alias("value2"), take("occurrence").alias("occurrences"))
+    """Differences by key and path: a row for each pair of occurrences, with either side's value and how many such rows there are."""
+    rows = table.select("key", "occurrence", F.inline("differences"))
+    counts = rows.groupBy("key", "path").agg(F.count("*").alias("instances"))
+    return rows.join(counts, ["key", "path"]).select("key", "path", "occurrence", "value1", "value2", "change", "instances")
 
 
 def summary(joined: DataFrame, compared: DataFrame) -> DataFrame:

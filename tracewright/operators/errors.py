@@ -31,24 +31,33 @@ def impacts(entries: DataFrame, warn: bool = False, rules: PerfRules | None = No
 
 
 def clusters(by_session: DataFrame) -> DataFrame:
-    """One row a severity and pattern; affected sessions by errors, orphaned ones first, then path."""
-    session = F.struct(
-        (-F.col("error_count")).alias("rank"), F.when(F.col("outcome") == "orphaned", 0).otherwise(1).alias("outcome_rank"), F.col("component_id").alias("session_path"), "error_count", "outcome",
-        F.col("first_error").alias("first_error_timestamp"), F.col("last_error").alias("last_error_timestamp"), "blocking_ms",
-    )
+    """One row a severity and message pattern."""
     named = F.col("component_id") != ""
     return by_session.groupBy("severity", "pattern").agg(
         F.sum("error_count").alias("count"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("components")))).alias("components"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("components")))).alias("components"),  # few sets are different
         F.min("first_error").alias("first_timestamp"),
         F.max("last_error").alias("last_timestamp"),
         F.min("sample")["message"].alias("sample_message"),
         F.count_if(named).alias("affected_sessions_count"),
-        F.transform(F.array_sort(F.collect_list(F.when(named, session))), lambda s: s.dropFields("rank", "outcome_rank")).alias("affected_sessions"),
         F.max(F.when(named, F.col("blocking_ms"))).alias("blocking_ms"),
     )
 
 
+def session_order() -> list:
+    """How the affected sessions of a cluster are listed: the most errors first, orphaned ones before others, then by path."""
+    return [F.desc("error_count"), F.asc("outcome_rank"), F.asc("session_path")]
+
+
+def affected(by_session: DataFrame, shown: DataFrame | None = None) -> DataFrame:
+    """A row for each session that a cluster hits, of the clusters (severity, pattern) in shown, a few rows, if given."""
+    rows = by_session.where("component_id <> ''")
+    if shown is not None:
+        rows = rows.join(F.broadcast(shown.select("severity", "pattern")), ["severity", "pattern"], "left_semi")
+    rank = F.when(F.col("outcome") == "orphaned", 0).otherwise(1).alias("outcome_rank")
+    return rows.select("severity", "pattern", F.col("component_id").alias("session_path"), "error_count", "outcome", F.col("first_error").alias("first_error_timestamp"), F.col("last_error").alias("last_error_timestamp"), "blocking_ms", rank)
+
+
 def sort_clusters(table: DataFrame, by: str = "count", top: int = 0) -> DataFrame:
     """By count, time or impact; top 0 keeps all."""
     count, sessions, last, pattern = F.desc("count"), F.desc("affected_sessions_count"), F.desc("last_timestamp"), F.asc("pattern")

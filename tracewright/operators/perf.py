@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.text import contains_any, millis_between, request_id_in
 from tracewright.profile import PerfRules
-from tracewright.schema import COMMAND, EVENT, REQUEST, TIMELINE
+from tracewright.schema import COMMAND, EVENT, REQUEST, TIMELINE, barrier
 
 PERCENTILES = (50, 95, 99)
 
 
-def event_key(rules: PerfRules) -> Column:
-    """The first configured payload key whose value is a string."""
-    payload = F.try_parse_json("payload_json")
+def event_key(rules: PerfRules, payload: Column | None = None) -> Column:
+    """The first configured payload key whose value is a string. payload: the parsed payload, if there is one already."""
+    payload = F.try_parse_json("payload_json") if payload is None else payload
     found = []
     for k in rules.event_correlation_keys:
         path = "$['" + k.replace("'", "\\'") + "']"
@@ -43,18 +43,20 @@ def steps(entries: DataFrame, rules: PerfRules | None = None, op_type: str | Non
     ending = contains_any(F.col("message"), rules.command_completion_markers)
     begins = ((kind == REQUEST) & (way == "Send")) | ((kind == EVENT) & (way == "Receive"))
     ends = ((kind == REQUEST) & (way == "Receive")) | ((kind == EVENT) & (way == "Emit"))
-    key = F.when(kind == REQUEST, F.coalesce("request_id", request_id_in(F.col("message")))).when(kind == EVENT, event_key(rules))
+    key = F.when(kind == REQUEST, F.coalesce("request_id", request_id_in(F.col("message")))).when(kind == EVENT, event_key(rules, F.col("payload")))
     if commands:
         begins, ends = begins | ((kind == COMMAND) & starting), ends | ((kind == COMMAND) & ending & ~starting)
         key = key.when(kind == COMMAND, F.concat_ws(":", F.col("name"), F.col("component_id")))
     rows = entries.where(begins | ends)
     if op_type:
         rows = rows.where(kind == op_type)
-    status = F.when((kind == REQUEST) & F.col("payload_json").isNotNull(), F.try_variant_get(F.try_parse_json("payload_json"), "$.statusCode", "long"))
-    rows = rows.select(
+    status = F.when(kind == REQUEST, F.try_variant_get("payload", "$.statusCode", "long"))
+    used = ("kind", "direction", "name", "request_id", *TIMELINE, "component", "component_id", "endpoint", "message")
+    rows = barrier(rows.select(*used, F.try_parse_json("payload_json").alias("payload")))  # parsed once
+    rows = barrier(rows.select(
         F.col("kind").alias("op_type"), "name", key.alias("correlation_id"), F.coalesce(begins, F.lit(False)).alias("starts"),
         *TIMELINE, "component", "component_id", "endpoint", status.alias("status"), "message",
-    ).where("correlation_id is not null")
+    )).where("correlation_id is not null")
     w = Window.partitionBy("op_type", "correlation_id").orderBy(*TIMELINE)
     return (
         rows.withColumn("before", F.lag(F.struct("starts", F.col("timestamp").alias("at"), "component")).over(w))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.payload import value_at
@@ -19,18 +19,18 @@ def matches(entries: DataFrame, wanted: LogFilter) -> DataFrame:
 def with_context(entries: DataFrame, wanted: LogFilter, context: int = 0) -> DataFrame:
     """Matches and the entries up to context places around them in file order, with is_match and new_chunk.
 
-    entries must have seq without gaps. Places around matches are generated
-    and semi-joined, so no window runs over the whole file; new_chunk looks at
-    the rows that are shown only.
+    entries must have seq without gaps. Places around matches are generated, with
+    whether the place before each is shown too, and joined: no window runs over
+    the file, or over what is shown of it.
     """
     hits = wanted.apply(entries).select("file_idx", "seq")
-    if context:
-        near = hits.select("file_idx", F.explode(F.sequence(F.col("seq") - context, F.col("seq") + context)).alias("seq")).distinct()
-    else:
-        near = hits
-    shown = entries.join(near, ["file_idx", "seq"], "left_semi").join(hits.withColumn("hit", F.lit(True)), ["file_idx", "seq"], "left")
-    before = F.lag("seq").over(Window.partitionBy("file_idx").orderBy("seq"))
-    return shown.withColumn("is_match", F.coalesce("hit", F.lit(False))).withColumn("new_chunk", F.coalesce(F.col("seq") - before > 1, F.lit(False))).drop("hit")
+    offsets = F.explode(F.sequence(F.lit(-context), F.lit(context + 1))).alias("offset")
+    marks = hits.select("file_idx", "seq", offsets).groupBy("file_idx", (F.col("seq") + F.col("offset")).alias("seq")).agg(
+        F.max(F.col("offset") <= context).alias("near"), F.max(F.col("offset") > -context).alias("goes_on"), F.max(F.col("offset") == 0).alias("is_match")
+    )
+    firsts = F.broadcast(hits.groupBy("file_idx").agg(F.min("seq").alias("first")))  # a row a file
+    shown = entries.join(marks.where("near"), ["file_idx", "seq"]).join(firsts, "file_idx")
+    return shown.withColumn("new_chunk", ~F.col("goes_on") & (F.col("seq") > F.col("first"))).drop("near", "goes_on", "first")
 
 
 _GROUPS = {

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracewright.functions.payload import value_at
 from tracewright.functions.text import strip_instance
 from tracewright.profile import SessionLevel
-from tracewright.schema import COMMAND, order_key
+from tracewright.schema import COMMAND, barrier, order_key
 
 
 def level_of(segment: Column, levels: tuple[SessionLevel, ...]) -> Column:
@@ -20,7 +20,7 @@ def level_of(segment: Column, levels: tuple[SessionLevel, ...]) -> Column:
 
 
 def _segments(entries: DataFrame, levels: tuple[SessionLevel, ...]) -> DataFrame:
-    """A row for each path segment of each entry: position, level, the matched segment before it, whether a deeper one matches."""
+    """A row for each path segment of each entry: level, the matched segment before it, whether a deeper one matches, whether the path has it for the first time."""
     path = F.filter(F.split("component_id", "/"), lambda s: s != "")
     rows = entries.where("component_id <> ''").select(order_key().alias("at"), "timestamp", "kind", "name", "payload_json", path.alias("path"))
     matched = F.transform("path", lambda s: F.struct(s.alias("segment"), level_of(s, levels).alias("level")))
@@ -28,7 +28,7 @@ def _segments(entries: DataFrame, levels: tuple[SessionLevel, ...]) -> DataFrame
     rows = rows.select("*", F.posexplode("path").alias("position", "s"))
     above = F.filter(F.slice("path", F.lit(1), F.col("position")), lambda s: s["level"].isNotNull())
     return rows.select(
-        "at", "timestamp", "kind", "name", "payload_json", "s.segment", "s.level",
+        "at", "timestamp", "kind", "name", "payload_json", "s.segment", "s.level", (F.array_position(F.transform("path", lambda s: s["segment"]), F.col("s.segment")) == F.col("position") + 1).alias("fresh"),
         F.when(F.size(above) > 0, F.element_at(above, -1)).alias("above"),
         (F.size(F.filter(F.slice("path", F.col("position") + 2, F.size("path")), lambda s: s["level"].isNotNull())) == 0).alias("deepest"),
     )
@@ -49,12 +49,13 @@ def sessions(entries: DataFrame, levels: tuple[SessionLevel, ...]) -> DataFrame:
     completes = (F.col("kind") == COMMAND) & F.array_contains(each(lambda x: F.array(*[F.lit(c) for c in x.complete_commands]).cast("array<string>")), F.col("name"))
     last = lambda value, when: F.max_by(value, F.when(when, F.col("at")))
     paths = sorted({p for x in levels for p in x.summary_fields})
-    fields = [last(value_at(p, F.col("payload_json")), creates).alias(f"f{i}") for i, p in enumerate(paths)]
     out = rows.groupBy(F.col("level").alias("at_level"), F.col("segment").alias("session_id")).agg(
-        F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"), F.count_distinct("at").alias("entry_count"),
+        F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"), F.count_if("fresh").alias("entry_count"),
         last(F.col("above.segment"), F.col("above").isNotNull()).alias("parent"),
-        last(F.col("name"), creates).alias("created_via"), last(F.col("name"), completes).alias("completed_via"), *fields,
+        last(F.col("name"), creates).alias("created_via"), last(F.col("name"), completes).alias("completed_via"), last(F.col("payload_json"), creates).alias("payload"),
     )
+    if paths:  # of the one entry that counts
+        out = barrier(out.select("*", *[value_at(p, F.col("payload")).alias(f"f{i}") for i, p in enumerate(paths)]))
     pairs = [F.struct(F.lit(p).alias("key"), F.col(f"f{i}").alias("value")) for i, p in enumerate(paths)]
     wanted = F.element_at(F.array(*[F.array(*[F.lit(p) for p in x.summary_fields]).cast("array<string>") for x in levels]), F.col("at_level") + 1)
     summary = F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"].isNotNull() & F.array_contains(wanted, p["key"]))) if pairs else F.create_map().cast("map<string,string>")

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.payload import compact_json, redact_json
 from tracewright.functions.text import compare_key, component_label, duration_text, flow, iso_millis, level_rank, log_key, message_pattern, module_component, severity, truncated, type_label
 from tracewright.operators import compare, errors, export, infer, info, perf, search, sessions, trace
 from tracewright.operators.filters import LogFilter
+from tracewright.operators.numbering import timeline_places
 from tracewright.profile import KnownNames, SessionLevel
-from tracewright.schema import order
+
 from tracewright.sources.logs import frame, parse_entries
 from tracewright.sources.tables import events_log, split_halves
 
@@ -92,9 +93,9 @@ def _paired(spark, sf_dir):
     return perf.steps(events_log(spark, sf_dir))
 
 
-@query(f"WITH {LOG}, {STEPS} SELECT {_OPS} FROM ops")
+@query(f"WITH {LOG}, {STEPS} SELECT {_OPS}, NULL::VARCHAR AS endpoint, NULL::BIGINT AS status FROM ops")
 def perf_operations(spark, sf_dir):
-    return perf.operations(_paired(spark, sf_dir)).drop("endpoint", "status")
+    return perf.operations(_paired(spark, sf_dir))
 
 
 @query(f"WITH {LOG}, {STEPS}, {STATS} SELECT * FROM stats")
@@ -205,6 +206,7 @@ def trace_summary(spark, sf_dir):
 # --- error clusters -----------------------------------------------------------------
 
 def _sql_pattern(text: str) -> str:
+    # What a message pattern leaves out, in DuckDB's form.
     rules = [
         (r"https?://[^\s\"'')]+", "..."), (r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "..."),
         (r"\b\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?\b", "..."), (r"\b\d{2}:\d{2}:\d{2}(?:\.\d+)?\b", "..."), (r"\[[^\]\s]*--[^\]\s]+\]", "[...]"),
@@ -249,7 +251,7 @@ def _impacts(spark, sf_dir):
 
 
 def _clusters(spark, sf_dir):
-    return errors.clusters(_impacts(spark, sf_dir)).withColumn("components", F.array_join("components", ",")).drop("affected_sessions")
+    return errors.clusters(_impacts(spark, sf_dir)).withColumn("components", F.array_join("components", ","))
 
 
 @query(f"WITH {LOG}, {STEPS}, {CLUSTERS} SELECT {_CLUSTER} FROM clusters")
@@ -272,15 +274,26 @@ for _sort, _order in (
 
 @query(f"WITH {LOG}, {STEPS}, {CLUSTERS} SELECT severity, pattern, component_id AS session_path, error_count, outcome, {_time('first_error', 'first_error_timestamp')}, {_time('last_error', 'last_error_timestamp')}, blocking_ms FROM hit")
 def error_sessions(spark, sf_dir):
-    rows = errors.clusters(_impacts(spark, sf_dir)).select("severity", "pattern", F.explode("affected_sessions").alias("s"))
-    return rows.select("severity", "pattern", "s.*")
+    return errors.affected(_impacts(spark, sf_dir)).drop("outcome_rank")
+
+
+@query(f"""
+    WITH {LOG}, {STEPS}, {CLUSTERS}, t AS (SELECT severity, pattern FROM clusters ORDER BY count DESC, affected_sessions_count DESC, last_timestamp DESC, pattern, severity LIMIT 2)
+    SELECT severity, pattern, component_id AS session_path, error_count, place FROM (
+        SELECT h.*, CAST(row_number() OVER (PARTITION BY severity, pattern ORDER BY error_count DESC, CASE outcome WHEN 'orphaned' THEN 0 ELSE 1 END, component_id) AS INTEGER) AS place FROM hit h JOIN t USING (severity, pattern)) WHERE place <= 7""")
+def error_session_order(spark, sf_dir):
+    impacts = _impacts(spark, sf_dir)
+    top = errors.sort_clusters(errors.clusters(impacts), "count", 2)
+    place = F.row_number().over(Window.partitionBy("severity", "pattern").orderBy(*errors.session_order()))
+    return errors.affected(impacts, top).withColumn("place", place).where("place <= 7").select("severity", "pattern", "session_path", "error_count", "place")
 
 
 @query(f"""
     WITH {LOG}, {STEPS}, {CLUSTERS} SELECT CAST(sum(error_count) AS BIGINT) AS total, CAST(sum(error_count) FILTER (severity = 'ERROR') AS BIGINT) AS errors, CAST(sum(error_count) FILTER (severity = 'WARN') AS BIGINT) AS warnings,
-        count(DISTINCT (severity, pattern)) AS patterns, count(DISTINCT component_id) AS sessions, max(blocking_ms) AS longest_blocking_ms FROM hit""")
+        count(DISTINCT (severity, pattern)) AS patterns, count(DISTINCT component_id) AS sessions, max(blocking_ms) AS longest_blocking_ms, arg_max(severity, (blocking_ms, severity, pattern, component_id)) AS longest_severity,
+        arg_max(pattern, (blocking_ms, severity, pattern, component_id)) AS longest_pattern, arg_max(component_id, (blocking_ms, severity, pattern, component_id)) AS longest_session FROM hit""")
 def error_summary(spark, sf_dir):
-    return errors.summary(_impacts(spark, sf_dir)).drop("longest_severity", "longest_pattern", "longest_session")
+    return errors.summary(_impacts(spark, sf_dir))
 
 
 # --- scalar functions -----------------------------------------------------------------
@@ -306,7 +319,7 @@ def scalar_functions(spark, sf_dir):
 
 @query(f"""
     WITH {LOG}, d AS (SELECT 'component' AS dimension, component AS value FROM log UNION ALL SELECT 'level', level FROM log UNION ALL SELECT lower(kind), name FROM log WHERE kind <> 'Generic')
-    SELECT dimension, value, count(*) AS count, count(*) * 100.0::DOUBLE / (SELECT count(*) FROM log) AS percent FROM d GROUP BY 1, 2""")
+    SELECT *, repeat('█', least(CAST(floor(percent + 0.5) AS INTEGER), 50)) AS bar FROM (SELECT dimension, value, count(*) AS count, count(*) * 100.0::DOUBLE / (SELECT count(*) FROM log) AS percent FROM d GROUP BY 1, 2)""")
 def info_counts(spark, sf_dir):
     return info.distributions(events_log(spark, sf_dir))
 
@@ -320,7 +333,7 @@ def payload_sizes(spark, sf_dir):
     WITH {LOG}, p AS (
         SELECT kind, name, unnest(CASE kind WHEN 'Event' THEN ['k', 'k (number)', 'key', 'key (string)'] ELSE ['k', 'k (number)'] END) AS path FROM log WHERE name IS NOT NULL
     ), c AS (SELECT kind, name, path, count(*) AS count FROM p GROUP BY 1, 2, 3)
-    SELECT *, (SELECT count(*) FROM log l WHERE l.kind = c.kind AND l.name = c.name) AS total, CAST(row_number() OVER (PARTITION BY kind, name ORDER BY count DESC, path) AS INTEGER) AS place FROM c""")
+    SELECT *, (SELECT count(*) FROM log l WHERE l.kind = c.kind AND l.name = c.name) AS total, CAST(row_number() OVER (PARTITION BY kind, name ORDER BY count DESC, path) AS INTEGER) AS place, 0::BIGINT AS more FROM c""")
 def payload_keys(spark, sf_dir):
     return info.payload_keys(events_log(spark, sf_dir))
 
@@ -334,11 +347,22 @@ def time_range(spark, sf_dir):
     WITH {LOG}, b AS (SELECT min(ts) AS lo, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000 AS span FROM log),
     s AS (SELECT *, CASE WHEN span < 60 THEN 5 WHEN span < 3600 THEN 60 WHEN span < 86400 THEN 600 ELSE 3600::BIGINT END AS step FROM b), n AS (SELECT *, greatest(1, span // step) AS n FROM s),
     c AS (SELECT least((epoch_us(ts) - epoch_us(lo)) // (step * 1000000), n - 1) AS bucket, count(*) AS count FROM log, n GROUP BY 1)
-    SELECT r.bucket, {_time("lo + to_seconds(r.bucket * step)", "start")}, coalesce(count, 0) AS count FROM (SELECT unnest(range(n)) AS bucket, lo, step FROM n) r LEFT JOIN c ON c.bucket = r.bucket""")
+    SELECT r.bucket, {_time("lo + to_seconds(r.bucket * step)", "start")}, coalesce(count, 0) AS count, repeat('█', CAST(greatest(coalesce(count, 0) * 40 // (SELECT max(count) FROM c), 1) AS INTEGER)) AS bar
+    FROM (SELECT unnest(range(n)) AS bucket, lo, step FROM n) r LEFT JOIN c ON c.bucket = r.bucket""")
 def timeline(spark, sf_dir):
     return info.timeline(events_log(spark, sf_dir))
 
 
+@query(f"""
+    WITH {LOG}, b AS (SELECT min(ts) AS lo, (epoch_us(max(ts)) - epoch_us(min(ts))) // 1000000 AS span FROM log),
+    s AS (SELECT *, CASE WHEN span < 60 THEN 5 WHEN span < 3600 THEN 60 WHEN span < 86400 THEN 600 ELSE 3600::BIGINT END AS step FROM b), n AS (SELECT *, greatest(1, span // step) AS n FROM s),
+    c AS (SELECT component, least((epoch_us(ts) - epoch_us(lo)) // (step * 1000000), n - 1) AS bucket, count(*) AS count FROM log, n GROUP BY 1, 2),
+    t AS (SELECT component, CAST(sum(count) AS BIGINT) AS total, max(count) AS most FROM c GROUP BY 1 ORDER BY total DESC, component LIMIT 3)
+    SELECT component, total, bucket, {_time("lo + to_seconds(bucket * step)", "start")}, count, repeat('█', CAST(greatest(count * 20 // most, 1) AS INTEGER)) AS bar FROM c JOIN t USING (component), n WHERE bucket % greatest(n // least(n, 5), 1) = 0""")
+def component_timeline(spark, sf_dir):
+    return info.component_timeline(events_log(spark, sf_dir), 3)
+
+
 @query(f"WITH {LOG} SELECT component, seq, CAST(row_number() OVER (PARTITION BY component ORDER BY ts, seq) AS INTEGER) AS place FROM log QUALIFY place <= 3")
 def samples(spark, sf_dir):
     return info.samples(events_log(spark, sf_dir)).select("component", "seq", "place")
@@ -465,9 +489,19 @@ def compare_summary(spark, sf_dir):
     return compare.summary(j, compare.pairs(j))
 
 
-@query(f"WITH {LOG}, {JOINED}, f AS (SELECT key, occurrence, 'k' AS path, k1 AS v FROM d WHERE k1 <> k2 UNION ALL SELECT key, occurrence, 'key', y1 FROM d WHERE y1 <> y2) SELECT key, path, count(*) AS n, string_agg(v, ',' ORDER BY occurrence) AS first_values FROM f GROUP BY 1, 2")
+@query(f"WITH {LOG}, {JOINED}, f AS (SELECT key, occurrence, 'k' AS path, k1 AS v, k2 AS w FROM d WHERE k1 <> k2 UNION ALL SELECT key, occurrence, 'key', y1, y2 FROM d WHERE y1 <> y2) SELECT key, path, occurrence, v AS value1, w AS value2, 'modified' AS change, count(*) OVER (PARTITION BY key, path) AS instances FROM f")
 def compare_regrouped(spark, sf_dir):
-    return compare.regrouped(compare.pairs(_joined(spark, sf_dir), True)).select("key", "path", F.size("value1").cast("long").alias("n"), F.array_join("value1", ",").alias("first_values"))
+    return compare.regrouped(compare.pairs(_joined(spark, sf_dir), True))
+
+
+for _by, _order in (("time", "min(since) OVER (PARTITION BY key)"), ("component", "component"), ("level", "CASE level WHEN 'ERROR' THEN 0 WHEN 'WARN' THEN 1 ELSE 2 END"), ("type", "kind"), ("diff-count", "-diff_count")):
+
+    def _sorted_pairs(spark, sf_dir, by=_by):
+        return compare.sorted_pairs(compare.pairs(_joined(spark, sf_dir)), by).limit(60).select("key", "occurrence", "line1", "line2", "diff_count")
+
+    _sorted_pairs.__name__ = f"compare_sort_{_by.replace('-', '_')}"
+    query(f"""WITH {LOG}, {JOINED}, o AS (SELECT d.*, least(x.ts, y.ts) AS since, x.component, x.level, x.kind FROM d JOIN log x ON x.seq = s1 JOIN log y ON y.seq = s2)
+        SELECT key, occurrence, s1 + 1 AS line1, s2 + 1 AS line2, diff_count FROM (SELECT *, {_order} AS place FROM o) ORDER BY place, key, occurrence LIMIT 60""")(_sorted_pairs)
 
 
 # --- inference and export --------------------------------------------------------------------
@@ -506,9 +540,9 @@ def redact(spark, sf_dir):
     return events_log(spark, sf_dir).select("seq", redact_json("payload_json").alias("redacted"))
 
 
-@query("SELECT conv_id, turn, json_object('text', CASE WHEN length(text) > 100 THEN substr(text, 1, 97) || '...' ELSE text END)::VARCHAR AS compacted FROM conversations WHERE text NOT LIKE '%\\%'")
+@query("SELECT conv_id, turn, CASE WHEN text IS NULL THEN '{}' ELSE json_object('text', CASE WHEN length(text) > 100 THEN substr(text, 1, 97) || '...' ELSE text END)::VARCHAR END AS compacted FROM conversations")
 def compact(spark, sf_dir):
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").where(~F.contains("text", F.lit("\\")))
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return c.select("conv_id", "turn", compact_json(F.to_json(F.struct("text"))).alias("compacted"))
 
 
@@ -586,10 +620,8 @@ def frame_multiline(spark, sf_dir):
 
 @query(f"WITH {LOG} SELECT seq, CAST(row_number() OVER (ORDER BY ts, seq) AS BIGINT) AS place FROM log")
 def merged_timeline(spark, sf_dir):
-    from pyspark.sql import Window
-
     one, two = split_halves(events_log(spark, sf_dir), 400)
-    return one.unionByName(two).select("seq", F.row_number().over(Window.orderBy(*order())).cast("long").alias("place"))
+    return timeline_places(one.unionByName(two)).select("seq", F.col("place").cast("long").alias("place"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,12 +35,19 @@ def to_json(report: dict, indent: int | None = 2) -> str:
     return json.dumps(report, indent=indent, ensure_ascii=False)
 
 
-@dataclass
 class Report:
-    """A report as a dictionary and as text."""
+    """A report as a dictionary and as text; either may be a function, so that only what is asked for is collected."""
 
-    data: dict
-    text: str
+    def __init__(self, data, text):
+        self._data, self._text = data, text
+
+    @cached_property
+    def data(self) -> dict:
+        return self._data() if callable(self._data) else self._data
+
+    @cached_property
+    def text(self) -> str:
+        return self._text() if callable(self._text) else self._text
 
 
 def _table(items: list[dict], columns: list[str]) -> str:
@@ -98,7 +105,14 @@ def errors_report(entries: DataFrame, profile: Profile, wanted: LogFilter, top:
     impacts = errors.impacts(wanted.apply(entries), warn, profile.perf, commands).cache()
     clusters = errors.clusters(impacts)
     total = clusters.count()
-    shown = rows(errors.sort_clusters(clusters, by, top))
+    first = errors.sort_clusters(clusters, by, top)
+    shown = rows(first)
+    hit = errors.affected(impacts, first if top else None).orderBy("severity", "pattern", *errors.session_order())
+    by_cluster: dict[tuple, list] = {}
+    for x in rows(hit.drop("outcome_rank")):
+        by_cluster.setdefault((x.pop("severity"), x.pop("pattern")), []).append(x)
+    for c in shown:
+        c["affected_sessions"] = by_cluster.get((c["severity"], c["pattern"]), [])
     s = rows(errors.summary(impacts))[0]
     impacts.unpersist()
     longest = {"severity": s["longest_severity"], "pattern": s["longest_pattern"], "session_path": s["longest_session"], "duration_ms": s["longest_blocking_ms"]} if s["longest_session"] else None
@@ -112,6 +126,10 @@ def errors_report(entries: DataFrame, profile: Profile, wanted: LogFilter, top:
     return Report({"errors": data}, "\n".join(lines))
 
 
+#: Rows that the text shows at most: slow operations, open ones.
+SLOW, ORPHANS = 20, 10
+
+
 def perf_report(entries: DataFrame, profile: Profile, wanted: LogFilter, threshold_ms: int = 1000, top: int = 20, orphans_only: bool = False, op_type: str | None = None, by: str = "duration") -> Report:
     """The data hold everything; threshold, top, orphans_only and by shape the text only."""
     commands = perf.tracks_commands(entries, profile.perf)
@@ -119,23 +137,28 @@ def perf_report(entries: DataFrame, profile: Profile, wanted: LogFilter, thresho
     paired = perf.steps(kept, profile.perf, op_type, commands).cache()
     ops = perf.operations(paired)
     stats = perf.stats(ops)
-    span = rows(info.time_range(kept))[0]
-    data = {
-        "operations": rows(ops.orderBy("end_time", "op_type", "correlation_id")), "orphans": rows(perf.orphans(paired).orderBy("op_type", "start_time", "correlation_id")), "stats": rows(perf.sorted_stats(stats)),
-        "time_range": {"start": span["first_timestamp"], "end": span["last_timestamp"]} if span["entries"] else None, "total_entries": span["entries"],
-    }
-    orphans = _table(data["orphans"][:10], ["op_type", "name", "correlation_id", "component", "start_time"])
-    if orphans_only:
-        text = f"{len(data['orphans'])} orphans\n{orphans}"
-    else:
-        slow = rows(perf.slowest(perf.slow(ops, threshold_ms), min(top, 20)))
-        shown = rows(perf.sorted_stats(stats, by, top))
-        text = "\n\n".join([
-            f"{len(data['operations'])} operations, {len(data['orphans'])} orphans",
-            _table(shown, ["op_type", "name", "count", "avg_duration_ms", "min_duration_ms", "max_duration_ms", "p50_duration_ms", "p95_duration_ms", "p99_duration_ms"]),
+    open_ones = perf.orphans(paired)
+    in_order = open_ones.orderBy("op_type", "start_time", "correlation_id")
+
+    def data():
+        span = rows(info.time_range(kept))[0]
+        return {
+            "operations": rows(ops.orderBy("end_time", "op_type", "correlation_id")), "orphans": rows(in_order), "stats": rows(perf.sorted_stats(stats)),
+            "time_range": {"start": span["first_timestamp"], "end": span["last_timestamp"]} if span["entries"] else None, "total_entries": span["entries"],
+        }
+
+    def text():
+        orphans = _table(rows(in_order.limit(ORPHANS)), ["op_type", "name", "correlation_id", "component", "start_time"])
+        count = open_ones.count()
+        if orphans_only:
+            return f"{count} orphans\n{orphans}"
+        slow = rows(perf.slowest(perf.slow(ops, threshold_ms), min(top, SLOW)))
+        return "\n\n".join([
+            f"{ops.count()} operations, {count} orphans",
+            _table(rows(perf.sorted_stats(stats, by, top)), ["op_type", "name", "count", "avg_duration_ms", "min_duration_ms", "max_duration_ms", "p50_duration_ms", "p95_duration_ms", "p99_duration_ms"]),
             f"At {threshold_ms} ms or above:\n" + _table(slow, ["op_type", "name", "correlation_id", "duration_ms"]), orphans,
         ])
-    paired.unpersist()
+
     return Report(data, text)
 
 
@@ -209,13 +232,14 @@ def info_report(entries: DataFrame, profile: Profile, show_samples: bool = False
     span = rows(info.time_range(entries))[0]
     counts = rows(info.distributions(entries).orderBy("dimension", F.desc("count"), "value"))
     data = {"entries": span["entries"], "time_range": [span["first_timestamp"], span["last_timestamp"]], "distributions": counts, "unknown": rows(info.unknown_names(entries, profile.profile).orderBy("what", "value"))}
-    lines = [f"{span['entries']} entries, {span['first_timestamp']} to {span['last_timestamp']}", _table(counts, ["dimension", "value", "count", "percent"])]
+    data["span"] = rows(info.span(entries))[0]["span"]
+    lines = [f"{span['entries']} entries, {span['first_timestamp']} to {span['last_timestamp']} ({data['span']})", _table(counts, ["dimension", "value", "count", "percent", "bar"])]
     if profile.levels:
         s = sessions.sessions(entries, profile.levels).cache()
         data["sessions"] = {"levels": rows(sessions.completion(s).orderBy("level")), "common_fields": rows(sessions.common_fields(s))}
         s.unpersist()
         lines.append(_table(data["sessions"]["levels"], ["level", "sessions", "completed", "incomplete"]))
-    extras = {"payload_sizes": (payloads, lambda: info.payload_sizes(entries).orderBy(F.desc("avg_bytes"))), "payload_keys": (schema, lambda: info.payload_keys(entries).orderBy("kind", "name", "place")), "timeline": (show_timeline and span["entries"] > 5, lambda: info.timeline(entries).orderBy("bucket"))}
+    extras = {"payload_sizes": (payloads, lambda: info.payload_sizes(entries).orderBy(F.desc("avg_bytes"))), "payload_keys": (schema, lambda: info.payload_keys(entries).orderBy("kind", "name", "place")), "component_timeline": (show_timeline and span["entries"] > 5, lambda: info.component_timeline(entries).orderBy(F.desc("total"), "component", "bucket")), "timeline": (show_timeline and span["entries"] > 5, lambda: info.timeline(entries).orderBy("bucket"))}
     for name, (on, make) in extras.items():
         if on:
             data[name] = rows(make())

@@ -8,6 +8,7 @@ JSON text (sorted keys, no white space); NULL means no payload, the text
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,3 +46,8 @@ def order():
 def order_key():
     """The timeline position as one comparable struct, for min_by and max_by."""
     return F.struct(*TIMELINE)
+
+
+def barrier(df: DataFrame) -> DataFrame:
+    """The same rows behind a node that projections don't collapse over: each column is worked out once, not wherever it is used."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from tracewright.functions.payload import canonical, find_payload
 from tracewright.functions.text import contains_any, infer_level, module_component, normalize_level
 from tracewright.profile import ParserRules, Profile
-from tracewright.schema import COMMAND, ENTRY, EVENT, GENERIC, REQUEST
+from tracewright.operators.numbering import numbered
+from tracewright.schema import COMMAND, ENTRY, EVENT, GENERIC, REQUEST, barrier
 
 # What the four formats look like.
 _ISO = r"\d{4}-\d{2}-\d{2}[T ][0-9:.+-]+(?:Z|[+-]\d{2}:?\d{2})?"
@@ -251,11 +252,6 @@ def _headers(entries: DataFrame, fmt: str, rules: ParserRules, year: int | None,
     return got.select(*entries.columns, *[c.alias(k) for k, c in columns.items()])
 
 
-def _barrier(df: DataFrame) -> DataFrame:
-    """The same rows behind a node that projections don't collapse over: each column is worked out once, not wherever it is used."""
-    return df.select(F.inline(F.array(F.struct(*df.columns))))
-
-
 # --- classification -------------------------------------------------------------
 
 def _payload_udf(indicators: tuple[str, ...]):
@@ -307,30 +303,30 @@ def classify(entries: DataFrame, rules: ParserRules) -> DataFrame:
     endpoint = F.when(F.contains(t, F.lit(mark)) & F.contains(place, F.lit("]")), F.substring_index(place, "]", 1)) if mark else null
     kind = F.when(event, EVENT).when(is_command, COMMAND).when(is_request, REQUEST).otherwise(GENERIC)
     is_ = lambda k: F.col("kind") == k
-    rows = _barrier(entries.withColumn("kind", kind))
-    rows = rows.withColumn("name", F.when(is_(EVENT), event_type).when(is_(COMMAND), F.substring_index(after, suffix, 1) if suffix else null).when(is_(REQUEST), F.substring_index(tail, '"', 1)))
+    rows = barrier(entries.withColumn("kind", kind))
+    rows = barrier(rows.withColumn("name", F.when(is_(EVENT), event_type).when(is_(COMMAND), F.substring_index(after, suffix, 1) if suffix else null).when(is_(REQUEST), F.substring_index(tail, '"', 1))))
     rows = rows.where(~is_(EVENT) | F.col("name").isNotNull())
     holder = (
         F.when(is_(EVENT), F.trim(F.substr(t, F.instr(t, sep) + len(sep)))) if sep else F.when(F.lit(False), t)
     ).when(is_(COMMAND), _first_marker(t, rules.command_payload_markers, "last", True)).when(is_(REQUEST), _first_marker(t, rules.request_payload_markers, "after", False)).otherwise(t)
-    plain = _barrier(rows.withColumn("holder", holder))
-    plain = plain.withColumn("got", F.when(F.col("holder").isNotNull(), _payload_udf(rules.json_indicators)(F.col("holder"))))
-    cleaned_request = _first_marker(t, (*rules.command_payload_markers, *rules.request_payload_markers), "cleaned", False)
-    message = (
-        F.when(is_(EVENT), F.concat(part, F.lit(f" {sep} [JSON removed]")))
-        .when(is_(COMMAND), F.coalesce(_first_marker(t, rules.command_payload_markers, "cleaned", True), t))
-        .when(is_(REQUEST), F.coalesce(cleaned_request, t))
-        .when(F.col("got.payload").isNotNull() & (F.col("got.place") >= 0), F.concat(F.substr(t, F.lit(1), F.col("got.place")), F.lit("[JSON removed]")))
-        .otherwise(t)
-    )
+    plain = barrier(rows.withColumn("holder", holder))
+    plain = barrier(plain.withColumn("got", F.when(F.col("holder").isNotNull(), _payload_udf(rules.json_indicators)(F.col("holder")))))
+    generic = F.when(F.col("got.payload").isNotNull() & (F.col("got.place") >= 0), F.concat(F.substr(t, F.lit(1), F.col("got.place")), F.lit("[JSON removed]")))
+    said = {
+        EVENT: F.concat(part, F.lit(f" {sep} [JSON removed]")), COMMAND: _first_marker(t, rules.command_payload_markers, "cleaned", True),
+        REQUEST: _first_marker(t, (*rules.command_payload_markers, *rules.request_payload_markers), "cleaned", False), GENERIC: generic,
+    }
+    plain = plain.withColumn("message", F.lit(None).cast("string"))
+    for k, words in said.items():  # each behind a barrier: one expression of all would pass what generated code can hold
+        plain = barrier(plain.withColumn("message", F.when(is_(k), F.coalesce(words, t)).otherwise(F.col("message"))))
     direction = F.when(is_(EVENT), F.when(emits, "Emit").otherwise("Receive")).when(is_(REQUEST), F.when(contains_any(t, rules.request_receive_markers), "Receive").otherwise("Send"))
     own = F.coalesce(F.col("got.payload"), F.when(is_(GENERIC), F.col("own_payload")))
-    return plain.select("*", message.alias("message"), direction.alias("direction"), F.when(is_(REQUEST), request_id).alias("request_id"), F.when(is_(REQUEST), endpoint).alias("endpoint"), own.alias("payload_json"))
+    return plain.select("*", direction.alias("direction"), F.when(is_(REQUEST), request_id).alias("request_id"), F.when(is_(REQUEST), endpoint).alias("endpoint"), own.alias("payload_json"))
 
 
 def parse_entries(framed: DataFrame, fmt: str, rules: ParserRules, file_idx: int = 0, year: int | None = None, strict: bool = True) -> DataFrame:
     """Entries from framed raw text (file, source_line_number, raw_logline); what has no readable header goes."""
-    rows = classify(_barrier(_headers(framed, fmt, rules, year, strict).where("timestamp is not null")), rules)
+    rows = classify(barrier(_headers(framed, fmt, rules, year, strict).where("timestamp is not null")), rules)
     rows = rows.withColumn("file_idx", F.lit(file_idx)).withColumn("seq", F.col("source_line_number"))
     return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in ENTRY.fields])
 
@@ -361,7 +357,7 @@ def read_logs(spark: SparkSession, paths: list[str], profile: Profile | None = N
 
 def with_sequence(entries: DataFrame) -> DataFrame:
     """seq from 0 without gaps inside each file, as contexts need it."""
-    return entries.withColumn("seq", F.row_number().over(Window.partitionBy("file_idx").orderBy("source_line_number")).cast("long") - 1)
+    return numbered(entries.drop("seq"), ("file_idx",), "source_line_number", "seq").withColumn("seq", F.col("seq") - 1).select(entries.columns)
 
 
 def detect_file(spark: SparkSession, path: str, profile: Profile | None = None) -> str:
