@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import argparse
 import os
+import re
 import sys
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from tracewright import render
@@ -114,6 +116,13 @@ def _run(args, profile: Profile, wanted: LogFilter, spark: SparkSession | None =
     return render.Report({"profile": found.profile_name}, to_toml(found, "Generated profile.\nReview the markers before use."))
 
 
+def _reason(e: Exception) -> str:
+    """What went wrong, without the trace of a worker it went wrong in."""
+    said = str(e)
+    found = re.search(r"LogFormatError: (.*)", said)
+    return found[1] if found else said.splitlines()[0] if isinstance(e, PySparkException) and said else said
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = _parser().parse_args(argv)
     try:
@@ -122,11 +131,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             for note in wanted.warnings():
                 print(f"warning: {note}", file=sys.stderr)
         report = _run(args, load_profile(args.config, args.preset), wanted, spark)
-    except (FilterError, ProfileError, LogFormatError, OSError) as e:
-        print(f"error: {e}", file=sys.stderr)
+        as_json = args.json or args.format == "json" or args.command == "llm-diff"
+        text = render.to_json(report.data, None if args.compact or args.command == "llm-diff" else 2) if as_json and args.command != "generate-config" else report.text
+    except (FilterError, ProfileError, LogFormatError, OSError, PySparkException) as e:
+        print(f"error: {_reason(e)}", file=sys.stderr)
         return 1
-    as_json = args.json or args.format == "json" or args.command == "llm-diff"
-    text = render.to_json(report.data, None if args.compact or args.command == "llm-diff" else 2) if as_json and args.command != "generate-config" else report.text
     if args.output:
         with open(args.output, "w", encoding="utf-8") as f:
             f.write(text + "\n")

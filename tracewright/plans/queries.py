@@ -14,6 +14,7 @@ from tracewright.operators.filters import LogFilter
 from tracewright.operators.numbering import timeline_places
 from tracewright.profile import KnownNames, SessionLevel
 
+from tracewright.schema import barrier
 from tracewright.sources.logs import frame, parse_entries
 from tracewright.sources.tables import events_log, split_halves
 
@@ -555,7 +556,7 @@ def _round_trip(spark, sf_dir, fmt, raw):
     from tracewright.profile import builtin
 
     log = events_log(spark, sf_dir)
-    framed = log.select(F.lit("f").alias("file"), "source_line_number", raw(log).alias("raw_logline"))
+    framed = barrier(log.select(F.lit("f").alias("file"), "source_line_number", raw(log).alias("raw_logline")))
     return parse_entries(framed, fmt, builtin("eyes").parser, year=2024)
 
 
@@ -624,9 +625,15 @@ def merged_timeline(spark, sf_dir):
     return timeline_places(one.unionByName(two)).select("seq", F.col("place").cast("long").alias("place"))
 
 
+def _all() -> None:
+    from tracewright.plans import files  # noqa: F401  registers its queries
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_ORACLES)

@@ -48,6 +48,10 @@ def order_key():
     return F.struct(*TIMELINE)
 
 
-def barrier(df: DataFrame) -> DataFrame:
-    """The same rows behind a node that projections don't collapse over: each column is worked out once, not wherever it is used."""
-    return df.select(F.inline(F.array(F.struct(*df.columns))))
+def barrier(df: DataFrame, apart: bool = False) -> DataFrame:
+    """The same rows behind a node that projections don't collapse over: each column is worked out once, not wherever it is used.
+
+    apart: generated code ends there too, as for expressions that together pass the size of a method.
+    """
+    whole = F.array(F.struct(*df.columns))
+    return df.select(F.inline(F.filter(whole, lambda x: x.isNotNull()) if apart else whole))

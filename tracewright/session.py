@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -13,3 +15,13 @@ def local_session(cores: int = 4, memory: str = "4g", name: str = "tracewright")
         .config("spark.driver.memory", memory).config("spark.sql.adaptive.enabled", "true").config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors see: the cluster's checkpoint folder, or a temporary one on a single machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tracewright-")

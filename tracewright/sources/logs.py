@@ -271,12 +271,14 @@ def _payload_udf(indicators: tuple[str, ...]):
 
 def _first_marker(text: Column, markers, build: str, skip_empty: bool) -> Column:
     """What stands before (up to and with), or after, the first of the markers that the text has; NULL if none."""
-    out = F.lit(None).cast("string")
-    for m in reversed([m for m in markers if m or not skip_empty]):
-        at = F.instr(text, m) if m else F.lit(1)
-        value = F.concat(F.substr(text, F.lit(1), at - 1), F.lit(m), F.lit(" [JSON removed]")) if build == "cleaned" else F.substr(text, at + len(m) - int(build == "last"))
-        out = F.when(F.contains(text, F.lit(m)), value).otherwise(out)
-    return out
+    known = [F.lit(m) for m in markers if m or not skip_empty]
+    if not known:
+        return F.lit(None).cast("string")
+    found = F.get(F.filter(F.array(*known), lambda m: F.contains(text, m)), F.lit(0))
+    at = F.instr(text, found)
+    if build == "cleaned":
+        return F.concat(F.substr(text, F.lit(1), at - 1), found, F.lit(" [JSON removed]"))
+    return F.substr(text, at + F.length(found) - int(build == "last"))
 
 
 def classify(entries: DataFrame, rules: ParserRules) -> DataFrame:
@@ -316,17 +318,15 @@ def classify(entries: DataFrame, rules: ParserRules) -> DataFrame:
         EVENT: F.concat(part, F.lit(f" {sep} [JSON removed]")), COMMAND: _first_marker(t, rules.command_payload_markers, "cleaned", True),
         REQUEST: _first_marker(t, (*rules.command_payload_markers, *rules.request_payload_markers), "cleaned", False), GENERIC: generic,
     }
-    plain = plain.withColumn("message", F.lit(None).cast("string"))
-    for k, words in said.items():  # each behind a barrier: one expression of all would pass what generated code can hold
-        plain = barrier(plain.withColumn("message", F.when(is_(k), F.coalesce(words, t)).otherwise(F.col("message"))))
+    message = F.coalesce(F.when(is_(EVENT), said[EVENT]).when(is_(COMMAND), said[COMMAND]).when(is_(REQUEST), said[REQUEST]).otherwise(said[GENERIC]), t)
     direction = F.when(is_(EVENT), F.when(emits, "Emit").otherwise("Receive")).when(is_(REQUEST), F.when(contains_any(t, rules.request_receive_markers), "Receive").otherwise("Send"))
     own = F.coalesce(F.col("got.payload"), F.when(is_(GENERIC), F.col("own_payload")))
-    return plain.select("*", direction.alias("direction"), F.when(is_(REQUEST), request_id).alias("request_id"), F.when(is_(REQUEST), endpoint).alias("endpoint"), own.alias("payload_json"))
+    return plain.select("*", message.alias("message"), direction.alias("direction"), F.when(is_(REQUEST), request_id).alias("request_id"), F.when(is_(REQUEST), endpoint).alias("endpoint"), own.alias("payload_json"))
 
 
 def parse_entries(framed: DataFrame, fmt: str, rules: ParserRules, file_idx: int = 0, year: int | None = None, strict: bool = True) -> DataFrame:
     """Entries from framed raw text (file, source_line_number, raw_logline); what has no readable header goes."""
-    rows = classify(barrier(_headers(framed, fmt, rules, year, strict).where("timestamp is not null")), rules)
+    rows = classify(barrier(_headers(framed, fmt, rules, year, strict).where("timestamp is not null"), apart=True), rules)
     rows = rows.withColumn("file_idx", F.lit(file_idx)).withColumn("seq", F.col("source_line_number"))
     return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in ENTRY.fields])
 
