@@ -85,15 +85,62 @@ def test_suffix_dedup_equals_brute_force(docs):
 def test_run_index_matching_statistics():
     rng = random.Random(3)
     parts = ["".join(rng.choice("ab") for _ in range(70)) for _ in range(8)]
-    texts = [p[: rng.randint(50, 70)] for p in parts] + [parts[0][5:60], parts[3]]
+    texts = [p[: rng.randint(50, 70)] for p in parts] + [parts[0][5:60], parts[3], "a" * 70, "a" * 55]
     raw, size = np.frombuffer("".join(texts).encode(), np.uint8), np.array([len(t) for t in texts])
-    least = np.array([9, 8, 7, 6, 5, 4, 3, 2, 1, 0])
+    least = np.array([9, 8, 7, 6, 5, 4, 3, 2, 1, 0, 11, 10])
     got, offsets = RunIndex(raw, size, least, 50).stream()
     for k, t in enumerate(texts):
         want = [min(int(d) for u, d in zip(texts, least, strict=True) if t[p : p + 50] in u) for p in range(len(t) - 49)]
         assert got[offsets[k] : offsets[k + 1]].tolist() == want
 
 
+def test_runs_are_few_where_text_repeats():
+    rng = random.Random(6)
+    base = prose(rng, 400).encode()
+    texts = [base]
+    for _ in range(100):  # copies that differ in a byte here and there
+        t = bytearray(base)
+        for _ in range(3):
+            t[rng.randrange(len(t))] = rng.choice(b"xyz")
+        texts.append(bytes(t))
+    index = RunIndex(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]), np.arange(101), 50)
+    assert len(index.heads) < 0.06 * index.windows.sum() and len(index.heads) < 0.6 * index.groups
+    first = {}
+    for d, t in enumerate(texts):
+        for p in range(len(t) - 49):
+            first.setdefault(t[p : p + 50], d)
+    assert index.stream()[0].tolist() == [first[t[p : p + 50]] for t in texts for p in range(len(t) - 49)]
+    assert index.left(np.array([0]), np.array([7])).tolist() == [-1]
+
+
+def test_suffix_dedup_of_long_texts(spark):
+    """Texts of several hashing blocks, with passages across their edges, a hot anchor with many different surroundings, and near copies."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**5)}"
+    passage = " ".join(word() for _ in range(40))
+    rows = []
+    for i in range(6):
+        text = " ".join(word() for _ in range(15_000))
+        for at in (K.BLOCK - 100, K.BLOCK - 30, 2 * K.BLOCK - 5, len(text) - 1):
+            text = text[:at] + passage + text[at:]
+        rows.append((i, text))
+    rows += [(10, rows[2][1][:50_000] + "!" + rows[2][1][50_000:]), (11, "a" * 70_000), (12, "a" * 80_000)]
+    rows += [(20 + i, f"{word()} {word()} the quick brown fox jumps over the lazy dog {word()} {word()}") for i in range(150)]
+    first = {}
+    for i, t in rows:
+        for p in range(len(t) - 49):
+            first.setdefault(t[p : p + 50], i)
+    want = []
+    for i, t in rows:
+        gone = np.zeros(len(t), bool)
+        for p in range(len(t) - 49):
+            if first[t[p : p + 50]] < i:
+                gone[p : p + 50] = True
+        want.append((i, int(gone.sum()), bytes(np.frombuffer(t.encode(), np.uint8)[~gone]).decode()))
+    got = suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), outputs=("text",))
+    assert sorted((r.doc_id, r.n_removed, r.text) for r in got.collect()) == want
+
+
 @pytest.mark.parametrize("parts", [3, 200])
 def test_suffix_dedup_where_nothing_differs(spark, parts):
     text = prose(random.Random(5), 60)

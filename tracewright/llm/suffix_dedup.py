@@ -7,26 +7,30 @@ a document with a smaller doc_id. How:
    among its `ANCHOR`-byte substrings (a minimizer), so equal windows have
    equal anchors wherever they stand. Consecutive windows with one anchor
    position form a segment. Hash chunks of documents send their distinct
-   anchors, sorted and packed, to anchor buckets; the reply says of each one
-   whether two documents or more have it, and whether its segments differ.
-   Only segments on shared anchors travel further, each distinct one once a
-   chunk, with its smallest doc_id, so thousands of copies cost one row a
-   chunk; their bytes travel only where an anchor's segments differ.
-2. *Index.* Every bucket sorts the windows of its distinct segments (suffix
-   array to depth `length`, by rank doubling), takes the Burrows-Wheeler
-   transform, and keeps its runs only: symbol, the run's head sample, the group
-   of equal windows it stands in, and where the symbol leads (LF at the head).
-   Ties are sorted by doc_id, so a group's first run head samples its smallest
-   document.
-3. *Streaming.* All segments stream through the runs right to left; every step
-   extends the match by the symbol before it, and the group it reaches gives
-   the matching statistic: a match of `length` bytes, and the smallest document
-   that has it. These come back to the chunk, which marks the bytes.
-
-There are as many buckets as chunks, so a bucket's share of anchors and segments
-is about a chunk's. Hot passages are one segment a chunk, however many documents
-hold them. A chunk sends a row to each bucket that it has something for: with
-more executor memory, larger chunks make fewer and fuller rows.
+   anchors, sorted and packed, to anchor buckets; the reply says which ones two
+   documents or more have. All segments on those travel further, each distinct
+   one once a chunk, with its smallest doc_id, so thousands of copies cost one
+   row a chunk.
+2. *Index.* Every bucket sorts the windows of its segments (suffixes cut at
+   `length` bytes, eight bytes at a time, ties only), and builds the
+   Burrows-Wheeler transform over them: for each group of equal windows the
+   symbols that stand before it. Its runs are kept only: a run is a stretch of
+   groups with one symbol before them whose steps to the left (LF) go to
+   consecutive groups too, with its head, its end and where the head leads.
+   Copies of a text share all groups, and near copies most runs, so the index
+   grows with what differs, not with the copies. Each group samples the smallest
+   document that has it.
+3. *Streaming.* Segments stream through the runs right to left: a step finds the
+   run of the group it is in and the symbol before it, and the run's head says
+   where that leads. The match stays `length` long at each step, and the group
+   reached gives the smallest document that has it. These come back to the
+   chunks, which mark the bytes.
+
+There are as many buckets as chunks. A bucket holds all segments of its anchors:
+a 24-byte anchor that very many different segments share makes a large bucket.
+Hot passages don't: they are one segment a chunk, however many documents hold
+them. A chunk sends a row to each bucket that it has something for: with more
+executor memory, larger chunks make fewer and fuller rows.
 """
 
 from __future__ import annotations
@@ -110,19 +114,18 @@ def _heads(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(head)
 
 
-def _anchor_sets(docs, doc, h, key, buckets: int):
-    """A chunk's distinct anchors by bucket and value, with the edges of buckets: anchor, 48 bits of a content hash, and flags: 1 two documents have it, 2 its segments differ."""
+def _anchor_sets(docs, doc, h, buckets: int):
+    """A chunk's distinct anchors by bucket and value, with the edges of buckets, and whether two documents have them."""
     order = np.argsort(h)
     at = _heads(h[order])
     hs = h[order[at]]
     if not len(hs):
-        return hs, hs, np.zeros(0, np.uint8), np.zeros(buckets + 1, np.int64)
-    ds, ks = docs[doc[order]], key[order] >> U64(16)
-    low = np.minimum.reduceat(ks, at)
-    flags = (np.minimum.reduceat(ds, at) != np.maximum.reduceat(ds, at)) | 2 * (low != np.maximum.reduceat(ks, at))
+        return hs, np.zeros(0, bool), np.zeros(buckets + 1, np.int64)
+    ds = docs[doc[order]]
+    many = np.minimum.reduceat(ds, at) != np.maximum.reduceat(ds, at)
     bucket = _bucket(hs, buckets)
     by = np.argsort(bucket, kind="stable")
-    return hs[by], low[by], flags[by].astype(np.uint8), np.searchsorted(bucket[by], np.arange(buckets + 1))
+    return hs[by], many[by], np.searchsorted(bucket[by], np.arange(buckets + 1))
 
 
 def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
@@ -136,42 +139,30 @@ def _sent(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "chunk": pa.array([r[1] for r in rows], pa.int32()), "data": pa.array([r[2] for r in rows], pa.binary())})
 
 
-def _six(values: np.ndarray) -> list[np.ndarray]:
-    """48-bit numbers as 32 and 16 bits."""
-    return [(values & U64(0xFFFFFFFF)).astype(np.uint32), (values >> U64(32)).astype(np.uint16)]
-
-
 def _send_anchors(length: int, buckets: int):
     @spread.lean
     def send(table: pa.Table) -> pa.Table:
-        docs, _, _, doc, _, _, h, key = _read_chunk(table, length)
-        hs, ks, flags, edges = _anchor_sets(docs, doc, h, key, buckets)
+        docs, _, _, doc, _, _, h, _ = _read_chunk(table, length)
+        hs, many, edges = _anchor_sets(docs, doc, h, buckets)
         chunk = table.column("chunk")[0].as_py()
-        return _sent([(k, chunk, spread.pack(spread.pack_sorted(hs[edges[k] : edges[k + 1]]), *_six(ks[edges[k] : edges[k + 1]]), flags[edges[k] : edges[k + 1]])) for k in np.flatnonzero(np.diff(edges)).tolist()])
+        return _sent([(k, chunk, spread.pack(spread.pack_sorted(hs[edges[k] : edges[k + 1]]), np.packbits(many[edges[k] : edges[k + 1]]))) for k in np.flatnonzero(np.diff(edges)).tolist()])
 
     return send
 
 
-#: Answers about an anchor: one document has it; all its segments are equal; they differ.
-ALONE, EQUAL, DIFFER = 0, 1, 2
-
-
 @spread.lean
 def _answer_anchors(table: pa.Table) -> pa.Table:
+    """Which of each chunk's anchors two documents or more have."""
     lists = [spread.unpack(x.as_py()) for x in table.column("data")]
     values = np.concatenate([np.cumsum(x[0], dtype=U64) for x in lists])
-    keys = np.concatenate([x[1].astype(U64) | (x[2].astype(U64) << U64(32)) for x in lists])
-    flags = np.concatenate([x[3] for x in lists])
+    many = np.concatenate([np.unpackbits(x[1], count=len(x[0])) for x in lists])
     order = np.argsort(values)
     at = _heads(values[order])
-    many = np.diff(np.append(at, len(values)))
-    ks, fs = keys[order], np.bitwise_or.reduceat(flags[order], at)
-    shared = (many > 1) | (fs & 1 > 0)
-    differ = (fs & 2 > 0) | (np.minimum.reduceat(ks, at) != np.maximum.reduceat(ks, at))
-    answer = np.empty(len(values), np.uint8)
-    answer[order] = np.repeat(np.where(shared, np.where(differ, DIFFER, EQUAL), ALONE).astype(np.uint8), many)
+    counts = np.diff(np.append(at, len(values)))
+    answer = np.empty(len(values), bool)
+    answer[order] = np.repeat((counts > 1) | (np.bitwise_or.reduceat(many[order], at) > 0), counts)
     ends = np.cumsum([len(x[0]) for x in lists])
-    return _sent([(b.as_py(), c.as_py(), spread.pack(answer[e - len(x[0]) : e])) for b, c, x, e in zip(table.column("bucket"), table.column("chunk"), lists, ends, strict=True)])
+    return _sent([(b.as_py(), c.as_py(), spread.pack(np.packbits(answer[e - len(x[0]) : e]))) for b, c, x, e in zip(table.column("bucket"), table.column("chunk"), lists, ends, strict=True)])
 
 
 def _gather(raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -181,111 +172,113 @@ def _gather(raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _send_segments(length: int, buckets: int):
-    """Distinct segments on shared anchors, with the smallest document: by hash where all are equal, with their bytes where they differ."""
+    """Distinct segments on shared anchors, with the smallest document and their bytes."""
     @spread.lean
     def send(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(table):
             return _sent([])
         docs, raw, _, doc, a, b, h, key = _read_chunk(table, length)
-        hs, _, _, edges = _anchor_sets(docs, doc, h, key, buckets)
-        answer = np.zeros(len(hs), np.uint8)
+        hs, _, edges = _anchor_sets(docs, doc, h, buckets)
+        answer = np.zeros(len(hs), bool)
         for k, data in zip(replies.column("bucket").to_pylist(), replies.column("data"), strict=True):
-            answer[edges[k] : edges[k + 1]] = spread.unpack(data.as_py())[0]
+            answer[edges[k] : edges[k + 1]] = np.unpackbits(spread.unpack(data.as_py())[0], count=edges[k + 1] - edges[k])
         order = np.argsort(hs)
-        own = answer[order[np.searchsorted(hs, h, sorter=order)]] if len(hs) else np.zeros(0, np.uint8)
-        chosen = np.flatnonzero(own)
+        chosen = np.flatnonzero(answer[order[np.searchsorted(hs, h, sorter=order)]]) if len(hs) else np.zeros(0, np.int64)
         by = chosen[np.argsort(key[chosen])]
         at = _heads(key[by])
         least = np.minimum.reduceat(docs[doc[by]], at) if len(at) else np.zeros(0, np.int64)
         one = by[at]
-        to = _bucket(h[one], buckets).astype(np.int64) * 2 + (own[one] == DIFFER)
+        to = _bucket(h[one], buckets)
         by = np.argsort(to, kind="stable")
-        edges = np.searchsorted(to[by], np.arange(2 * buckets + 1))
+        edges = np.searchsorted(to[by], np.arange(buckets + 1))
         rows, chunk = [], table.column("chunk")[0].as_py()
-        for k in np.flatnonzero(np.diff(edges[::2])).tolist():
-            even, odd = by[edges[2 * k] : edges[2 * k + 1]], by[edges[2 * k + 1] : edges[2 * k + 2]]
-            s = one[odd]
-            rows.append((k, chunk, spread.pack(spread.pack_sorted(key[one[even]]), least[even], key[s], least[odd], (b[s] - a[s]).astype(np.int32), _gather(raw, a[s], b[s]))))
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            own = by[edges[k] : edges[k + 1]]
+            s = one[own]
+            rows.append((k, chunk, spread.pack(spread.pack_sorted(key[s]), least[own], (b[s] - a[s]).astype(np.uint16), _gather(raw, a[s], b[s]))))
         return _sent(rows)
 
     return send
 
 
+def _words(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number that orders as they do."""
+    return np.ndarray((len(text),), ">u8", np.concatenate([text, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def _ranked(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Dense ranks of the windows that start at some places: by eight bytes after eight, each time those that are still tied."""
+    words = _words(text)
+    key = words[at].astype(U64)
+    order = np.argsort(key)
+    new = np.zeros(len(at), bool)
+    new[_heads(key[order])] = True
+    for offset in [*range(8, length - 8, 8), length - 8]:
+        group = np.cumsum(new) - 1
+        tied = np.flatnonzero(np.bincount(group, minlength=1)[group] > 1) if len(group) else group
+        if not len(tied):
+            break
+        own, of = order[tied], group[tied]
+        key = words[at[own] + offset].astype(U64)
+        by = np.lexsort((key, of))
+        order[tied] = own[by]
+        new[tied[_heads(of, key[by])]] = True
+    rank = np.empty(len(at), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return rank
+
+
 class RunIndex:
-    """Run-compressed Burrows-Wheeler index of windows of `length` bytes over distinct segments.
+    """Run-compressed Burrows-Wheeler index of the windows of `length` bytes in distinct segments.
 
     text: the segments' bytes, one after the other; size, least: each one's
-    length and smallest document. Symbol 256 stands before a segment's start.
+    length and smallest document. Groups of equal windows are numbered in order.
     """
 
     def __init__(self, text: np.ndarray, size: np.ndarray, least: np.ndarray, length: int):
-        self.size, self.length = size, length
-        ends = np.cumsum(size)
-        starts = ends - size
-        inside = np.ones(len(text), bool)  # positions that start a window
-        for j in range(1, length):
-            inside[ends - j] = False
-        rank = self._ranks(text, inside, length)
-        at = np.flatnonzero(inside)
-        owner = np.repeat(np.arange(len(size)), size)
-        order = np.lexsort((least[owner[at]], rank[at]))
-        sa = at[order]  # the suffix array to depth length, ties by document
-        group = rank[sa]
-        before = np.full(len(sa), 256, np.int64)
-        inner = sa > starts[owner[sa]]
-        before[inner] = text[sa[inner] - 1]
-        head = np.ones(len(sa), bool)
-        head[1:] = (group[1:] != group[:-1]) | (before[1:] != before[:-1])
-        heads = np.flatnonzero(head)
-        self.sample = sa[heads]  # a run's sampled head
-        self.symbol, self.group = before[heads], group[heads]
-        self.leads = np.where(self.symbol < 256, rank[np.maximum(self.sample - 1, 0)], -1)  # LF, as the group it reaches
-        groups = np.ones(len(heads), bool)
-        groups[1:] = self.group[1:] != self.group[:-1]
-        self.least = np.zeros(int(rank.max(initial=-1)) + 1, np.int64)
-        self.least[self.group[groups]] = least[owner[self.sample[groups]]]
-        self.key = self.group * 257 + self.symbol
-        by = np.argsort(self.key, kind="stable")
-        self.key, self.leads = self.key[by], self.leads[by]
-        self.text, self.ends = text, ends
-        self.tail = rank[ends - length]  # where each segment's last window stands
+        self.text, self.size, self.length = text, size, length
+        self.ends = np.cumsum(size)
+        self.windows = size - length + 1
+        upto = np.cumsum(self.windows)
+        at = _ramp(self.ends - size, self.windows)
+        rank = _ranked(text, at, length)
+        self.groups = int(rank.max(initial=-1)) + 1
+        self.least = np.full(self.groups, np.iinfo(np.int64).max)
+        np.minimum.at(self.least, rank, np.repeat(least, self.windows))
+        self.tail = rank[upto - 1]  # where each segment's last window stands
+        inner = np.ones(len(at), bool)
+        inner[upto - self.windows] = False
+        inner = np.flatnonzero(inner)  # windows with a symbol before them
+        place, first = np.unique(self._place(text[at[inner] - 1], rank[inner]), return_index=True)  # the transform: symbols, each with the groups it stands before
+        leads = rank[inner[first] - 1]
+        new = np.ones(len(place), bool)
+        new[1:] = (place[1:] != place[:-1] + 1) | (leads[1:] != leads[:-1] + 1)
+        heads = np.flatnonzero(new)
+        self.heads, self.leads = place[heads], leads[heads]
+        self.tails = place[np.append(heads[1:], len(place)) - 1] if len(heads) else place
 
     @staticmethod
-    def _ranks(text, inside, length):
-        """Dense ranks of the windows; doubling from 8 bytes packed in one number."""
-        n = len(text)
-        padded = np.concatenate([text, np.zeros(length, np.uint8)])
-        key = np.zeros(n, U64)
-        for j in range(8):
-            key = (key << U64(8)) | padded[j : n + j]
-        width = 8
-        rank = np.unique(key, return_inverse=True)[1].reshape(-1).astype(np.int64)
-        while width < length:
-            step = min(width, length - width)
-            other = np.zeros(n, np.int64)
-            other[: n - step] = rank[step:]
-            pair = rank * (int(rank.max(initial=0)) + 2) + other
-            width += step
-            if width >= length:
-                out = np.full(n, -1, np.int64)
-                out[inside] = np.unique(pair[inside], return_inverse=True)[1].reshape(-1)
-                return out
-            rank = np.unique(pair, return_inverse=True)[1].reshape(-1).astype(np.int64)
-        return rank
+    def _place(symbol: np.ndarray, group: np.ndarray) -> np.ndarray:
+        return (symbol.astype(np.int64) << 40) | group
+
+    def left(self, group: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """LF: the group that symbol before each group leads to, -1 if no segment has it."""
+        if not len(self.heads):
+            return np.full(len(group), -1)
+        place = self._place(symbol, group)
+        run = np.searchsorted(self.heads, place, side="right") - 1
+        return np.where((run >= 0) & (place <= self.tails[run]), self.leads[run] + place - self.heads[run], -1)
 
     def stream(self) -> tuple[np.ndarray, np.ndarray]:
         """Matching statistics of every segment: per window, the smallest document that holds it; windows in text order, with len+1 offsets."""
-        per = self.size - self.length + 1
-        offsets = np.concatenate([[0], np.cumsum(per)])
+        offsets = np.concatenate([[0], np.cumsum(self.windows)])
         out = np.zeros(int(offsets[-1]), np.int64)
-        state, live = self.tail.copy(), np.arange(len(per))
-        for step in range(int(per.max(initial=0))):
-            live = live[per[live] > step]
+        state, live = self.tail.copy(), np.arange(len(self.size))
+        for step in range(int(self.windows.max(initial=0))):
+            live = live[self.windows[live] > step]
             out[offsets[live + 1] - 1 - step] = self.least[state[live]]
-            more = live[per[live] > step + 1]
-            symbol = self.text[self.ends[more] - self.length - step - 1]
-            run = np.searchsorted(self.key, state[more] * 257 + symbol)
-            state[more] = self.leads[run]
+            more = live[self.windows[live] > step + 1]
+            state[more] = self.left(state[more], self.text[self.ends[more] - self.length - step - 1])
         return out, offsets
 
 
@@ -308,19 +301,23 @@ def _answer_segments(length: int):
     @spread.lean
     def answer(table: pa.Table) -> pa.Table:
         lists = [spread.unpack(x.as_py()) for x in table.column("data")]
-        equal, least, key, own, size, raw = (np.concatenate([np.cumsum(x[k], dtype=U64) if k == 0 else x[k] for x in lists]) for k in range(6))
-        group, _, low = _grouped(equal, least)
-        group2, one, low2 = _grouped(key, own)
+        key, own, size, raw = (np.concatenate([np.cumsum(x[k], dtype=U64) if k == 0 else x[k] for x in lists]) for k in range(4))
+        counts = [len(x[0]) for x in lists]
+        del lists
+        group, one, low = _grouped(key, own)
         size = size.astype(np.int64)
         starts = np.cumsum(size) - size
-        index = RunIndex(raw[_ramp(starts[one], size[one])], size[one], low2, length)
-        first, offsets = index.stream()
-        rows, at, at2 = [], 0, 0
-        for b, c, x in zip(table.column("bucket"), table.column("chunk"), lists, strict=True):
-            e, g = group[at : at + len(x[0])], group2[at2 : at2 + len(x[2])]
-            at, at2 = at + len(x[0]), at2 + len(x[2])
-            windows = offsets[g + 1] - offsets[g]
-            rows.append((b.as_py(), c.as_py(), spread.pack(x[0], low[e], x[2], windows.astype(np.int32), first[_ramp(offsets[g], windows)])))
+        first, offsets = RunIndex(raw[_ramp(starts[one], size[one])], size[one], low, length).stream()
+        # a segment whose windows all have one smallest document is answered by that number alone
+        low, high = np.minimum.reduceat(first, offsets[:-1]), np.maximum.reduceat(first, offsets[:-1])
+        rows, at = [], 0
+        for b, c, n in zip(table.column("bucket"), table.column("chunk"), counts, strict=True):
+            g, keys = group[at : at + n], key[at : at + n]
+            at += n
+            same = low[g] == high[g]
+            g, several = g[same], g[~same]
+            windows = offsets[several + 1] - offsets[several]
+            rows.append((b.as_py(), c.as_py(), spread.pack(spread.pack_sorted(keys[same]), low[g], spread.pack_sorted(keys[~same]), windows.astype(np.uint16), first[_ramp(offsets[several], windows)])))
         return _sent(rows)
 
     return answer
@@ -350,8 +347,8 @@ def _mark(length: int, outputs: tuple[str, ...], carry: tuple[str, ...]):
         parts = [spread.unpack(x.as_py()) for x in replies.column("data")] if len(replies) else []
         step = np.zeros(len(raw) + 1, np.int8)  # where marked windows begin and end
         if parts and len(a):
-            equal, low, differ, windows, first = (np.concatenate([np.cumsum(x[k], dtype=U64) if k == 0 else x[k] for x in parts]) for k in range(5))
-            hit, at = _found(equal, key)
+            whole, low, differ, windows, first = (np.concatenate([np.cumsum(x[k], dtype=U64) if k in (0, 2) else x[k] for x in parts]) for k in range(5))
+            hit, at = _found(whole, key)
             old = hit[low[at] < docs[doc[hit]]]
             step[a[old]] += 1
             step[b[old] - length + 1] -= 1
