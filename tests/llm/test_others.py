@@ -8,7 +8,8 @@ import pytest
 
 from tracewright.llm import topk_search
 from tracewright.llm.chat_format import END, START, format_chats, read_chats
-from tracewright.llm.quality import quality
+from tracewright.llm import kernels as K
+from tracewright.llm.quality import FINE, LEAST, LIMIT, ROUNDS, STEPS, SURE, Logistic, page_view, quality, text_view
 from tracewright.llm.topk_search import top_k
 from tracewright.llm.toxicity import toxicity
 
@@ -130,6 +131,61 @@ def test_quality_on_labelled_documents(sample):
     assert {r.score for r in quality(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def plain_co_training(text, page, y, held, free_text, free_page):
+    """Co-training again, with labels kept for each document and plain loops."""
+    known, prior = ~held, y[~held].mean()
+    views, free = (text, page), (free_text, free_page)
+    models = [Logistic(x[known], y[known]) for x in views]
+    labels = [[None] * len(free_text) for _ in views]
+    most = int(SURE * len(free_text))
+    for _ in range(ROUNDS):
+        fresh = []
+        for k in (0, 1):
+            scores = [int(np.floor((v + LIMIT) * FINE)) for v in models[k].logit(free[k])]
+            open_ones = sorted(scores[i] for i in range(len(scores)) if labels[1 - k][i] is None)
+            low, high = round(most * (1 - prior)), round(most * prior)
+            low = open_ones[min(low, len(open_ones)) - 1] if low and open_ones else -1
+            high = open_ones[-min(high, len(open_ones))] if high and open_ones else 10**9
+            real = models[k].logit(free[k])
+            fresh.append([0 if s <= low and v <= -LEAST else 1 if s >= high and v >= LEAST else None for s, v in zip(scores, real, strict=True)])
+        for k in (0, 1):
+            labels[1 - k] = [old if old is not None else new for old, new in zip(labels[1 - k], fresh[k], strict=True)]
+        for _ in range(STEPS):
+            for k in (0, 1):
+                at = [i for i, v in enumerate(labels[k]) if v is not None]
+                x = np.concatenate([views[k][known], free[k][at]])
+                models[k].step(*models[k].sums(x, np.concatenate([y[known], [labels[k][i] for i in at]])))
+    both = np.stack([m.logit(x[held]) for m, x in zip(models, views, strict=True)], axis=1)
+    calibrated = [Logistic(both[:, [k]], y[held], 0.1) for k in (0, 1)]
+    joint = Logistic(np.stack([c.logit(both[:, [k]]) for k, c in enumerate(calibrated)], axis=1), y[held], 0.1)
+    return lambda t, p: 1 / (1 + np.exp(-joint.logit(np.stack([c.logit(m.logit(x)[:, None]) for m, c, x in zip(models, calibrated, (t, p), strict=True)], axis=1))))
+
+
+def test_quality_equals_plain_co_training(spark):
+    """Every unlabelled document takes part, and scores are those of the plain version."""
+    rows, labels = labelled(seed=4, n=700)
+    rows = [r for r in rows if r[0] is not None and len(r[1]) < 100_000 and r[0] < 700]
+    rows = list({r[0]: r for r in rows}.values())
+    labels = [(i, q, t) for i, q, t in labels if i is not None and i % 3 == 0 and q is not None]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(6)
+    got = {r.doc_id: r.score for r in quality(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    table = pa.table({k: [r[i] if r[i] is not None else "" for r in rows] for i, k in ((1, "text"), (2, "lang"), (3, "source"))} | {"n_chars": pa.array([r[4] for r in rows], pa.int64())})
+    text, page = (x.astype(np.float16).astype(float) for x in (text_view(table.column("text")), page_view(table.column("source"), table.column("lang"), table.column("n_chars").combine_chunks())))
+    ids, truth = np.array([r[0] for r in rows]), {i: q for i, q, _ in labels}
+    has = np.array([i in truth for i in ids])
+    order = np.flatnonzero(has)[np.argsort(ids[has])]
+    held = K.mix(ids[order].astype(np.uint64) + np.uint64(7)) % np.uint64(4) == 0
+    score = plain_co_training(text[order], page[order], np.array([truth[i] for i in ids[order]]), held, text[~has], page[~has])
+    assert np.allclose([got[i] for i in ids], score(text, page), atol=1e-6)
+
+
+def test_conflicting_labels_count_as_the_larger(spark):
+    rows = [(i, ("fine words here " if i % 2 else "BAD!! ") * 20, "en", "s", 100) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, q, 0) for i in range(60) for q in ((0, 1) if i % 2 else (0, 0))], "doc_id long, quality int, toxic int")
+    assert {(r.doc_id % 2, r.keep) for r in quality(docs, labels).collect()} == {(0, False), (1, True)}
+
+
 def test_views_see_their_own_columns_only():
     from tracewright.llm.quality import page_view, text_view
 
