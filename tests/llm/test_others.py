@@ -9,7 +9,7 @@ import pytest
 from tracewright.llm import topk_search
 from tracewright.llm.chat_format import END, START, format_chats, read_chats
 from tracewright.llm import kernels as K
-from tracewright.llm.quality import FINE, LEAST, LIMIT, ROUNDS, STEPS, SURE, Logistic, page_view, quality, text_view
+from tracewright.llm.quality import BEYOND, FINE, LEAST, LIMIT, ROUNDS, STEPS, SURE, CoTrained, Logistic, Pool, page_view, quality, text_view
 from tracewright.llm.topk_search import top_k
 from tracewright.llm.toxicity import toxicity
 
@@ -147,14 +147,16 @@ def plain_co_training(text, page, y, held, free_text, free_page):
             low = open_ones[min(low, len(open_ones)) - 1] if low and open_ones else -1
             high = open_ones[-min(high, len(open_ones))] if high and open_ones else 10**9
             real = models[k].logit(free[k])
-            fresh.append([0 if s <= low and v <= -LEAST else 1 if s >= high and v >= LEAST else None for s, v in zip(scores, real, strict=True)])
+            usual = np.log(prior / (1 - prior))
+            down, up = min(-LEAST, usual - BEYOND), max(LEAST, usual + BEYOND)
+            fresh.append([0 if s <= low and v <= down else 1 if s >= high and v >= up else None for s, v in zip(scores, real, strict=True)])
         for k in (0, 1):
             labels[1 - k] = [old if old is not None else new for old, new in zip(labels[1 - k], fresh[k], strict=True)]
         for _ in range(STEPS):
             for k in (0, 1):
                 at = [i for i, v in enumerate(labels[k]) if v is not None]
                 x = np.concatenate([views[k][known], free[k][at]])
-                models[k].step(*models[k].sums(x, np.concatenate([y[known], [labels[k][i] for i in at]])))
+                models[k].step(*models[k].sums(x, np.concatenate([y[known], [labels[k][i] for i in at]]), safe=True))
     both = np.stack([m.logit(x[held]) for m, x in zip(models, views, strict=True)], axis=1)
     calibrated = [Logistic(both[:, [k]], y[held], 0.1) for k in (0, 1)]
     joint = Logistic(np.stack([c.logit(both[:, [k]]) for k, c in enumerate(calibrated)], axis=1), y[held], 0.1)
@@ -179,6 +181,16 @@ def test_quality_equals_plain_co_training(spark):
     assert np.allclose([got[i] for i in ids], score(text, page), atol=1e-6)
 
 
+def test_a_view_that_learns_nothing_labels_nothing():
+    """Metadata that say nothing must not spoil what the text says."""
+    rng = np.random.default_rng(2)
+    y = (rng.random(3000) < 0.85).astype(int)
+    text = np.where(y, 1.0, -1.0)[:, None] + 0.3 * rng.normal(size=(3000, 4))
+    page = np.eye(6)[rng.integers(0, 6, 3000)]
+    model = CoTrained(text[:1000], page[:1000], y[:1000], np.arange(1000) % 4 == 0, Pool(text[1000:], page[1000:]))
+    assert np.mean((model.score(text[1000:], page[1000:]) >= 0.5) == y[1000:]) > 0.99
+
+
 def test_conflicting_labels_count_as_the_larger(spark):
     rows = [(i, ("fine words here " if i % 2 else "BAD!! ") * 20, "en", "s", 100) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")

@@ -34,8 +34,10 @@ ROUNDS = 4
 STEPS = 2
 #: Share of the unlabelled documents that a view may label in one round, to a step of the histogram of its scores.
 SURE = 0.05
-#: Steps of that histogram for each unit of log-odds, which lie within LIMIT; below LEAST a view is not sure.
-FINE, LIMIT, LEAST = 20, 30, 2
+#: Steps of that histogram for each unit of log-odds, which lie within LIMIT.
+FINE, LIMIT = 20, 30
+#: A view is sure only from these log-odds on, and only where they are so far from the prior's: one that learns nothing labels nothing.
+LEAST, BEYOND = 3, 2
 CLASSES = 10
 _CLASS = np.full(256, 9, np.uint8)
 for _k, _bytes in enumerate((range(65, 91), [*range(97, 123), *range(128, 256)], range(48, 58), b" \t\r\x0b\x0c", b"\n", b".,;:'\"-()", b"!?", b"|", b"<>{}[]=/\\")):
@@ -113,11 +115,13 @@ class Logistic:
     def logit(self, x: np.ndarray) -> np.ndarray:
         return np.clip(self._rows(x) @ self.w, -LIMIT, LIMIT)
 
-    def sums(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Gradient and curvature of the loss over some rows."""
+    def sums(self, x: np.ndarray, y: np.ndarray, safe: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and curvature of the loss over some rows. safe: the curvature of a parabola that stays above the loss, so that no step makes it worse."""
         a = self._rows(x)
-        p = 1 / (1 + np.exp(-np.clip(a @ self.w, -LIMIT, LIMIT)))
-        return a.T @ (p - y), (a * (p * (1 - p) + 1e-9)[:, None]).T @ a
+        logit = np.clip(a @ self.w, -LIMIT, LIMIT)
+        p = 1 / (1 + np.exp(-logit))
+        weight = np.tanh(np.maximum(np.abs(logit), 1e-6) / 2) / (2 * np.maximum(np.abs(logit), 1e-6)) if safe else p * (1 - p) + 1e-9
+        return a.T @ (p - y), (a * weight[:, None]).T @ a
 
     def step(self, gradient: np.ndarray, curvature: np.ndarray) -> float:
         """One Newton step; its largest part."""
@@ -153,7 +157,7 @@ def newton_sums(views, rounds: list[Round], models: list[Logistic]) -> np.ndarra
     """Gradients and curvatures of both views over the documents that have labels, one after the other."""
     out = []
     for x, y, m in zip(views, given_labels(views, rounds), models, strict=True):
-        out += [part.reshape(-1) for part in m.sums(x[y >= 0], y[y >= 0])]
+        out += [part.reshape(-1) for part in m.sums(x[y >= 0], y[y >= 0], safe=True)]
     return np.concatenate(out)
 
 
@@ -166,7 +170,8 @@ def sure_edges(counts: np.ndarray, most: int, prior: float) -> tuple[float, floa
     low, high = reach(counts, round(most * (1 - prior))), reach(counts[::-1], round(most * prior))
     down = (low + 1) / FINE - LIMIT - 1e-9 if low >= 0 else -np.inf
     up = (len(counts) - 1 - high) / FINE - LIMIT if high >= 0 else np.inf
-    return min(down, -LEAST), max(up, LEAST)
+    usual = np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))
+    return min(down, -LEAST, usual - BEYOND), max(up, LEAST, usual + BEYOND)
 
 
 class Pool:
@@ -197,7 +202,7 @@ class CoTrained:
                 flat, at = pool.add(newton_sums, past, self.models), 0
                 for m, x in zip(self.models, views, strict=True):
                     n = len(m.w)
-                    gradient, curvature = m.sums(x[known], y[known])
+                    gradient, curvature = m.sums(x[known], y[known], safe=True)
                     m.step(gradient + flat[at : at + n], curvature + flat[at + n : at + n + n * n].reshape(n, n))
                     at += n + n * n
         at = held if len(set(y[held])) == 2 else known
