@@ -269,6 +269,39 @@ def test_packing_layout_and_ids(docs):
     assert len(by) <= -(-sum(map(len, whole)) // CAPACITY) + 1
 
 
+def test_long_documents_are_cut(spark):
+    """Documents over the capacity: of just as many tokens, one more, several pieces, and one without spaces."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = encoder(path).library
+    word = lambda n: " ".join(["the"] * n)
+    assert len(library.encode(word(10), add_special_tokens=False).ids) == 10
+    rng = random.Random(13)
+    texts = [word(CAPACITY - 1), word(CAPACITY), word(CAPACITY + 1), word(3 * CAPACITY - 1), prose(rng, 9000), "".join(rng.choice("abcdef") for _ in range(30_000)), word(5)]
+    got = best_fit_packing(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), path).collect()
+    want = []
+    for i, t in enumerate(texts):
+        ids = [*library.encode(t, add_special_tokens=False).ids, 1]
+        want += [(i, k, at, len(ids[at : at + CAPACITY]), zlib.crc32(np.array(ids[at : at + CAPACITY], "<u4").tobytes())) for k, at in enumerate(range(0, len(ids), CAPACITY))]
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want and len(want) > 12
+
+
+def test_token_counts_of_long_texts_and_full_caches(spark, monkeypatch):
+    import sentencepiece
+
+    from tracewright.llm import token_count
+
+    monkeypatch.setattr(token_count, "REMEMBERED", 400)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    lengths = token_count.Lengths(path, {"the": 1})
+    rng = random.Random(14)
+    for _ in range(6):  # more words than are remembered, and texts over half of that
+        for n in (50, 150, 250, 900, 3000):
+            text = " ".join(rng.choice(["the", f"w{rng.randrange(2000)}", "word,", "x\ny"]) for _ in range(n))
+            assert lengths.count(text) == len(library.encode(text))
+    assert len(lengths.cache) <= 400 + 2000
+
+
 def test_plan_packs_everything_tightly():
     rng = np.random.default_rng(1)
     counts = np.bincount(np.clip(rng.lognormal(6, 1, 5000).astype(int), 1, 4096), minlength=4097)

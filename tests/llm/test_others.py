@@ -6,12 +6,15 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tracewright.llm import topk_search
+import public_tokenizers
+from tracewright.llm import spread, stages, topk_search
 from tracewright.llm.chat_format import END, START, format_chats, read_chats
 from tracewright.llm import kernels as K
 from tracewright.llm.quality import BEYOND, FINE, LEAST, LIMIT, ROUNDS, STEPS, SURE, CoTrained, Logistic, Pool, page_view, quality, text_view
 from tracewright.llm.topk_search import top_k
-from tracewright.llm.toxicity import toxicity
+from tracewright.llm.mixing import mix_sources
+from tracewright.llm.packing import encoder
+from tracewright.llm.toxicity import ALPHA, BETA, L1, L2, SEEN, features, fit, toxicity
 
 TURNS = [
     (1, 0, "user", "hi <|im_end|> there"), (1, 1, "assistant", "a <|im_start|>b"), (1, 2, "assistant", "<\\|x <\\\\|"), (1, 3, "user", None),
@@ -207,6 +210,159 @@ def test_views_see_their_own_columns_only():
     assert (p[1] != p[0]).any() and np.isfinite(p).all()
 
 
+def plain_ftrl(examples, epochs):
+    """FTRL-proximal with dictionaries and one coordinate at a time."""
+    from collections import Counter, defaultdict
+    from math import exp, sqrt
+
+    seen = Counter(c for _, x in examples for c in x)
+    z, n = defaultdict(float), defaultdict(float)
+    zb = nb = bias = 0.0
+
+    def weight(c):
+        if abs(z[c]) <= L1:
+            return 0.0
+        return -(z[c] - (L1 if z[c] > 0 else -L1)) / ((BETA + sqrt(n[c])) / ALPHA + L2)
+
+    for _ in range(epochs):
+        for label, x in examples:
+            x = [c for c in x if seen[c] >= SEEN]
+            w = {c: weight(c) for c in x}
+            g = 1 / (1 + exp(-max(-30, min(30, sum(w.values()) + bias)))) - label
+            for c in x:
+                z[c] += g - (sqrt(n[c] + g * g) - sqrt(n[c])) / ALPHA * w[c]
+                n[c] += g * g
+            zb += g - (sqrt(nb + g * g) - sqrt(nb)) / ALPHA * bias
+            nb += g * g
+            bias = -zb / ((BETA + sqrt(nb)) / ALPHA)
+    return {c: weight(c) for c in seen if weight(c)}, bias
+
+
+def test_ftrl_equals_a_plain_version():
+    rows, labels = labelled(seed=3, n=250)
+    truth = {i: t for i, _, t in labels if t is not None}
+    rows = [r for r in rows if r[0] is not None and r[0] < 250][:250]
+    x, doc = features(pa.array([r[1] for r in rows]))
+    examples = [(truth[r[0]], sorted(set(x[doc == i].tolist()))) for i, r in enumerate(rows)]
+    packed = [(label, spread.pack(np.diff(np.array(c), prepend=0).astype(np.uint32))) for label, c in examples]
+    at, w, bias = fit(packed, 3)
+    want, want_bias = plain_ftrl(examples, 3)
+    assert len(want) > 20 and abs(bias - want_bias) < 1e-3
+    got = dict(zip(at.tolist(), w.tolist(), strict=True))
+    assert all(abs(got.get(c, 0.0) - want.get(c, 0.0)) < 1e-2 for c in {*got, *want})
+    word = features(pa.array(["one Two three"]))[0]
+    assert len(word) == 3 + 2 + 1 and (features(pa.array(["ONE tWo THREE"]))[0] == word).all()  # words, pairs, a skip pair; no stem is so short
+
+
+AWKWARD = [
+    (None, "first text of none at all here", "en", "a", 30), (None, "second words of nobody else at that", "en", "b", 33), (3, "three has a text of its own", "en", None, 5), (3, "and three has another text besides it", None, "a", None),
+    (4, None, None, None, None), (5, "", "en", "b", 0), (6, " \n ", "en", "a", 3), (7, "seven says what seven says and repeats", "de", "c", 38), (7, "seven says what seven says and repeats", "de", "c", 38),
+    (8, "seven says what seven says and repeats", "de", "c", 38), (None, None, None, None, None), (None, "", None, None, 0), (9, "w " * 30_000, "en", "a", 60_000),
+]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Null and repeated ids, null, empty and long texts, a repeated row, and further columns with names that the stages use."""
+    rows = [(*r, "x", 1, 2, False) for r in AWKWARD]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, digest string, copies int, key int, every boolean").repartition(3)
+
+
+def test_near_duplicates_stage_keeps_what_is_no_copy(spark, awkward):
+    got = sorted((tuple(r) for r in stages.near_duplicates_stage(spark, awkward, "").collect()), key=str)
+    assert got == sorted((r for r in dict.fromkeys(AWKWARD) if r[0] != 8), key=str)
+    assert stages.near_duplicates_stage(spark, awkward.limit(0), "").count() == 0
+
+
+def test_repeats_stage_on_awkward_rows(spark, awkward):
+    got = sorted(((r.doc_id, r.text) for r in stages.repeats_stage(spark, awkward, "").collect()), key=str)
+    texts = [(i, t or "") for i, t, *_ in AWKWARD]
+    assert got == sorted(texts, key=str)  # no window of 50 bytes stands in two documents
+    assert stages.repeats_stage(spark, awkward.limit(0), "").columns == list(stages.COLUMNS)
+
+
+def test_mixing_stage_takes_each_text_for_itself(spark, awkward):
+    from collections import Counter
+
+    want = Counter()
+    for r in mix_sources(awkward, carry=("text",)).collect():
+        want[r.doc_id, r.text] += r.copies
+    got = Counter((r.doc_id, r.text) for r in stages.mixing_stage(spark, awkward, "").collect())
+    assert got == +want and sum(1 for k in got if k[0] is None) >= 3
+    assert stages.mixing_stage(spark, awkward.limit(0), "").count() == 0
+
+
+def test_quality_and_packing_stages_on_awkward_rows(spark, awkward, tmp_path):
+    spark.createDataFrame([(3, 1, 0), (7, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    kept = stages.quality_stage(spark, awkward, str(tmp_path))
+    assert kept.columns == list(stages.COLUMNS) and stages.quality_stage(spark, awkward.limit(0), str(tmp_path)).count() == 0
+    packed = stages.packing_stage(spark, awkward, "").collect()
+    assert sum(r.piece == 0 for r in packed) == len(AWKWARD) and max(r.piece for r in packed) >= 7  # the long one is cut
+    assert stages.packing_stage(spark, awkward.limit(0), "").count() == 0
+
+
+def test_pipeline_equals_plain_stages(spark, tmp_path):
+    """Each stage's documents and texts, against plain versions on what the stage before kept."""
+    import corpus_pipeline
+    from tests.llm.test_documents import brute_components, last, sets_of
+
+    rows, labels = labelled(seed=5, n=260)
+    passage = " ".join(f"shared{i}" for i in range(20))
+    rows = [r for r in rows if r[0] is not None and len(r[1]) < 100_000]
+    rows += [(1000 + i, r[1] + (" tail" if i % 2 else ""), *r[2:]) for i, r in enumerate(rows[:40])] + [(2000 + i, f"{' '.join(f'own{i}x{j}' for j in range(30))} {passage} end{i}", "en", "s9", 9) for i in range(10)]
+    rows += [(None, "a text that has no id but words", "en", "s1", 9), (7, "a second text for number seven", "en", "s2", 9)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    key = lambda r: (last(r[0]), r[1] or "")
+    now, stage = spark.read.parquet(str(tmp_path / "documents.parquet")), dict(corpus_pipeline.STAGES)
+
+    def after(name):
+        stage[name](spark, now, str(tmp_path)).write.parquet(str(tmp_path / name))
+        df = spark.read.parquet(str(tmp_path / name))
+        return df, [tuple(r) for r in df.collect()]
+
+    scored = quality(now, spark.read.parquet(str(tmp_path / "labels.parquet")))
+    keep = sorted((last(r.doc_id), r.keep) for r in scored.collect())
+    now, kept = after("quality_classifier")
+    assert sorted(key(r)[0] for r in kept) == [i for i, k in keep if k]
+
+    named = {(i, t): k for k, (i, t) in enumerate(sorted({key(r) for r in kept}))}  # each text under an id for itself, in order
+    component = brute_components(sets_of([(named[key(r)], r[1]) for r in kept]))
+    now, got = after("ngram_jaccard_join")
+    assert sorted(named[key(r)] for r in got) == sorted(set(component.values())) and len(got) < len(kept)
+
+    first = {}
+    for i, t in sorted(map(key, got)):
+        b = t.encode()
+        for p in range(len(b) - 49):
+            first.setdefault(b[p : p + 50], i)
+    want = []
+    for i, t in map(key, got):
+        b = t.encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 49):
+            if first[b[p : p + 50]] < i:
+                gone[p : p + 50] = True
+        if not len(b) or not gone.all():
+            want.append((i, np.frombuffer(b, np.uint8)[~gone].tobytes().decode()))
+    before = now
+    now, got = after("suffix_array_dedup")
+    assert sorted(map(key, got)) == sorted(want) and {t for _, t in want} != {r.text for r in before.collect()}
+
+    copies = sorted(k for r in mix_sources(now, carry=("text",)).collect() for k in [(last(r.doc_id), r.text)] * r.copies)
+    now, got = after("source_mixing")
+    assert sorted(map(key, got)) == copies
+
+    library = encoder(public_tokenizers.path("word_bpe_49k.json")).library
+    sizes = sorted((last(r[0]), len(library.encode(r[1], add_special_tokens=False).ids) + 1) for r in got)
+    packed = stage["best_fit_packing"](spark, now, str(tmp_path)).collect()
+    assert sorted((last(r.doc_id), r.length) for r in packed) == sizes and all(r.piece == 0 for r in packed)
+    by = {}
+    for r in packed:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sum(n for _, n in p) <= 4096 and sorted(at for at, _ in p) == np.cumsum([0, *(n for _, n in sorted(p))])[:-1].tolist() for p in by.values())
+
+
 def test_pipeline_stages(spark, tmp_path, sample):
     import corpus_pipeline
 

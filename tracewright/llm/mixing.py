@@ -51,12 +51,12 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, repeats: int = 2, seed: str = "mix") -> DataFrame:
+def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, repeats: int = 2, seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
     """A mix of documents (doc_id, source, text): one row a row of docs.
 
     doc_id, size (words), source_size, target (of its source), taken (words the
     mix takes, size times the copies taken), copies (an empty text is taken
-    once). Whole documents only: a source's taken words differ
+    once), and the columns of docs named by carry. Whole documents only: a source's taken words differ
     from its target by at most about one document. A null text has size 0, a
     null source is a source that sorts last, null doc_ids stay null and repeated
     rows are documents of their own; ties of the digest go by doc_id. Reruns
@@ -65,7 +65,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, repeats: i
     spark = docs.sparkSession
     spread.ready(spark)
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    rows = docs.select(doc.alias("doc_id"), F.col("source").cast("string").alias("source"), words_of(F.col("text")).alias("size"))
+    rows = docs.select(doc.alias("doc_id"), F.col("source").cast("string").alias("source"), words_of(F.col("text")).alias("size"), *carry)
     rows = spread.cut(rows)
     targets = spread.cut(source_targets(rows.select("source", "size"), weights, share, repeats))
     total = min(share, repeats) * float(targets.agg(F.sum("source_size").alias("t")).first()["t"] or 0)  # what the targets add up to, without their rounding
@@ -82,5 +82,5 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, repeats: i
     out = queued.join(taken, "row", "left")
     return out.select(
         spread.given(F.col("doc_id")).alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
-        F.when(F.col("size") > 0, F.coalesce("copies", F.lit(0))).otherwise(F.lit(1)).cast("int").alias("copies"),
+        F.when(F.col("size") > 0, F.coalesce("copies", F.lit(0))).otherwise(F.lit(1)).cast("int").alias("copies"), *carry,
     )

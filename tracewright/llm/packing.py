@@ -203,10 +203,10 @@ def places(patterns: list[tuple[list[int], int]]) -> list[tuple[int, int, int, i
     return rows
 
 
-def _place(rows: list[tuple[int, int, int, int, int, int]], before: np.ndarray):
-    """Adds sequence_id and offset to pieces that carry upto, their rank by length over the whole table."""
+def _place(shared):
+    """Adds sequence_id and offset to pieces that carry upto, their rank by length over the whole table. shared: places() as sorted rows, and how many pieces are shorter than each length."""
     def place(batches):
-        table = np.array(sorted(rows), np.int64).reshape(-1, 6)
+        table, before = shared.value
         key = table[:, 0] * (1 << 44) + table[:, 1]
         for b in batches:
             n = b.column("length").to_numpy(zero_copy_only=False)
@@ -228,7 +228,8 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
     word-level BPE for the tokenizers library; each document ends with id
     `end`. Only documents over the capacity are cut. A null text is empty (one
     piece holding the end id); null doc_ids stay null; repeated rows are packed
-    each; other columns are ignored; an empty table gives no rows.
+    each; other columns are ignored; an empty table gives no rows. A very long
+    text is one task's: its ids, 4 bytes each, must fit there.
     """
     spark = docs.sparkSession
     spread.ready(spark)
@@ -240,5 +241,7 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
     for r in ranked.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most one row a length
         counts[r["length"]] = r["n"]
     before = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    out = ranked.mapInArrow(_place(places(plan(counts, capacity)), before), PIECE + (", ids array<int>" if ids else "") + ", sequence_id long, offset long")
+    # the plan has a few patterns a length at most, so its size has a bound that the table does not move
+    table = np.array(sorted(places(plan(counts, capacity))), np.int64).reshape(-1, 6)
+    out = ranked.mapInArrow(_place(spark.sparkContext.broadcast((table, before))), PIECE + (", ids array<int>" if ids else "") + ", sequence_id long, offset long")
     return out.withColumn("doc_id", spread.given(F.col("doc_id")))

@@ -71,10 +71,53 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+# --- what SQL can say of operators whose whole result it can't ---------------------
+
+
+def fingerprint_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edited texts of op5, and that its likeness is 1 for equal texts only."""
+    out = op5_document_fingerprints(spark, sf_dir)
+    same = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    texts = read(spark, sf_dir, "documents").select("doc_id", same.alias("own"))
+    return out.join(texts, "doc_id").select("doc_id", "n_chars", "edited_sha256", (F.col("near_edited") == 1).alias("unchanged"), (F.col("near_edited").between(0, 1) & F.col("near_next").between(0, 1)).alias("in_range"))
+
+
+def packing_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """That op10's pieces follow each other in every document, and leave no gap and pass no capacity in any sequence."""
+    out = op10_best_fit_packing(spark, sf_dir)
+    by_doc = out.groupBy("doc_id").agg((F.max("piece") + 1 == F.count("*")).alias("numbered"), (F.max(F.col("start") + F.col("length")) == F.sum("length")).alias("followed"), F.bool_and((F.col("start") == F.col("piece") * 4096)).alias("cut_at"))
+    docs = by_doc.agg(F.count("*").alias("documents"), F.bool_and("numbered").alias("numbered"), F.bool_and("followed").alias("followed"), F.bool_and("cut_at").alias("cut_at"))
+    by_seq = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.count_distinct("offset").alias("places"), F.count("*").alias("pieces"))
+    seqs = by_seq.agg(F.bool_and(F.expr("n <= 4096")).alias("within"), F.bool_and((F.col("n") == F.col("end")) & (F.col("places") == F.col("pieces"))).alias("gapless"))
+    return docs.crossJoin(F.broadcast(seqs))  # one row by one row
+
+
+def token_count_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of op3, and that its counts lie within what bytes allow and its flags follow them."""
+    n = F.col("n_tokens")
+    return op3_token_counts(spark, sf_dir).select("doc_id", "n_bytes", ((n <= F.col("n_bytes") + 1) & ((n > 0) == (F.col("n_bytes") > 0)) & ((n > 4096) == F.col("over_limit"))).alias("plausible"))
+
+
+def toxicity_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """That op9 scores every document, and is right about nine in ten of those with labels that it has not learnt from."""
+    out = op9_toxicity(spark, sf_dir)
+    labels = read(spark, sf_dir, "labels").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    right = out.where("held_out").join(labels, "doc_id").agg((F.avg((F.col("predicted") == F.col("toxic")).cast("double")) >= 0.9).alias("right"))
+    return out.agg(F.count("score").alias("documents")).crossJoin(F.broadcast(right))  # one row by one row
+
+
+def quality_right(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """That op7 scores every document, and is right about six in ten at least of either label among those with even doc_ids when it learns from the others: five bad ones, on the smallest tables."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    out = quality(docs, labels.where("doc_id % 2 = 1"))
+    held = out.join(labels.where("doc_id % 2 = 0"), "doc_id").groupBy("quality").agg((F.avg((F.col("keep").cast("int") == F.col("quality")).cast("double")) >= 0.6).alias("right"))
+    return held.crossJoin(F.broadcast(out.agg(F.count("score").alias("scored"))))  # two rows by one
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_suffix_dedup, op2_chat_format, op3_token_counts, op4_topk_search, op5_document_fingerprints, op6_jaccard_join, op7_quality, op8_mix_sources, op9_toxicity, op10_best_fit_packing)
-}
+} | {f.__name__: f for f in (fingerprint_edits, packing_layout, token_count_sizes, toxicity_held_out, quality_right)}
 
 _ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g')"
 
@@ -138,4 +181,13 @@ ORACLES: dict[str, str] = {
         k AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS taken, count(*) AS copies FROM p WHERE spent <= total GROUP BY doc_id)
         SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(k.taken, 0) AS taken, CAST(CASE WHEN q.size > 0 THEN coalesce(k.copies, 0) ELSE 1 END AS INTEGER) AS copies FROM q LEFT JOIN k USING (doc_id)
     """,
+    "fingerprint_edits": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first_value(coalesce(text, '')) OVER (ORDER BY doc_id)) AS after FROM documents),
+        e AS (SELECT *, CAST(length(t) AS BIGINT) AS n, substr(t, 1, length(t) - length(t) // 2) || substr(after, 1, length(t) // 2) AS edited FROM d)
+        SELECT doc_id, n AS n_chars, sha256(edited) AS edited_sha256, t = edited AS unchanged, true AS in_range FROM e
+    """,
+    "packing_layout": "SELECT count(*) AS documents, true AS numbered, true AS followed, true AS cut_at, true AS within, true AS gapless FROM documents",
+    "token_count_sizes": "SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, true AS plausible FROM documents",
+    "toxicity_held_out": "SELECT count(*) AS documents, true AS right FROM documents",
+    "quality_right": "SELECT quality, true AS right, (SELECT count(*) FROM documents) AS scored FROM labels WHERE doc_id % 2 = 0 GROUP BY quality",
 }

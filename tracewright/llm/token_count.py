@@ -4,9 +4,10 @@ The sentence-piece vocabulary never merges across the edge between a run of
 spaces and what stands before it, nor across a line feed, so a text's tokens
 are those of its pre-tokens. Tier one: a compact table of frequent pre-tokens
 and their token counts, broadcast; its size is fixed (`frequent` entries).
-Tier two: a bounded cache in each worker, filled by encoding misses. No
-pre-token is shuffled: the frequent ones are found by bounded per-partition
-summaries, merged in groups until a few remain.
+Tier two: a bounded cache in each worker, filled by encoding misses. Counting
+shuffles nothing. To find the frequent ones, every partition sums up its
+pre-tokens in a list of bounded size, and only these lists are exchanged, merged
+in groups until one remains: some 16,000 entries a partition, whatever it holds.
 """
 
 from __future__ import annotations
@@ -148,7 +149,8 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 4096, frequent: i
 
     tokenizer: a sentencepiece model file. A null text counts as empty and has
     no tokens; null doc_ids stay null; repeated rows are counted each; other
-    columns are ignored; an empty table gives no rows.
+    columns are ignored; an empty table gives no rows. A very long text is one
+    task's, as a whole and as a list of its pre-tokens.
     """
     spark = docs.sparkSession
     spread.ready(spark)
