@@ -113,7 +113,8 @@ def test_runs_are_few_where_text_repeats():
     assert index.left(np.array([0]), np.array([7])).tolist() == [-1]
 
 
-def test_suffix_dedup_of_long_texts(spark):
+@pytest.mark.parametrize("hot", [1 << 14, 20, 0])
+def test_suffix_dedup_of_long_texts(spark, hot):
     """Texts of several hashing blocks, with passages across their edges, a hot anchor with many different surroundings, and near copies."""
     rng = random.Random(12)
     word = lambda: f"w{rng.randrange(10**5)}"
@@ -137,7 +138,7 @@ def test_suffix_dedup_of_long_texts(spark):
             if first[t[p : p + 50]] < i:
                 gone[p : p + 50] = True
         want.append((i, int(gone.sum()), bytes(np.frombuffer(t.encode(), np.uint8)[~gone]).decode()))
-    got = suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), outputs=("text",))
+    got = suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), outputs=("text",), hot=hot)
     assert sorted((r.doc_id, r.n_removed, r.text) for r in got.collect()) == want
 
 

@@ -26,10 +26,12 @@ a document with a smaller doc_id. How:
    reached gives the smallest document that has it. These come back to the
    chunks, which mark the bytes.
 
-There are as many buckets as chunks. A bucket holds all segments of its anchors:
-a 24-byte anchor that very many different segments share makes a large bucket.
-Hot passages don't: they are one segment a chunk, however many documents hold
-them. A chunk sends a row to each bucket that it has something for: with more
+There are as many buckets as chunks, so a bucket's share of segments is about a
+chunk's. Hot passages are one segment a chunk, however many documents hold them.
+An anchor on more than `hot` segments is hot: its segments are cut in two, the
+windows with more bytes before the anchor and those with more behind it, and
+each part is routed by the anchor with the bytes on that side, which all its
+windows hold. A chunk sends a row to each bucket that it has something for: with more
 executor memory, larger chunks make fewer and fuller rows.
 """
 
@@ -74,8 +76,8 @@ def _anchors(part: np.ndarray, length: int) -> np.ndarray:
 
 
 def _segments(raw: np.ndarray, offsets: np.ndarray, length: int):
-    """Segments of a chunk's documents: document index, first byte, end byte, 64-bit anchor hash. Block edges end segments too."""
-    firsts, ends, anchors = [], [], []
+    """Segments of a chunk's documents: document index, first byte, end byte, 64-bit anchor hash, where the anchor stands. Block edges end segments too."""
+    firsts, ends, anchors, places = [], [], [], []
     for at in range(0, len(raw) - length + 1, K.BLOCK):
         part = np.ascontiguousarray(raw[at : at + K.BLOCK + length - 1])
         pos = _anchors(part, length)
@@ -90,19 +92,33 @@ def _segments(raw: np.ndarray, offsets: np.ndarray, length: int):
         anchors.append(K.mix(K.mix(K.mix(eight[p]) + eight[p + 8]) * U64(5) + eight[p + 16]))
         firsts.append(first + at)
         ends.append(last + (at + length))
+        places.append(p + at)
     if not firsts:
         z = np.zeros(0, np.int64)
-        return z, z, z, np.zeros(0, U64)
+        return z, z, z, np.zeros(0, U64), z
     a = np.concatenate(firsts)
-    return np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(a, offsets))), a, np.concatenate(ends), np.concatenate(anchors)
+    return np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(a, offsets))), a, np.concatenate(ends), np.concatenate(anchors), np.concatenate(places)
 
 
 def _read_chunk(table: pa.Table, length: int):
-    """All segments of a chunk: doc_ids, raw bytes, offsets; per segment document, start, end, anchor, content hash."""
+    """All segments of a chunk: doc_ids, raw bytes, offsets; per segment document, start, end, anchor, content hash, the anchor's place."""
     raw, offsets = K.texts(table.column("text"))
     raw = np.ascontiguousarray(raw)
-    doc, a, b, h = _segments(raw, offsets, length)
-    return K.ids(table.column("doc_id")), raw, offsets, doc, a, b, h, K.span_hashes(raw, a, b)
+    doc, a, b, h, p = _segments(raw, offsets, length)
+    return K.ids(table.column("doc_id")), raw, offsets, doc, a, b, h, K.span_hashes(raw, a, b), p
+
+
+def _halves(raw: np.ndarray, doc, a, b, p, length: int):
+    """Segments cut in two: document, start, end, routing hash, content hash. The windows of a part all hold the bytes that it is routed by."""
+    more = (length - ANCHOR) // 2
+    out = []
+    for left in (True, False):
+        s, e = (a, np.minimum(b, p - more + length)) if left else (np.maximum(a, p - more + 1), b)
+        own = np.flatnonzero(e - s >= length)
+        s, e, at = s[own], e[own], p[own]
+        route = K.span_hashes(raw, at - more, at + ANCHOR) if left else K.span_hashes(raw, at, at + length - more + 1)
+        out.append((doc[own], s, e, route, K.span_hashes(raw, s, e)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _heads(*columns: np.ndarray) -> np.ndarray:
@@ -115,17 +131,18 @@ def _heads(*columns: np.ndarray) -> np.ndarray:
 
 
 def _anchor_sets(docs, doc, h, buckets: int):
-    """A chunk's distinct anchors by bucket and value, with the edges of buckets, and whether two documents have them."""
+    """A chunk's distinct anchors by bucket and value, whether two documents have them, on how many segments (65,535 at most), and the edges of buckets."""
     order = np.argsort(h)
     at = _heads(h[order])
     hs = h[order[at]]
     if not len(hs):
-        return hs, np.zeros(0, bool), np.zeros(buckets + 1, np.int64)
+        return hs, np.zeros(0, bool), np.zeros(0, np.uint16), np.zeros(buckets + 1, np.int64)
     ds = docs[doc[order]]
     many = np.minimum.reduceat(ds, at) != np.maximum.reduceat(ds, at)
     bucket = _bucket(hs, buckets)
     by = np.argsort(bucket, kind="stable")
-    return hs[by], many[by], np.searchsorted(bucket[by], np.arange(buckets + 1))
+    counts = np.minimum(np.diff(np.append(at, len(h))), 65535).astype(np.uint16)
+    return hs[by], many[by], counts[by], np.searchsorted(bucket[by], np.arange(buckets + 1))
 
 
 def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
@@ -142,27 +159,35 @@ def _sent(rows: list[tuple[int, int, bytes]]) -> pa.Table:
 def _send_anchors(length: int, buckets: int):
     @spread.lean
     def send(table: pa.Table) -> pa.Table:
-        docs, _, _, doc, _, _, h, _ = _read_chunk(table, length)
-        hs, many, edges = _anchor_sets(docs, doc, h, buckets)
+        docs, _, _, doc, _, _, h, _, _ = _read_chunk(table, length)
+        hs, many, counts, edges = _anchor_sets(docs, doc, h, buckets)
         chunk = table.column("chunk")[0].as_py()
-        return _sent([(k, chunk, spread.pack(spread.pack_sorted(hs[edges[k] : edges[k + 1]]), np.packbits(many[edges[k] : edges[k + 1]]))) for k in np.flatnonzero(np.diff(edges)).tolist()])
+        return _sent([(k, chunk, spread.pack(spread.pack_sorted(hs[edges[k] : edges[k + 1]]), np.packbits(many[edges[k] : edges[k + 1]]), counts[edges[k] : edges[k + 1]])) for k in np.flatnonzero(np.diff(edges)).tolist()])
 
     return send
 
 
-@spread.lean
-def _answer_anchors(table: pa.Table) -> pa.Table:
-    """Which of each chunk's anchors two documents or more have."""
-    lists = [spread.unpack(x.as_py()) for x in table.column("data")]
-    values = np.concatenate([np.cumsum(x[0], dtype=U64) for x in lists])
-    many = np.concatenate([np.unpackbits(x[1], count=len(x[0])) for x in lists])
-    order = np.argsort(values)
-    at = _heads(values[order])
-    counts = np.diff(np.append(at, len(values)))
-    answer = np.empty(len(values), bool)
-    answer[order] = np.repeat((counts > 1) | (np.bitwise_or.reduceat(many[order], at) > 0), counts)
-    ends = np.cumsum([len(x[0]) for x in lists])
-    return _sent([(b.as_py(), c.as_py(), spread.pack(np.packbits(answer[e - len(x[0]) : e]))) for b, c, x, e in zip(table.column("bucket"), table.column("chunk"), lists, ends, strict=True)])
+#: Answers about an anchor: one document has it, two or more have it, so many segments have it that they are cut in two.
+ALONE, SHARED, HOT = 0, 1, 2
+
+
+def _answer_anchors(hot: int):
+    @spread.lean
+    def answer(table: pa.Table) -> pa.Table:
+        lists = [spread.unpack(x.as_py()) for x in table.column("data")]
+        values = np.concatenate([np.cumsum(x[0], dtype=U64) for x in lists])
+        many = np.concatenate([np.unpackbits(x[1], count=len(x[0])) for x in lists])
+        order = np.argsort(values)
+        at = _heads(values[order])
+        chunks = np.diff(np.append(at, len(values)))
+        segments = np.add.reduceat(np.concatenate([x[2] for x in lists])[order].astype(np.int64), at)
+        said = np.where((chunks > 1) | (np.bitwise_or.reduceat(many[order], at) > 0), np.where(segments > hot, HOT, SHARED), ALONE).astype(np.uint8)
+        answer = np.empty(len(values), np.uint8)
+        answer[order] = np.repeat(said, chunks)
+        ends = np.cumsum([len(x[0]) for x in lists])
+        return _sent([(b.as_py(), c.as_py(), spread.pack(answer[e - len(x[0]) : e])) for b, c, x, e in zip(table.column("bucket"), table.column("chunk"), lists, ends, strict=True)])
+
+    return answer
 
 
 def _gather(raw: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -177,13 +202,18 @@ def _send_segments(length: int, buckets: int):
     def send(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(table):
             return _sent([])
-        docs, raw, _, doc, a, b, h, key = _read_chunk(table, length)
-        hs, _, edges = _anchor_sets(docs, doc, h, buckets)
-        answer = np.zeros(len(hs), bool)
+        docs, raw, _, doc, a, b, h, key, p = _read_chunk(table, length)
+        hs, _, _, edges = _anchor_sets(docs, doc, h, buckets)
+        answer = np.zeros(len(hs), np.uint8)
         for k, data in zip(replies.column("bucket").to_pylist(), replies.column("data"), strict=True):
-            answer[edges[k] : edges[k + 1]] = np.unpackbits(spread.unpack(data.as_py())[0], count=edges[k + 1] - edges[k])
+            answer[edges[k] : edges[k + 1]] = spread.unpack(data.as_py())[0]
         order = np.argsort(hs)
-        chosen = np.flatnonzero(answer[order[np.searchsorted(hs, h, sorter=order)]]) if len(hs) else np.zeros(0, np.int64)
+        own = answer[order[np.searchsorted(hs, h, sorter=order)]] if len(hs) else np.zeros(0, np.uint8)
+        chosen, hot = np.flatnonzero(own == SHARED), np.flatnonzero(own == HOT)
+        if len(hot):
+            parts = _halves(raw, doc[hot], a[hot], b[hot], p[hot], length)
+            doc, a, b, h, key = (np.concatenate([x[chosen], y]) for x, y in zip((doc, a, b, h, key), parts, strict=True))
+            chosen = np.arange(len(key))
         by = chosen[np.argsort(key[chosen])]
         at = _heads(key[by])
         least = np.minimum.reduceat(docs[doc[by]], at) if len(at) else np.zeros(0, np.int64)
@@ -195,7 +225,7 @@ def _send_segments(length: int, buckets: int):
         for k in np.flatnonzero(np.diff(edges)).tolist():
             own = by[edges[k] : edges[k + 1]]
             s = one[own]
-            rows.append((k, chunk, spread.pack(spread.pack_sorted(key[s]), least[own], (b[s] - a[s]).astype(np.uint16), _gather(raw, a[s], b[s]))))
+            rows.append((k, chunk, spread.pack(spread.pack_sorted(key[s]), least[own], (b[s] - a[s]).astype(np.uint16), _gather(raw, a[s], b[s]), np.full(1, len(hot) > 0))))
         return _sent(rows)
 
     return send
@@ -302,7 +332,7 @@ def _answer_segments(length: int):
     def answer(table: pa.Table) -> pa.Table:
         lists = [spread.unpack(x.as_py()) for x in table.column("data")]
         key, own, size, raw = (np.concatenate([np.cumsum(x[k], dtype=U64) if k == 0 else x[k] for x in lists]) for k in range(4))
-        counts = [len(x[0]) for x in lists]
+        counts, cuts = [len(x[0]) for x in lists], [x[4] for x in lists]
         del lists
         group, one, low = _grouped(key, own)
         size = size.astype(np.int64)
@@ -311,13 +341,13 @@ def _answer_segments(length: int):
         # a segment whose windows all have one smallest document is answered by that number alone
         low, high = np.minimum.reduceat(first, offsets[:-1]), np.maximum.reduceat(first, offsets[:-1])
         rows, at = [], 0
-        for b, c, n in zip(table.column("bucket"), table.column("chunk"), counts, strict=True):
+        for b, c, n, cut in zip(table.column("bucket"), table.column("chunk"), counts, cuts, strict=True):
             g, keys = group[at : at + n], key[at : at + n]
             at += n
             same = low[g] == high[g]
             g, several = g[same], g[~same]
             windows = offsets[several + 1] - offsets[several]
-            rows.append((b.as_py(), c.as_py(), spread.pack(spread.pack_sorted(keys[same]), low[g], spread.pack_sorted(keys[~same]), windows.astype(np.uint16), first[_ramp(offsets[several], windows)])))
+            rows.append((b.as_py(), c.as_py(), spread.pack(spread.pack_sorted(keys[same]), low[g], spread.pack_sorted(keys[~same]), windows.astype(np.uint16), first[_ramp(offsets[several], windows)], cut)))
         return _sent(rows)
 
     return answer
@@ -343,15 +373,17 @@ def _found(keys: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _mark(length: int, outputs: tuple[str, ...], carry: tuple[str, ...]):
     @spread.lean
     def mark(table: pa.Table, replies: pa.Table) -> pa.Table:
-        docs, raw, offsets, doc, a, b, _, key = _read_chunk(table, length)
+        docs, raw, offsets, doc, a, b, _, key, p = _read_chunk(table, length)
         parts = [spread.unpack(x.as_py()) for x in replies.column("data")] if len(replies) else []
+        if any(x[5].any() for x in parts):  # some segments were sent in two parts; answers go by content
+            doc, a, b, _, key = (np.concatenate(x) for x in zip((doc, a, b, key, key), _halves(raw, doc, a, b, p, length), strict=True))
         step = np.zeros(len(raw) + 1, np.int8)  # where marked windows begin and end
         if parts and len(a):
             whole, low, differ, windows, first = (np.concatenate([np.cumsum(x[k], dtype=U64) if k in (0, 2) else x[k] for x in parts]) for k in range(5))
             hit, at = _found(whole, key)
             old = hit[low[at] < docs[doc[hit]]]
-            step[a[old]] += 1
-            step[b[old] - length + 1] -= 1
+            np.add.at(step, a[old], 1)
+            np.add.at(step, b[old] - length + 1, -1)
         marked = np.cumsum(step[:-1], dtype=np.int8).astype(bool)
         if parts and len(a):
             hit, at = _found(differ, key)
@@ -413,7 +445,7 @@ def _strings(raw: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Arra
     return pa.Array.from_buffers(kind, len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(raw)])
 
 
-def suffix_dedup(docs: DataFrame, length: int = 50, outputs: tuple[str, ...] = tuple(REMAINS), carry: tuple[str, ...] = (), chunk_bytes: int = spread.CHUNK) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 50, outputs: tuple[str, ...] = tuple(REMAINS), carry: tuple[str, ...] = (), chunk_bytes: int = spread.CHUNK, hot: int = 1 << 14) -> DataFrame:
     """Long repeats of documents (doc_id, text): one row a row of docs.
 
     doc_id, n_bytes, n_removed, n_spans, kept_sha256; of outputs, kept (the
@@ -423,7 +455,9 @@ def suffix_dedup(docs: DataFrame, length: int = 50, outputs: tuple[str, ...] = t
     documents. A null text is empty; a null doc_id sorts after all others and
     stays null. Rows with one doc_id never remove each other's bytes. A text
     under `length` bytes stays whole. Other columns are ignored. An empty
-    table gives no rows.
+    table gives no rows. hot: segments of one anchor beyond which they are cut in
+    two and routed further. A very long text is one task's: some ten times its
+    bytes must fit there.
     """
     if length < 2 * ANCHOR:
         raise ValueError(f"length must be {2 * ANCHOR} or more")
@@ -431,7 +465,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, outputs: tuple[str, ...] = t
     n = spread.chunk_count(docs, chunk_bytes)
     rows = spread.keyed(docs, n, *carry)  # shuffled once, read three times
     anchors = rows.groupBy("chunk").applyInArrow(_send_anchors(length, n), SENT)
-    shared = anchors.groupBy("bucket").applyInArrow(_answer_anchors, SENT)
+    shared = anchors.groupBy("bucket").applyInArrow(_answer_anchors(hot), SENT)
     segments = rows.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_send_segments(length, n), SENT)
     matches = segments.groupBy("bucket").applyInArrow(_answer_segments(length), SENT)
     outputs = tuple(c for c in REMAINS if c in outputs)
