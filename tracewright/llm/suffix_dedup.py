@@ -100,12 +100,12 @@ def _segments(raw: np.ndarray, offsets: np.ndarray, length: int):
     return np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(a, offsets))), a, np.concatenate(ends), np.concatenate(anchors), np.concatenate(places)
 
 
-def _read_chunk(table: pa.Table, length: int):
-    """All segments of a chunk: doc_ids, raw bytes, offsets; per segment document, start, end, anchor, content hash, the anchor's place."""
+def _read_chunk(table: pa.Table, length: int, keys: bool = True):
+    """All segments of a chunk: doc_ids, raw bytes, offsets; per segment document, start, end, anchor, content hash (if keys are asked for), the anchor's place."""
     raw, offsets = K.texts(table.column("text"))
     raw = np.ascontiguousarray(raw)
     doc, a, b, h, p = _segments(raw, offsets, length)
-    return K.ids(table.column("doc_id")), raw, offsets, doc, a, b, h, K.span_hashes(raw, a, b), p
+    return K.ids(table.column("doc_id")), raw, offsets, doc, a, b, h, K.span_hashes(raw, a, b) if keys else None, p
 
 
 def _halves(raw: np.ndarray, doc, a, b, p, length: int):
@@ -131,18 +131,21 @@ def _heads(*columns: np.ndarray) -> np.ndarray:
 
 
 def _anchor_sets(docs, doc, h, buckets: int):
-    """A chunk's distinct anchors by bucket and value, whether two documents have them, on how many segments (65,535 at most), and the edges of buckets."""
+    """A chunk's distinct anchors by bucket and value, whether two documents have them, on how many segments (65,535 at most), the edges of buckets, and the place of each segment's anchor."""
     order = np.argsort(h)
     at = _heads(h[order])
     hs = h[order[at]]
     if not len(hs):
-        return hs, np.zeros(0, bool), np.zeros(0, np.uint16), np.zeros(buckets + 1, np.int64)
+        return hs, np.zeros(0, bool), np.zeros(0, np.uint16), np.zeros(buckets + 1, np.int64), np.zeros(0, np.int64)
     ds = docs[doc[order]]
     many = np.minimum.reduceat(ds, at) != np.maximum.reduceat(ds, at)
     bucket = _bucket(hs, buckets)
     by = np.argsort(bucket, kind="stable")
-    counts = np.minimum(np.diff(np.append(at, len(h))), 65535).astype(np.uint16)
-    return hs[by], many[by], counts[by], np.searchsorted(bucket[by], np.arange(buckets + 1))
+    counts = np.diff(np.append(at, len(h)))
+    place, own = np.empty(len(hs), np.int64), np.empty(len(h), np.int64)
+    place[by] = np.arange(len(hs))
+    own[order] = np.repeat(place, counts)
+    return hs[by], many[by], np.minimum(counts, 65535).astype(np.uint16)[by], np.searchsorted(bucket[by], np.arange(buckets + 1)), own
 
 
 def _bucket(values: np.ndarray, buckets: int) -> np.ndarray:
@@ -159,8 +162,8 @@ def _sent(rows: list[tuple[int, int, bytes]]) -> pa.Table:
 def _send_anchors(length: int, buckets: int):
     @spread.lean
     def send(table: pa.Table) -> pa.Table:
-        docs, _, _, doc, _, _, h, _, _ = _read_chunk(table, length)
-        hs, many, counts, edges = _anchor_sets(docs, doc, h, buckets)
+        docs, _, _, doc, _, _, h, _, _ = _read_chunk(table, length, keys=False)
+        hs, many, counts, edges, _ = _anchor_sets(docs, doc, h, buckets)
         chunk = table.column("chunk")[0].as_py()
         return _sent([(k, chunk, spread.pack(spread.pack_sorted(hs[edges[k] : edges[k + 1]]), np.packbits(many[edges[k] : edges[k + 1]]), counts[edges[k] : edges[k + 1]])) for k in np.flatnonzero(np.diff(edges)).tolist()])
 
@@ -203,12 +206,11 @@ def _send_segments(length: int, buckets: int):
         if not len(table):
             return _sent([])
         docs, raw, _, doc, a, b, h, key, p = _read_chunk(table, length)
-        hs, _, _, edges = _anchor_sets(docs, doc, h, buckets)
+        hs, _, _, edges, own = _anchor_sets(docs, doc, h, buckets)
         answer = np.zeros(len(hs), np.uint8)
         for k, data in zip(replies.column("bucket").to_pylist(), replies.column("data"), strict=True):
             answer[edges[k] : edges[k + 1]] = spread.unpack(data.as_py())[0]
-        order = np.argsort(hs)
-        own = answer[order[np.searchsorted(hs, h, sorter=order)]] if len(hs) else np.zeros(0, np.uint8)
+        own = answer[own]
         chosen, hot = np.flatnonzero(own == SHARED), np.flatnonzero(own == HOT)
         if len(hot):
             parts = _halves(raw, doc[hot], a[hot], b[hot], p[hot], length)
