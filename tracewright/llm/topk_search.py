@@ -3,7 +3,7 @@
 A score is the sum of partial scores of `LISTS` blocks of components, each a
 list of its own. For every round of queries:
 
-1. every task gathers, for each query and list, its k best partial scores and
+1. every task gathers, for each query and pair of lists, its k best partial scores and
    resolves the full scores of those rows only; over all tasks they give a k-th
    best that the true one can't be below: the safe cutoff, which is broadcast;
 2. the lists are walked one after the other, and an entry is collected only
@@ -51,8 +51,8 @@ def _matrix(batch, width: int) -> tuple[np.ndarray, np.ndarray]:
     return batch.column("vec_id").to_numpy(zero_copy_only=False), flat.reshape(-1, width).astype(float)
 
 
-def _lists(width: int) -> list[slice]:
-    edges = np.linspace(0, width, min(LISTS, max(width, 1)) + 1).astype(int)
+def _lists(width: int, n: int = LISTS) -> list[slice]:
+    edges = np.linspace(0, width, min(n, max(width, 1)) + 1).astype(int)
     return [slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
@@ -72,25 +72,28 @@ def _blocks(n: int):
 
 
 def _phase_one(queries, k: int):
-    """The full scores of each task's k best rows of every list."""
+    """The full scores of rows that are among a task's k best of some list, as far as it has read."""
     def run(batches):
         qids, q = queries.value
+        parts = _lists(q.shape[1], LISTS // 2)  # two lists as one: fewer entries say as much
+        kth = np.full((len(parts), len(q)), -np.inf)  # what a partial score must pass
         kept: list[tuple] = []
         for batch in batches:
             ids, x = _matrix(batch, q.shape[1])
             if not len(ids):
                 continue
             for own in _blocks(len(qids)):
-                same = _own(qids[own], ids)
-                chosen = np.zeros(same.shape, bool)
-                for part in _lists(q.shape[1]):
+                same = np.argwhere(_own(qids[own], ids))
+                chosen = []
+                for j, part in enumerate(parts):
                     partial = q[own, part] @ x[:, part].T
-                    partial[same] = -np.inf
-                    top = np.argpartition(-partial, min(k, len(ids) - 1), axis=1)[:, :k]
-                    np.put_along_axis(chosen, top, True, axis=1)
-                at, to = np.nonzero(chosen & ~same)
+                    partial[same[:, 0], same[:, 1]] = -np.inf
+                    if len(ids) > k and not np.isfinite(kth[j, own]).all():
+                        kth[j, own] = np.partition(partial, len(ids) - k - 1, axis=1)[:, len(ids) - k - 1]
+                    chosen.append(np.flatnonzero(partial > kth[j, own][:, None]))
+                at, to = np.divmod(np.unique(np.concatenate(chosen)), len(ids))
                 kept.append((at + own.start, ids[to], np.einsum("ij,ij->i", q[own][at], x[to])))
-            if len(kept) > 8:
+            if sum(len(x[0]) for x in kept) > 50 * k * len(q):
                 kept = [_best(kept, k)]
         if kept:
             at, ids, s = _best(kept, k)
@@ -109,26 +112,30 @@ def resolve(q: np.ndarray, x: np.ndarray, tau: np.ndarray) -> tuple[np.ndarray,
     """Pairs (query, row) whose score is tau or more, their scores, and how many entries of each list were multiplied."""
     parts = _lists(q.shape[1])
     share, rest_q, rest_x = tau / len(parts), _norms(q, parts), _norms(x, parts)
-    sums, some = np.zeros((len(q), len(x))), np.zeros((len(q), len(x)), bool)
-    work, j = [], 0
-    alive = np.ones(sums.shape, bool)
-    while j < len(parts) and alive.sum() > FEW * alive.size:
-        partial = q[:, parts[j]] @ x[:, parts[j]].T
-        work.append(partial.size)
-        sums += partial
-        some |= partial >= share[:, None]
-        alive &= sums + np.outer(rest_q[:, j], rest_x[:, j]) + 1 >= tau[:, None]  # 1: more than rounding can take
-        j += 1
-    at, to = np.nonzero(alive)
-    s, some = sums[at, to], some[at, to]
-    for part, rq, rx in zip(parts[j:], rest_q.T[j:], rest_x.T[j:], strict=True):
-        partial = np.einsum("ij,ij->i", q[at, part], x[to, part])
-        work.append(len(partial))
-        s, some = s + partial, some | (partial >= share[at])
-        keep = s + rq[at] * rx[to] + 1 >= tau[at]
-        at, to, s, some = at[keep], to[keep], s[keep], some[keep]
-    keep = some & (s >= tau[at])
-    return at[keep], to[keep], s[keep], work
+    sums = np.zeros((len(q), len(x)))
+    work, at = [], None
+
+    def reaching(j: int, rows: slice) -> np.ndarray:
+        return sums[:, rows] + np.outer(rest_q[:, j], rest_x[rows, j]) >= (tau - 1)[:, None]  # 1: more than rounding can take
+
+    for j, part in enumerate(parts):
+        if at is None:
+            sums += q[:, part] @ x[:, part].T
+            work.append(sums.size)
+            if j + 1 < len(parts) and reaching(j, slice(None, None, 1 + len(x) // 64)).mean() > FEW:
+                continue  # a few rows say that most can still reach the cutoff
+            alive = reaching(j, slice(None))
+            at, to = np.nonzero(alive)
+            s = sums[at, to]
+        else:
+            s = s + np.einsum("ij,ij->i", q[at, part], x[to, part])
+            work.append(len(s))
+        keep = s + rest_q[at, j] * rest_x[to, j] + 1 >= tau[at]
+        at, to, s = at[keep], to[keep], s[keep]
+    keep = s >= tau[at]
+    at, to, s = at[keep], to[keep], s[keep]
+    some = np.any([np.einsum("ij,ij->i", q[at, part], x[to, part]) >= share[at] for part in parts], axis=0)  # the uniform threshold: one list at least has its share
+    return at[some], to[some], s[some], work
 
 
 def _phase_two(queries, cutoffs, k: int):
