@@ -9,7 +9,7 @@ from tracewright.operators.filters import FilterError, LogFilter
 from tracewright.operators.infer import infer_profile
 from tracewright.operators.sessions import common_fields, completion, sessions
 from tracewright.profile import ProfileError, builtin, load_profile, parse_profile, to_toml
-from tracewright.render import LAYOUTS, compare_report
+from tracewright.render import LAYOUTS, coloured, compare_report, plural, preview
 from tracewright.schema import ENTRY
 from tracewright.sources.logs import detect_format, parse_fields, parse_text, read_log, read_logs, split_fields
 
@@ -157,6 +157,11 @@ def test_profiles(tmp_path):
             parse_profile(bad)
 
 
+def test_text_helpers():
+    assert (plural(1, "session"), plural(2, "session"), preview(list("abcdefg")), preview(["a"])) == ("1 session", "2 sessions", "a, b, c, d, e and 2 more", "a")
+    assert coloured("[INFO ] x\n████ █") == "\x1b[32m[INFO ]\x1b[0m x\n\x1b[31m████\x1b[0m \x1b[32m█\x1b[0m"
+
+
 def test_sessions(spark):
     rows = [
         entry(0, "Command", "makeManager", payload='{"concurrency":5,"batch":{"id":"b"}}', cid="manager-1"),
@@ -177,9 +182,9 @@ def test_inference(spark):
     rows = [entry(i, "Request", f"q{i % 2}", cid=c, component="w") for i, c in enumerate(["manager-1/eyes-1", "manager-2/eyes-1", "manager-3", "task-1"])]
     p = infer_profile(spark.createDataFrame(rows, ENTRY), detected={"classic"})
     assert [x.segment_prefix for x in p.levels] == ["manager-", "eyes-"] and p.profile.known_requests == ("q0", "q1") and p.parser.format == "classic"
-    modules = spark.createDataFrame(rows, ENTRY).selectExpr("* except (module_path)", "case when seq = 0 then 'fluxo_server::a' else 'fluxo_core' end as module_path")
+    modules = spark.createDataFrame(rows, ENTRY).selectExpr("* except (module_path)", "case when seq = 0 then 'shop_front::a' else 'shop_core' end as module_path")
     p = infer_profile(modules)
-    assert (p.parser.module_depth, p.parser.module_strip_prefix) == (2, "fluxo_")
+    assert (p.parser.module_depth, p.parser.module_strip_prefix) == (2, "shop_")
 
 
 @pytest.fixture
@@ -225,3 +230,4 @@ def test_command_line(spark, files, capsys, tmp_path):
     out = tmp_path / "p.toml"
     assert run(capsys, "generate-config", a, b, "-o", str(out))[0] == 0 and parse_profile(out.read_text()).profile.known_components == ("svc",)
     assert run(capsys, "search", b, "-f", "broken")[0] == 1
+    assert "\x1b[31m[ERROR]\x1b[0m" in run(capsys, "search", b, "--preset", "eyes", "--color", "always")[1] and "\x1b" not in run(capsys, "search", b, "--preset", "eyes")[1]

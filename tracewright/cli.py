@@ -30,7 +30,7 @@ def _parser() -> argparse.ArgumentParser:
     which = common.add_mutually_exclusive_group()
     which.add_argument("--config", default=env("CONFIG"), help="profile file")
     which.add_argument("--preset", default=env("PRESET"), help="bundled profile")
-    common.add_argument("--color", choices=("auto", "always", "never"), default=env("COLOR", "auto"), help="kept for scripts; output is plain")
+    common.add_argument("--color", choices=("auto", "always", "never"), default=env("COLOR", "auto"), help="of text on a terminal")
     common.add_argument("-v", "--verbose", action="count", default=0)
     common.add_argument("-q", "--quiet", action="store_true")
     parser = argparse.ArgumentParser(prog="tracewright", description=__doc__)
@@ -136,6 +136,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except (FilterError, ProfileError, LogFormatError, OSError, PySparkException) as e:
         print(f"error: {_reason(e)}", file=sys.stderr)
         return 1
+    shown = sys.stdout.isatty() and "NO_COLOR" not in os.environ if args.color == "auto" else args.color == "always"
+    if shown and not as_json and not args.output and args.command != "generate-config":
+        text = render.coloured(text)
     if args.output:
         with open(args.output, "w", encoding="utf-8") as f:
             f.write(text + "\n")

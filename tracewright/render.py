@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -56,6 +57,32 @@ def _table(items: list[dict], columns: list[str]) -> str:
     return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, widths, strict=True)).rstrip() for r in cells)
 
 
+#: Terminal colours: of levels, and of a share of the most from low to high.
+LEVEL_TINTS = {"ERROR": 31, "FATAL": 31, "WARN": 33, "WARNING": 33, "INFO": 32, "DEBUG": 36, "TRACE": 90}
+SHARE_TINTS = ((0.75, 31), (0.5, 33), (0.25, 32), (0.0, 34))
+
+
+def tint(text: str, colour: int | None) -> str:
+    return text if colour is None else f"\x1b[{colour}m{text}\x1b[0m"
+
+
+def coloured(text: str) -> str:
+    """A report's text with its levels and bars in colour."""
+    text = re.sub(r"\[(\w+) *\]", lambda m: tint(m[0], LEVEL_TINTS.get(m[1])), text)
+    longest = max(map(len, re.findall("█+", text)), default=1)
+    return re.sub("█+", lambda m: tint(m[0], next(c for share, c in SHARE_TINTS if len(m[0]) >= share * longest)), text)
+
+
+def plural(n: int, word: str) -> str:
+    return f"{n} {word}" if n == 1 else f"{n} {word}s"
+
+
+def preview(names: list[str], most: int = 5) -> str:
+    """The first few names, and how many there are beyond."""
+    rest = len(names) - most
+    return ", ".join(names[:most]) + (f" and {rest} more" if rest > 0 else "")
+
+
 _SHOWN = (
     "source_line_number", "timestamp", "component", "component_id", "level", "kind", "log_key", "message", "raw_logline", "module_path", "structured_fields",
 )
@@ -120,7 +147,7 @@ def errors_report(entries: DataFrame, profile: Profile, wanted: LogFilter, top:
     data = {"summary": summary, "options": {"top_n": top, "show_sessions": show_sessions, "sort_by": by}, "clusters_total": total, "clusters_displayed": len(shown), "clusters": shown}
     lines = [f"{s['total']} entries ({s['errors']} errors, {s['warnings']} warnings), {s['patterns']} patterns, {s['sessions']} sessions"]
     for c in shown:
-        lines.append(f"[{c['severity']}] x{c['count']} {c['pattern']}  ({', '.join(c['components'])}; {c['affected_sessions_count']} sessions)")
+        lines.append(f"[{c['severity']}] x{c['count']} {c['pattern']}  ({preview(c['components'])}; {plural(c['affected_sessions_count'], 'session')})")
         if show_sessions:
             lines += [f"    {x['session_path']}: {x['error_count']} ({x['outcome']})" for x in c["affected_sessions"]]
     return Report({"errors": data}, "\n".join(lines))
