@@ -278,10 +278,10 @@ def cli_errors(spark, sf_dir):
     return spark.createDataFrame(rows, "pattern string, count long, sessions long")
 
 
-@query(f"""WITH {FILE_LOG}, h AS (SELECT seq FROM log WHERE message LIKE '%00 of group 3%'), n AS (SELECT DISTINCT unnest(range(seq - 1, seq + 2)) AS seq FROM h)
+@query(f"""WITH {FILE_LOG}, h AS (SELECT seq FROM log WHERE message LIKE '%10007%' AND level = 'ERROR'), n AS (SELECT DISTINCT unnest(range(seq - 1, seq + 2)) AS seq FROM h)
     SELECT 2 * seq + 1 AS line, component, level, seq IN (SELECT seq FROM h) AS is_match, payload_json AS payload FROM log JOIN n USING (seq)""")
 def cli_search(spark, sf_dir):
-    data = _told(spark, "search", written(spark, sf_dir), "-f", "t:'00 of group 3'", "--context", "1", "--payloads")["search"]
+    data = _told(spark, "search", written(spark, sf_dir), "-f", "t:10007 l:error", "--context", "1", "--payloads")["search"]
     rows = [(e["source_line_number"], e["component"], e["level"], e["is_match"], json.dumps(e["payload"], separators=(",", ":"), sort_keys=True)) for e in data["entries"]]
     return spark.createDataFrame(rows, "line long, component string, level string, is_match boolean, payload string")
 
