@@ -430,11 +430,6 @@ def session_completion(spark, sf_dir):
     return sessions.completion(_sessions(spark, sf_dir))
 
 
-@query(f"{_SESSIONS} SELECT level, 'k' AS field, min(k) AS value FROM s GROUP BY 1 HAVING count(k) = count(*) AND count(DISTINCT k) = 1")
-def session_common_fields(spark, sf_dir):
-    return sessions.common_fields(_sessions(spark, sf_dir))
-
-
 # --- comparison ------------------------------------------------------------------------------
 
 def _joined(spark, sf_dir):
