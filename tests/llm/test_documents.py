@@ -9,6 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from tracewright.llm import kernels as K
@@ -17,7 +18,7 @@ from tracewright.llm.merkle import differing, document_fingerprints, fingerprint
 from tracewright.llm.mixing import mix_sources
 from tracewright.llm.packing import CAPACITY, best_fit_packing, encoder, plan
 from tracewright.llm.spread import components
-from tracewright.llm.suffix_dedup import RunIndex, suffix_dedup
+from tracewright.llm.suffix_dedup import RunIndex, _read_chunk, suffix_dedup
 from tracewright.llm.token_count import token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, chunk string, bucket int, data string"
@@ -82,6 +83,19 @@ def test_suffix_dedup_equals_brute_force(docs):
         assert len(r.text.encode()) >= len(r.kept)  # characters stay whole
 
 
+def test_segments_do_not_depend_on_the_order_of_rows():
+    """A chunk's rows may come in another order each time it is read, and answers go by the content of segments."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcd ") for _ in range(9_000)) for _ in range(12)]  # over several blocks
+
+    def contents(order):
+        table = pa.table({"doc_id": pa.array(order, pa.int64()), "text": [texts[i] for i in order]})
+        docs, raw, _, doc, a, b, _, _, _ = _read_chunk(table, 50)
+        return {(int(docs[d]), raw[s:e].tobytes()) for d, s, e in zip(doc, a, b, strict=True)}
+
+    assert contents(range(12)) == contents(range(11, -1, -1))
+
+
 def test_run_index_matching_statistics():
     rng = random.Random(3)
     parts = ["".join(rng.choice("ab") for _ in range(70)) for _ in range(8)]

@@ -76,7 +76,11 @@ def _anchors(part: np.ndarray, length: int) -> np.ndarray:
 
 
 def _segments(raw: np.ndarray, offsets: np.ndarray, length: int):
-    """Segments of a chunk's documents: document index, first byte, end byte, 64-bit anchor hash, where the anchor stands. Block edges end segments too."""
+    """Segments of a chunk's documents: document index, first byte, end byte, 64-bit anchor hash, where the anchor stands.
+
+    A segment cut by a block's edge is put together again: segments follow from their document's bytes alone, as
+    answers go by their content, and rows of a chunk can come in another order each time it is read.
+    """
     firsts, ends, anchors, places = [], [], [], []
     for at in range(0, len(raw) - length + 1, K.BLOCK):
         part = np.ascontiguousarray(raw[at : at + K.BLOCK + length - 1])
@@ -96,8 +100,12 @@ def _segments(raw: np.ndarray, offsets: np.ndarray, length: int):
     if not firsts:
         z = np.zeros(0, np.int64)
         return z, z, z, np.zeros(0, U64), z
-    a = np.concatenate(firsts)
-    return np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(a, offsets))), a, np.concatenate(ends), np.concatenate(anchors), np.concatenate(places)
+    a, b, h, p = (np.concatenate(x) for x in (firsts, ends, anchors, places))
+    head = np.ones(len(a), bool)
+    head[1:] = (p[1:] != p[:-1]) | (a[1:] != b[:-1] - length + 1)
+    own = np.flatnonzero(head)
+    a, b, h, p = a[own], b[np.append(own[1:], len(b)) - 1] if len(own) else b, h[own], p[own]
+    return np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(a, offsets))), a, b, h, p
 
 
 def _read_chunk(table: pa.Table, length: int, keys: bool = True):
