@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 
 from tracewright.llm import kernels as K
+from tracewright.llm import merkle
 from tracewright.llm.jaccard_join import Trie, jaccard_join, near_groups
 from tracewright.llm.merkle import differing, document_fingerprints, fingerprint, leaves, likeness
 from tracewright.llm.mixing import mix_sources
@@ -366,6 +367,16 @@ def test_fingerprints(docs):
         assert any(r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and r.fingerprint == fingerprint(t) and r.near_next == likeness(fingerprint(t), fingerprint(after)) and r.near_edited == likeness(fingerprint(t), fingerprint(edited)) for r in got[i])
 
 
+def test_lines_of_edited_texts_are_not_digested_again(monkeypatch):
+    rng = random.Random(4)
+    texts = ["\n".join(prose(rng, 20) for _ in range(30)) for _ in range(20)]
+    cut, own = [], merkle.leaves
+    monkeypatch.setattr(merkle, "leaves", lambda line: cut.append(line) or own(line))
+    out = merkle._compare(pa.table({"tail": [False] * 20 + [True], "doc_id": [*range(20), 0], "text": [*texts, texts[0]]}))
+    assert len(out) == 20
+    assert len(cut) <= 20 * 30 + 2 * 20  # each line, and the two of an edited text that are cut through
+
+
 def test_likeness_and_edit_places():
     rng = random.Random(2)
     text = "\n".join(prose(rng, 60) for _ in range(8))

@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,13 @@ from tracewright.llm.kernels import NULL_ID
 
 #: Characters of the digest of a leaf, paragraph or section; roots have 32.
 LEAF = 12
-_LEAF = re.compile(r".{20,120}?(?<=[.!?,;:dnst])\s+|.{120}|.+")
+_LEAF = re.compile(r".{19,119}?[.!?,;:dnst]\s+|.{120}|.+")
+#: Lengths as they are written.
+_HEX = [f"{n:x}" for n in range(512)]
 
 
 def _digest(data: bytes, size: int = 16) -> str:
-    return hashlib.blake2b(data, digest_size=size).hexdigest()
+    return blake2b(data, digest_size=size).hexdigest()
 
 
 def leaves(paragraph: str) -> list[str]:
@@ -38,11 +41,80 @@ def leaves(paragraph: str) -> list[str]:
     return _LEAF.findall(paragraph)
 
 
-def _node(children: list[str]) -> str:
-    """Digest and length of a node from those of its children: itself where it is one."""
-    if len(children) == 1:
-        return children[0]
-    return f"{_digest(','.join(children).encode(), LEAF // 2)}{sum(map(_weight, children)):x}"
+#: A line: its node, the node as it is written, its characters, its leaves, whether its section ends with it.
+Line = tuple[str, str, int, list[str], bool]
+
+
+def _line(line: str) -> Line:
+    pieces = leaves(line)
+    try:
+        data = list(map(str.encode, pieces))
+    except UnicodeEncodeError:  # surrogates
+        data = [x.encode("utf-8", "surrogatepass") for x in pieces]
+    own = [blake2b(x, digest_size=LEAF // 2).hexdigest() + (_HEX[n] if n < 512 else f"{n:x}") for x, n in zip(data, map(len, pieces), strict=True)]
+    if len(own) == 1:
+        return own[0], own[0], len(line), own, own[0][LEAF - 1] == "0" or not line.strip()
+    node = f"{_digest(','.join(own).encode(), LEAF // 2)}{len(line):x}"
+    return node, f"{node}={','.join(own)}" if own else node, len(line), own, not own or own[-1][LEAF - 1] == "0" or not line.strip()
+
+
+class Tree:
+    """A text's sections, each a list of lines, with their nodes and characters; lines come from `known` where it has them, which stays under KNOWN."""
+
+    def __init__(self, text: str, known: dict[str, Line]):
+        self.sections: list[list[Line]] = [[]]
+        if len(known) > KNOWN:
+            known.clear()
+        for line in text.split("\n"):
+            own = known.get(line)
+            if own is None:
+                own = _line(line)
+                if len(known) <= KNOWN:
+                    known[line] = own
+            self.sections[-1].append(own)
+            if own[4]:
+                self.sections.append([])
+        self.nodes, self.sizes = [], []
+        for s in self.sections:
+            n = sum([x[2] for x in s])
+            self.sizes.append(n)
+            self.nodes.append(s[0][0] if len(s) == 1 else f"{_digest(','.join([x[0] for x in s]).encode(), LEAF // 2)}{n:x}")
+        # the nodes' digests are short; the root also takes the text's own, so that equal roots mean equal texts
+        self.root = _digest(("|".join(self.nodes) + _digest(text.encode("utf-8", "surrogatepass"))).encode())
+
+    def written(self) -> str:
+        return f"{self.root}/{'|'.join([f'{n}:{";".join([x[1] for x in s])}' for n, s in zip(self.nodes, self.sections, strict=True)])}"
+
+    def like(self, other: Tree) -> float:
+        """likeness() of what the two trees are written as."""
+        if self.root == other.root:
+            return 1.0
+        total = 2 + sum(self.sizes) + sum(other.sizes)
+        shared, one, two = _apart(self.nodes, other.nodes, self.sections, other.sections)
+        one, two = [x for s in one for x in s], [x for s in two for x in s]
+        more, one, two = _apart([x[0] for x in one], [x[0] for x in two], one, two)
+        one, two = [x for line in one for x in line[3]], [x for line in two for x in line[3]]
+        return 2.0 * (shared + more + _common(one, two)[0]) / total
+
+
+#: Lines that are kept to be looked up at most.
+KNOWN = 20_000
+
+
+def _common(one: list[str], two: list[str]) -> tuple[int, dict[str, int]]:
+    """The characters of nodes that both sides have, and how often both have them."""
+    names = set(one)
+    if names.isdisjoint(two):
+        return 0, {}
+    names.intersection_update(two)
+    both = Counter([x for x in one if x in names]) & Counter([x for x in two if x in names])
+    return sum([_weight(node) * n for node, n in both.items()]), both
+
+
+def _apart(one: list[str], two: list[str], left: list, right: list) -> tuple[int, list, list]:
+    """The characters of nodes that both sides have, and left and right without their places."""
+    n, both = _common(one, two)
+    return (n, _rest(left, one, both), _rest(right, two, both)) if both else (n, left, right)
 
 
 def fingerprint(text: str) -> str:
@@ -50,20 +122,7 @@ def fingerprint(text: str) -> str:
 
     A node or leaf is LEAF characters of digest and its length in characters (hexadecimal, line feeds apart).
     """
-    sections: list[list[tuple[str, str]]] = [[]]
-    for line in text.split("\n"):
-        own = []
-        for leaf in leaves(line):
-            data = leaf.encode("utf-8", "surrogatepass")
-            own.append(f"{_digest(data, LEAF // 2)}{len(leaf):x}")
-        node = _node(own)
-        sections[-1].append((node, node if len(own) < 2 else f"{node}={','.join(own)}"))
-        if not line.strip() or int(own[-1][LEAF - 1], 16) == 0:
-            sections.append([])
-    nodes = [_node([n for n, _ in s]) for s in sections]
-    body = "|".join(f"{n}:{';'.join(b for _, b in s)}" for n, s in zip(nodes, sections, strict=True))
-    # the nodes' digests are short; the root also takes the text's own, so that equal roots mean equal texts
-    return f"{_digest(('|'.join(nodes) + _digest(text.encode('utf-8', 'surrogatepass'))).encode())}/{body}"
+    return Tree(text, {}).written()
 
 
 def _weight(node: str) -> int:
@@ -136,16 +195,17 @@ def _compare(group: pa.Table) -> pa.Table:
     tails, ids, texts = (group.column(c).to_pylist() for c in ("tail", "doc_id", "text"))
     order = sorted(range(len(ids)), key=lambda i: (tails[i], ids[i], texts[i]))
     out = {k: [] for k in ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")}
-    ahead = None
+    ahead, known = None, {}  # the edited text has most of its lines from the two documents
     for i, j in zip(order, [*order[1:], None], strict=True):
         if tails[i]:
             break
         text, after = texts[i], texts[j]
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
-        own = ahead if ahead is not None else fingerprint(text)
-        new, ahead = fingerprint(edited), fingerprint(after)
-        row = (ids[i], len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own, new, likeness(own, new), likeness(own, ahead))
+        own = ahead if ahead is not None else Tree(text, known)
+        ahead = Tree(after, known)
+        new = Tree(edited, known)
+        row = (ids[i], len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), own.written(), new.written(), own.like(new), own.like(ahead))
         for k, v in zip(out, row, strict=True):
             out[k].append(v)
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
