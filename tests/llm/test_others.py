@@ -1,6 +1,8 @@
 """Chats, vectors, classifiers and the pipeline."""
 
 import random
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +57,30 @@ def test_top_k_equals_brute_force(spark):
     assert top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def _vectors(n, width, copies=1):
+    x = np.repeat(np.random.default_rng(5).integers(-1000, 1000, (n // copies, width)), copies, axis=0)
+    return x.astype(float), pa.RecordBatch.from_pydict({"vec_id": list(range(n)), "v": x.tolist()})
+
+
+def test_top_k_tasks_hold_no_whole_matrix_of_scores():
+    """4,000 queries by 2,000 rows are 64 MB of scores, whole."""
+    q, batch = _vectors(4000, 16)
+    shared, cutoffs = SimpleNamespace(value=(np.arange(4000), q)), SimpleNamespace(value=np.full(4000, 6e6))
+    for phase in (topk_search._phase_one(shared, 3), topk_search._phase_two(shared, cutoffs, 3)):
+        tracemalloc.start()
+        found = list(phase([batch.slice(0, 2000), batch.slice(2000)]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(found) == 1
+        assert peak < 60e6
+
+
+def test_top_k_first_phase_finds_k_among_equal_vectors():
+    q, batch = _vectors(600, 8, copies=100)
+    found = list(topk_search._phase_one(SimpleNamespace(value=(np.arange(600), q)), 3)([batch]))[0]
+    assert np.bincount(found.column("query_id").to_numpy(), minlength=600).min() == 3
+
+
 def test_top_k_in_rounds_blocks_and_two_widths(spark, monkeypatch):
     monkeypatch.setattr(topk_search, "ROUND", 10_000)
     rng = np.random.default_rng(6)

@@ -32,6 +32,8 @@ ROUND = 16 << 20
 BLOCK = 256
 #: Share of rows that can still reach the cutoff below which they are resolved one by one.
 FEW = 0.1
+#: Triples (query, id, score) that a task gathers before it drops those that are not among the best.
+TRIPLES = 1 << 19
 SCALE = 1024
 
 
@@ -88,13 +90,17 @@ def _phase_one(queries, k: int):
                 for j, part in enumerate(parts):
                     partial = q[own, part] @ x[:, part].T
                     partial[same[:, 0], same[:, 1]] = -np.inf
-                    if len(ids) > k and not np.isfinite(kth[j, own]).all():
-                        kth[j, own] = np.partition(partial, len(ids) - k - 1, axis=1)[:, len(ids) - k - 1]
-                    chosen.append(np.flatnonzero(partial > kth[j, own][:, None]))
+                    pick = partial > kth[j, own][:, None]
+                    rise = np.flatnonzero(np.count_nonzero(pick, axis=1) > k)  # this batch alone has k better ones
+                    if len(rise):
+                        kth[j, own.start + rise] = np.partition(partial[rise], len(ids) - k - 1, axis=1)[:, len(ids) - k - 1]
+                        pick[rise] = partial[rise] > kth[j, own.start + rise][:, None]
+                        short = rise[np.count_nonzero(pick[rise], axis=1) < k]  # equal ones: any k of them
+                        pick[short[:, None], np.argpartition(partial[short], len(ids) - k, axis=1)[:, len(ids) - k :]] = True
+                    chosen.append(np.flatnonzero(pick))
                 at, to = np.divmod(np.unique(np.concatenate(chosen)), len(ids))
                 kept.append((at + own.start, ids[to], np.einsum("ij,ij->i", q[own][at], x[to])))
-            if sum(len(x[0]) for x in kept) > 50 * k * len(q):
-                kept = [_best(kept, k)]
+                kept = _few(kept, k, len(q))
         if kept:
             at, ids, s = _best(kept, k)
             yield _out(qids[at], ids, s)
@@ -151,8 +157,7 @@ def _phase_two(queries, cutoffs, k: int):
                 at, to, s, _ = resolve(q[own], x, tau[own])
                 good = qids[own][at] != ids[to]
                 kept.append((at[good] + own.start, ids[to[good]], s[good]))
-            if len(kept) > 8:
-                kept = [_best(kept, k)]
+                kept = _few(kept, k, len(q))
         if kept:
             at, ids, s = _best(kept, k)
             yield _out(qids[at], ids, s)
@@ -160,6 +165,11 @@ def _phase_two(queries, cutoffs, k: int):
     return run
 
 
+def _few(kept: list[tuple], k: int, queries: int) -> list[tuple]:
+    """kept, cut down to each query's k best where that is due: a task holds some 4 k triples a query at most, or TRIPLES."""
+    return [_best(kept, k)] if sum(len(x[0]) for x in kept) > max(TRIPLES, 4 * k * queries) else kept
+
+
 def _best(kept, k: int):
     """Of (query, id, score) triples, each query's k best, ties to the smaller id."""
     at, ids, s = (np.concatenate([x[i] for x in kept]) for i in range(3))
@@ -171,37 +181,6 @@ def _best(kept, k: int):
     return at[rank < k], ids[rank < k], s[rank < k]
 
 
-def _phase_two(queries, cutoffs, k: int):
-    """Rows at or above the uniform threshold in some list, that can reach the cutoff; resolved, each task's k best."""
-    def run(batches):
-        (qids, q), tau = queries.value, cutoffs.value
-        parts = _lists(q.shape[1])
-        share = tau / len(parts)
-        kept: list[tuple] = []
-        for batch in batches:
-            ids, x = _matrix(batch, q.shape[1])
-            if not len(ids):
-                continue
-            bound, some = np.zeros((len(qids), len(ids))), np.zeros((len(qids), len(ids)), bool)
-            for part in parts:
-                partial = q[:, part] @ x[:, part].T
-                sent = partial >= share[:, None]
-                some |= sent
-                bound += np.where(sent, partial, share[:, None])
-            some &= (bound >= tau[:, None]) & ~_own(qids, ids)
-            at, to = np.nonzero(some)
-            s = np.einsum("ij,ij->i", q[at], x[to])
-            good = s >= tau[at]
-            kept.append((at[good], ids[to[good]], s[good]))
-            if len(kept) > 8:
-                kept = [_best(kept, k)]
-        if kept:
-            at, ids, s = _best(kept, k)
-            yield _out(qids[at], ids, s)
-
-    return run
-
-
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = SCALE) -> DataFrame:
     """Each query's k highest integer scores: query_id, rank (from 1), vec_id, score; ties to the smaller vec_id.
 
